@@ -1,4 +1,8 @@
-"""Which column is a question about?"""
+"""Which column is a question about? SQL expressions over the question.
+
+``columns`` is one list of names for all questions, or the SQL text of an array
+column where each question brings its own.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .intent import contains_any, literals
+from .intent import contains_any
+from .sqltext import array, string, strings_type
 from .vocab import (
     AGE_COLUMNS,
     DEFAULT_VOCABULARY,
@@ -20,60 +25,46 @@ from .vocab import (
 ColumnList = Sequence[str] | Column
 
 
-def usable_columns(columns: ColumnList | None) -> ColumnList:
+def usable_columns(columns: ColumnList | None) -> Column:
     """The given column list, or the fallback names when there is none."""
-    if isinstance(columns, Column):
-        given = F.coalesce(columns, F.array().cast("array<string>"))
-        return F.when(F.size(given) == 0, literals(FALLBACK_COLUMNS)).otherwise(given)
-    return list(columns) if columns else list(FALLBACK_COLUMNS)
-
-
-def as_array(columns: ColumnList) -> Column:
-    return columns if isinstance(columns, Column) else literals(columns)
+    if not isinstance(columns, Column):
+        return F.expr(array(columns or FALLBACK_COLUMNS))
+    given = F.coalesce(columns, F.expr(strings_type("array()")))
+    return F.when(F.size(given) == 0, F.expr(array(FALLBACK_COLUMNS))).otherwise(given)
 
 
 def detect_column(
-    lowered: Column,
-    columns: ColumnList,
+    lowered: str,
+    columns: Sequence[str] | str,
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
-) -> Column:
-    """Column named in the question, else by synonym, else the first one.
-
-    ``columns`` is one list of names for all questions, or an array column
-    where each question brings its own.
-    """
-    if isinstance(columns, Column):
+) -> str:
+    """Column named in the question, else by synonym, else the first one."""
+    if isinstance(columns, str):
         return _detect_per_row(lowered, columns, vocabulary)
     names = list(columns)
     if not names:
-        return F.lit(PLACEHOLDER_COLUMN)
-    listed = F.array(
-        *[F.struct(F.lit(n).alias("name"), F.lit(n.lower()).alias("lower")) for n in names]
+        return string(PLACEHOLDER_COLUMN)
+    listed = ", ".join(
+        f"named_struct('name', {string(n)}, 'lower', {string(n.lower())})" for n in names
     )
-    named = F.get(F.filter(listed, lambda c: F.contains(lowered, c["lower"])), 0)["name"]
-    choices = [named]
+    choices = [f"get(filter(array({listed}), c -> contains({lowered}, c.lower)), 0).name"]
     for term, parts in vocabulary.synonyms.items():
         meant = [n for n in names if any(p in n.lower() for p in parts)]
         if meant:
-            choices.append(F.when(F.contains(lowered, F.lit(term)), F.lit(meant[0])))
-    return F.coalesce(*choices, F.lit(names[0]))
+            choices.append(_if_said(lowered, term, string(meant[0])))
+    return f"coalesce({', '.join(choices)}, {string(names[0])})"
 
 
-def _detect_per_row(lowered: Column, columns: Column, vocabulary: Vocabulary) -> Column:
-    named = F.get(F.filter(columns, lambda c: F.contains(lowered, F.lower(c))), 0)
-    choices = [named]
+def _detect_per_row(lowered: str, columns: str, vocabulary: Vocabulary) -> str:
+    choices = [f"get(filter({columns}, c -> contains({lowered}, lower(c))), 0)"]
     for term, parts in vocabulary.synonyms.items():
-        meant = F.get(F.filter(columns, _name_has(parts)), 0)
-        choices.append(F.when(F.contains(lowered, F.lit(term)), meant))
-    return F.coalesce(*choices, F.get(columns, 0), F.lit(PLACEHOLDER_COLUMN))
-
+        meant = f"get(filter({columns}, c -> {contains_any('lower(c)', parts)}), 0)"
+        choices.append(_if_said(lowered, term, meant))
+    return f"coalesce({', '.join(choices)}, get({columns}, 0), {string(PLACEHOLDER_COLUMN)})"
 
-def _name_has(parts: Sequence[str]):
-    return lambda name: contains_any(F.lower(name), parts)
 
-
-def _name_in(names: Sequence[str]):
-    return lambda name: F.lower(name).isin(*names)
+def _if_said(lowered: str, term: str, column: str) -> str:
+    return f"CASE WHEN contains({lowered}, {string(term)}) THEN {column} END"
 
 
 def person_columns(columns: Sequence[str]) -> tuple[str, str] | None:
@@ -92,21 +83,22 @@ def person_columns(columns: Sequence[str]) -> tuple[str, str] | None:
     )
 
 
-def person_column_exprs(columns: ColumnList) -> tuple[Column, Column]:
-    """As ``person_columns``, for array columns too; null where not both exist."""
-    if not isinstance(columns, Column):
-        pair = person_columns(columns) or (None, None)
-        return tuple(F.lit(c).cast("string") for c in pair)
-    lowered = F.transform(columns, F.lower)
-    is_name = F.transform(lowered, lambda c: c.isin(*NAME_COLUMNS))
-    is_age = F.transform(lowered, lambda c: c.isin(*AGE_COLUMNS))
-    first_name = F.array_position(is_name, F.lit(True))
-    first_age = F.array_position(is_age, F.lit(True))
-    both = (first_name > 0) & (first_age > 0)
-    upto = F.slice(columns, F.lit(1), F.greatest(first_name, first_age).cast("int"))
-
-    def last(wanted):
-        found = F.filter(upto, _name_in(wanted))
-        return F.when(both, F.get(found, F.size(found) - 1))
+def person_column_exprs(columns: Sequence[str] | str) -> tuple[str, str] | None:
+    """As ``person_columns``, in SQL; for array columns null where one is missing."""
+    if not isinstance(columns, str):
+        pair = person_columns(columns)
+        return (string(pair[0]), string(pair[1])) if pair else None
+
+    def first(wanted: tuple[str, ...]) -> str:
+        kinds = f"transform({columns}, c -> array_contains({array(wanted)}, lower(c)))"
+        return f"array_position({kinds}, true)"
+
+    first_name, first_age = first(NAME_COLUMNS), first(AGE_COLUMNS)
+    end = f"CAST(greatest({first_name}, {first_age}) AS int)"
+
+    def last(wanted: tuple[str, ...]) -> str:
+        seen = f"slice({columns}, 1, {end})"
+        fits = f"filter({seen}, c -> array_contains({array(wanted)}, lower(c)))"
+        return f"CASE WHEN {first_name} > 0 AND {first_age} > 0 THEN element_at({fits}, -1) END"
 
     return last(NAME_COLUMNS), last(AGE_COLUMNS)

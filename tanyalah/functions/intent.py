@@ -1,7 +1,7 @@
-"""Column expressions that turn a question into an operation.
+"""SQL expressions that turn a question into an operation.
 
-Each function takes the already lower-cased question. Keep that column in a
-projection of its own: Spark then lower-cases every text once.
+``lowered`` is the SQL text of the lower-cased question. Keep it in a column of
+its own: Spark then lower-cases every question once.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sqltext import array, string
 from .vocab import (
     CONFIDENCE,
     DEFAULT_CONFIDENCE,
@@ -24,11 +25,7 @@ from .vocab import (
 )
 
 
-def literals(values: Iterable) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def contains_any(lowered: Column, words: Iterable[str]) -> Column:
+def contains_any(lowered: str, words: Iterable[str]) -> str:
     """True where one of the words occurs.
 
     ``exists`` over a literal array stops at the first hit and stays small in
@@ -36,44 +33,42 @@ def contains_any(lowered: Column, words: Iterable[str]) -> Column:
     up to which the JVM compiles a method, and a regular expression takes two
     to four times as long.
     """
-    return F.exists(literals(words), lambda word: F.contains(lowered, word))
+    return f"exists({array(words)}, word -> contains({lowered}, word))"
 
 
-def rule_number(
-    lowered: Column, vocabulary: Vocabulary = DEFAULT_VOCABULARY
-) -> Column:
+def rule_number(lowered: str, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> str:
     """1-based position of the first operation whose words occur, 0 if none."""
-    chain = None
-    for number, operation in enumerate(vocabulary.priority, start=1):
-        words = shortest_words(tuple(vocabulary.trigger_words[operation]))
-        hit = contains_any(lowered, words)
-        chain = F.when(hit, number) if chain is None else chain.when(hit, number)
-    return chain.otherwise(0)
+    branches = [
+        f"WHEN {contains_any(lowered, shortest_words(tuple(words)))} THEN {number}"
+        for number, words in enumerate(vocabulary.trigger_words.values(), start=1)
+    ]
+    return f"CASE {' '.join(branches)} ELSE 0 END"
 
 
-def operation_of(rule: Column, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> Column:
-    return F.get(literals((DEFAULT_OPERATION, *vocabulary.priority)), rule)
+def operation_of(rule: str, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> str:
+    return f"get({array((DEFAULT_OPERATION, *vocabulary.priority))}, {rule})"
 
 
-def confidence_of(rule: Column, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> Column:
+def confidence_of(rule: str, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> str:
     values = (DEFAULT_CONFIDENCE, *(CONFIDENCE[o] for o in vocabulary.priority))
-    return F.get(literals(values), rule)
+    return f"get({array(values)}, {rule})"
 
 
-def wants_row(lowered: Column) -> Column:
+def wants_row(lowered: str) -> str:
     """The question asks who or which one, so it wants a row, not a value."""
-    return F.coalesce(contains_any(lowered, ROW_WORDS), F.lit(False))
+    return f"coalesce({contains_any(lowered, ROW_WORDS)}, false)"
 
 
-def wants_row_count(lowered: Column) -> Column:
-    return F.coalesce(F.contains(lowered, F.lit(ROW_COUNT_WORD)), F.lit(False))
+def wants_row_count(lowered: str) -> str:
+    return f"coalesce(contains({lowered}, {string(ROW_COUNT_WORD)}), false)"
 
 
 def operation_id(name: Column) -> Column:
     """Id of an operation name, -1 if it is unknown. Needs no join."""
-    return (F.array_position(literals(OPERATIONS), name) - 1).cast("int")
+    known = F.expr(array(OPERATIONS))
+    return (F.array_position(known, name) - 1).cast("int")
 
 
 def operation_name(number: Column) -> Column:
     """Name of an operation id, null if it is unknown. Needs no join."""
-    return F.get(literals(OPERATIONS), number.cast("int"))
+    return F.get(F.expr(array(OPERATIONS)), number.cast("int"))

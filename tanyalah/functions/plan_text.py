@@ -7,87 +7,69 @@ user puts an expression or the columns before running it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
-from .columns import ColumnList, as_array, person_column_exprs
+from .columns import person_column_exprs
+from .sqltext import array, string
 from .vocab import PLACEHOLDER_COLUMN
 
 AGGREGATES = {"MAX": "max", "MIN": "min", "SUM": "sum", "MEAN": "avg", "COUNT": "count"}
+ROW_ORDER = {"MAX": "DESC", "MIN": "ASC"}
 UNKNOWN_PLAN = "-- unknown operation"
 
 
-def quoted(name: Column) -> Column:
-    return F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`"))
+def quoted(name: str) -> str:
+    return f"concat('`', replace({name}, '`', '``'), '`')"
 
 
-def plan_text(
-    operation: Column,
-    column: Column,
-    wants_row: Column,
-    wants_row_count: Column,
-    columns: ColumnList,
-    view: str = "t",
-) -> Column:
-    source = F.lit(f" FROM {view}")
-    blank = column == ""
-    name = quoted(F.when(blank, PLACEHOLDER_COLUMN).otherwise(column))
-    person, age = person_column_exprs(columns)
-    pair = F.concat(quoted(person), F.lit(", "), quoted(age))
+def plan_text(columns: Sequence[str] | str, view: str = "t") -> str:
+    """SQL expression over the columns that ``classify_column`` adds.
 
-    def over_all(function: str) -> Column:
-        named = F.filter(as_array(columns), lambda c: c != "")
-        calls = F.transform(
-            named,
-            lambda c: F.concat(F.lit(f"{function}("), quoted(c), F.lit(") AS "), quoted(c)),
-        )
-        return F.when(F.size(named) == 0, F.lit(f"{function}(:columns)")).otherwise(
-            F.array_join(calls, ", ")
-        )
-
-    def aggregate(function: str) -> Column:
-        one = F.concat(F.lit(f"{function}("), name, F.lit(")"))
-        return F.concat(
-            F.lit("SELECT "), F.when(blank, over_all(function)).otherwise(one), source
-        )
+    ``columns`` as in ``detect_column``.
+    """
+    source = string(f" FROM {view}")
+    name = quoted(
+        f"CASE WHEN detected_column = '' THEN {string(PLACEHOLDER_COLUMN)} "
+        "ELSE detected_column END"
+    )
+    listed = columns if isinstance(columns, str) else array(columns)
+    named = f"filter({listed}, c -> c <> '')"
+    person = person_column_exprs(columns)
+    fields = "'*'"
+    if person:
+        pair = f"concat({quoted(person[0])}, ', ', {quoted(person[1])})"
+        fields = f"coalesce({pair}, '*')"
 
-    def row(order: str) -> Column:
-        return F.concat(
-            F.lit("SELECT "), F.coalesce(pair, F.lit("*")), source,
-            F.lit(" WHERE "), name, F.lit(" IS NOT NULL ORDER BY "), name,
-            F.lit(f" {order} LIMIT 1"),
+    def over_all(function: str) -> str:
+        call = f"concat('{function}(', {quoted('c')}, ') AS ', {quoted('c')})"
+        return (
+            f"CASE WHEN size({named}) = 0 THEN '{function}(:columns)' "
+            f"ELSE array_join(transform({named}, c -> {call}), ', ') END"
         )
 
-    row_asked = wants_row & ~blank
-    return (
-        F.when((operation == "MAX") & row_asked, row("DESC"))
-        .when((operation == "MIN") & row_asked, row("ASC"))
-        .when(
-            (operation == "COUNT") & wants_row_count,
-            F.concat(F.lit("SELECT count(*)"), source),
-        )
-        .when(operation == "MAX", aggregate(AGGREGATES["MAX"]))
-        .when(operation == "MIN", aggregate(AGGREGATES["MIN"]))
-        .when(operation == "SUM", aggregate(AGGREGATES["SUM"]))
-        .when(operation == "MEAN", aggregate(AGGREGATES["MEAN"]))
-        .when(operation == "COUNT", aggregate(AGGREGATES["COUNT"]))
-        .when(
-            operation == "FILTER",
-            F.concat(F.lit("SELECT *"), source, F.lit(" WHERE "), name, F.lit(" > :value")),
-        )
-        .when(
-            operation == "SORT",
-            F.concat(
-                F.lit("SELECT *"), source, F.lit(" ORDER BY "), name,
-                F.lit(" ASC NULLS LAST"),
-            ),
-        )
-        .when(
-            operation == "GROUP",
-            F.concat(
-                F.lit("SELECT "), name, F.lit(", :func"), source, F.lit(" WHERE "),
-                name, F.lit(" IS NOT NULL GROUP BY "), name,
-            ),
-        )
-        .otherwise(UNKNOWN_PLAN)
+    branches = [
+        f"WHEN operation = '{operation}' AND wants_row AND detected_column <> '' THEN "
+        f"concat('SELECT ', {fields}, {source}, ' WHERE ', {name}, "
+        f"' IS NOT NULL ORDER BY ', {name}, ' {order} LIMIT 1')"
+        for operation, order in ROW_ORDER.items()
+    ]
+    branches.append(
+        "WHEN operation = 'COUNT' AND wants_row_count THEN "
+        f"concat('SELECT count(*)', {source})"
     )
+    branches += [
+        f"WHEN operation = '{operation}' THEN concat('SELECT ', CASE WHEN "
+        f"detected_column = '' THEN {over_all(function)} "
+        f"ELSE concat('{function}(', {name}, ')') END, {source})"
+        for operation, function in AGGREGATES.items()
+    ]
+    branches += [
+        "WHEN operation = 'FILTER' THEN "
+        f"concat('SELECT *', {source}, ' WHERE ', {name}, ' > :value')",
+        "WHEN operation = 'SORT' THEN "
+        f"concat('SELECT *', {source}, ' ORDER BY ', {name}, ' ASC NULLS LAST')",
+        "WHEN operation = 'GROUP' THEN "
+        f"concat('SELECT ', {name}, ', :func', {source}, ' WHERE ', {name}, "
+        f"' IS NOT NULL GROUP BY ', {name})",
+    ]
+    return f"CASE {' '.join(branches)} ELSE {string(UNKNOWN_PLAN)} END"

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import ColumnList, person_columns
 from ..functions.vocab import DEFAULT_VOCABULARY, Vocabulary
-from .classify import classify
+from .classify import classify_column
 
 SCALAR_OPERATIONS = ("MAX", "MIN", "SUM", "MEAN", "COUNT")
 _UNORDERED = (T.MapType, T.VariantType)
@@ -189,7 +189,6 @@ class Intent:
     column: str
     wants_row: bool
     wants_row_count: bool
-    text: str
 
 
 def understand(
@@ -199,11 +198,13 @@ def understand(
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
 ) -> Intent:
     """Classify a single question with the same expressions as a whole table."""
-    one = df.sparkSession.sql("SELECT :question AS query", args={"question": question})
-    row = classify(one, columns or df.columns, vocabulary=vocabulary).first()
+    one = df.sparkSession.sql(
+        "SELECT * FROM VALUES (:question) AS asked(query)", args={"question": question}
+    )
+    row = classify_column(one, columns or df.columns, vocabulary=vocabulary).first()
     return Intent(
         row["operation"], row["confidence"], row["by_rule"], row["detected_column"],
-        row["wants_row"], row["wants_row_count"], row["generated_code"],
+        row["wants_row"], row["wants_row_count"],
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.vocab import DEFAULT_VOCABULARY, Vocabulary
 from .answer import SCALAR_OPERATIONS, aggregate_expr, supports
-from .classify import classify
+from .classify import classify_column
 
 ROWS = "*"
 _ANSWER = (
@@ -36,7 +36,7 @@ def answer_many(
     needs_func (GROUP); whole_table (SORT). Numbers are in answer_double,
     everything else in answer_string.
     """
-    asked = classify(questions, df.columns, text, vocabulary).withColumn(
+    asked = classify_column(questions, df.columns, text, vocabulary).withColumn(
         "answer_key",
         F.when((F.col("operation") == "COUNT") & F.col("wants_row_count"), ROWS).otherwise(
             F.col("detected_column")

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intent
-from ..functions.columns import ColumnList, as_array, detect_column, usable_columns
+from ..functions.columns import ColumnList, detect_column, usable_columns
 from ..functions.plan_text import plan_text
+from ..functions.sqltext import ident
 from ..functions.vocab import (
     DEFAULT_VOCABULARY,
     DESCRIPTIONS,
     EXAMPLES,
+    FALLBACK_COLUMNS,
     OPERATIONS,
     Vocabulary,
 )
 
 LOWERED = "__lowered"
 RULE = "__rule"
+COLUMNS = "columns_used"
 
 
 def classify_operation(
@@ -33,56 +38,58 @@ def classify_operation(
     return _with_rule(questions, text, vocabulary).drop(LOWERED, RULE)
 
 
-def classify(
+def classify_column(
     questions: DataFrame,
     columns: ColumnList | None = None,
     text: str = "query",
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
-    view: str = "t",
 ) -> DataFrame:
-    """Add the whole result record to every question.
+    """As ``classify_operation``, with the column and kind of answer wanted.
 
-    New columns: operation, confidence, by_rule, detected_column, wants_row,
-    wants_row_count, generated_code, columns_used. ``columns`` is one list of
-    names for all questions or an array column.
+    Adds detected_column, wants_row, wants_row_count and columns_used.
+    ``columns`` is one list of names for all questions or an array column.
     """
-    given = usable_columns(columns)
-    if isinstance(given, Column):
-        questions = questions.withColumn("columns_used", given)
-        given = F.col("columns_used")
-    else:
-        questions = questions.withColumn("columns_used", as_array(given))
-    lowered = F.col(LOWERED)
-    detected = _with_rule(questions, text, vocabulary).withColumns(
-        {
-            "detected_column": detect_column(lowered, given, vocabulary),
-            "wants_row": intent.wants_row(lowered),
-            "wants_row_count": intent.wants_row_count(lowered),
-        }
+    listed = questions.withColumn(COLUMNS, usable_columns(columns))
+    detected = detect_column(LOWERED, _sql_columns(columns), vocabulary)
+    return (
+        _with_rule(listed, text, vocabulary)
+        .selectExpr(
+            "*",
+            f"{detected} AS detected_column",
+            f"{intent.wants_row(LOWERED)} AS wants_row",
+            f"{intent.wants_row_count(LOWERED)} AS wants_row_count",
+        )
+        .drop(LOWERED, RULE)
     )
-    return detected.withColumn(
-        "generated_code",
-        plan_text(
-            F.col("operation"),
-            F.col("detected_column"),
-            F.col("wants_row"),
-            F.col("wants_row_count"),
-            given,
-            view,
-        ),
-    ).drop(LOWERED, RULE)
+
+
+def classify(
+    questions: DataFrame,
+    columns: ColumnList | None = None,
+    text: str = "query",
+    vocabulary: Vocabulary = DEFAULT_VOCABULARY,
+    view: str = "t",
+) -> DataFrame:
+    """The whole result record: ``classify_column`` and the generated_code."""
+    code = plan_text(_sql_columns(columns), view)
+    return classify_column(questions, columns, text, vocabulary).selectExpr(
+        "*", f"{code} AS generated_code"
+    )
+
+
+def _sql_columns(columns: ColumnList | None) -> Sequence[str] | str:
+    return COLUMNS if isinstance(columns, Column) else list(columns or FALLBACK_COLUMNS)
 
 
 def _with_rule(questions: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
     return (
-        questions.withColumn(LOWERED, F.lower(F.col(text)))
-        .withColumn(RULE, intent.rule_number(F.col(LOWERED), vocabulary))
-        .withColumns(
-            {
-                "operation": intent.operation_of(F.col(RULE), vocabulary),
-                "confidence": intent.confidence_of(F.col(RULE), vocabulary),
-                "by_rule": F.col(RULE) > 0,
-            }
+        questions.selectExpr("*", f"lower({ident(text)}) AS {LOWERED}")
+        .selectExpr("*", f"{intent.rule_number(LOWERED, vocabulary)} AS {RULE}")
+        .selectExpr(
+            "*",
+            f"{intent.operation_of(RULE, vocabulary)} AS operation",
+            f"{intent.confidence_of(RULE, vocabulary)} AS confidence",
+            f"{RULE} > 0 AS by_rule",
         )
     )
 

@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+# Tasks carry the functions of this module along, so the executors need no
+# installed copy of the package.
+register_pickle_by_value(sys.modules[__name__])
+
 # Query vectors up to this many bytes are sent to every executor.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 # Beyond it, vectors meet in blocks of about this many rows.
 BLOCK_ROWS = 20_000
+# Similarities held in memory at a time, per task.
+CELLS = 4_000_000
 DIGITS = 6
 
 
@@ -148,16 +156,22 @@ def best_pairs(
             continue
         batch = batch.sort_values("vector_id", kind="stable")
         ids = batch["vector_id"].to_numpy()
-        similarity = np.round(wanted @ unit_rows(batch["vector"]).T, DIGITS) + 0.0
-        rows, places = np.nonzero(_first_k(similarity, k))
-        found = pd.DataFrame(
-            {
-                "row": rows,
-                "vector_id": ids[places],
-                "similarity": similarity[rows, places],
-            }
-        )
-        merged = found if best is None else pd.concat([best, found])
+        across = unit_rows(batch["vector"]).T
+        step = max(1, CELLS // len(ids))
+        found = [] if best is None else [best]
+        for first in range(0, len(wanted), step):
+            similarity = np.round(wanted[first : first + step] @ across, DIGITS) + 0.0
+            rows, places = np.nonzero(_first_k(similarity, k))
+            found.append(
+                pd.DataFrame(
+                    {
+                        "row": rows + first,
+                        "vector_id": ids[places],
+                        "similarity": similarity[rows, places],
+                    }
+                )
+            )
+        merged = pd.concat(found)
         merged = merged.sort_values(
             ["row", "similarity", "vector_id"], ascending=[True, False, True]
         )

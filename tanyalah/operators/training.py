@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.intent import operation_id, operation_name
@@ -89,18 +89,15 @@ def verified_count(log: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def gate(verified: Column, needed: int) -> Column:
-    return verified >= needed
-
-
-def retrain_gate(verified: DataFrame, needed: int = RETRAIN_DEFAULT) -> DataFrame:
-    """Is retraining due, and how many rows are missing?"""
-    samples = F.col("verified_samples")
-    return verified.select(
+def retrain_gate(verified: DataFrame, *needed: int) -> DataFrame:
+    """Is retraining due, and how many rows are missing? One row per threshold."""
+    samples, minimum = F.col("verified_samples"), F.col("min_samples")
+    thresholds = F.explode(F.lit(list(needed or (RETRAIN_DEFAULT,))))
+    return verified.select("verified_samples", thresholds.alias("min_samples")).select(
         "verified_samples",
-        F.lit(needed).alias("min_samples"),
-        gate(samples, needed).alias("should_retrain"),
-        F.greatest(F.lit(needed) - samples, F.lit(0).cast("bigint")).alias("samples_needed"),
+        "min_samples",
+        (samples >= minimum).alias("should_retrain"),
+        F.greatest(minimum - samples, F.lit(0).cast("bigint")).alias("samples_needed"),
     )
 
 
@@ -108,7 +105,7 @@ def feedback_reply(
     events: DataFrame, verified: DataFrame, needed: int = RETRAIN_ONLINE
 ) -> DataFrame:
     """Reply to each feedback event, with a hint once enough rows are verified."""
-    due = verified.select(gate(F.col("verified_samples"), needed).alias("due")).scalar()
+    due = verified.select((F.col("verified_samples") >= needed).alias("due")).scalar()
     return events.select(
         "query_id", "feedback", F.when(due, F.lit(SUGGESTION)).alias("suggestion")
     )

@@ -20,13 +20,17 @@ from ..sources.query_log import log_rows
 
 
 def read_stream(
-    spark: SparkSession, path: str, ddl: str, max_files: int | None = None
+    spark: SparkSession,
+    folder: str,
+    ddl: str,
+    pattern: str = "*.parquet",
+    max_files: int | None = None,
 ) -> DataFrame:
     """Parquet files as they arrive in a folder; the layout must be declared."""
-    reader = spark.readStream.schema(ddl)
+    reader = spark.readStream.schema(ddl).option("pathGlobFilter", pattern)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def stream_to_log(
