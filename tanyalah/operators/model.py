@@ -15,7 +15,7 @@ from ..sources.corpus import seed_corpus
 from .classify import classify_operation
 
 TEXT = "__model_text"
-DEFAULT_EPOCHS = 30
+DEFAULT_EPOCHS = 10
 FEATURES = 1 << 13
 
 

@@ -8,18 +8,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 # Tasks carry the functions of this module along, so the executors need no
 # installed copy of the package.
 register_pickle_by_value(sys.modules[__name__])
 
-# Query vectors up to this many bytes are sent to every executor.
-BROADCAST_BYTES = 8 << 20
+# Up to this many query vectors are sent to every executor.
+BROADCAST_ROWS = 1000
 # Beyond it, vectors meet in blocks of about this many rows.
 BLOCK_ROWS = 20_000
 # Similarities held in memory at a time, per task.
@@ -35,7 +38,7 @@ def top_k_similar(
     query_vector: str = "query_vector",
     vector_id: str = "vec_id",
     vector: str = "embedding",
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_rows: int = BROADCAST_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Rows (query_id, vector_id, similarity, rank) with rank 1 to k, exactly.
@@ -46,20 +49,18 @@ def top_k_similar(
 
     No pair of vectors ever becomes a row: each task multiplies a batch of the
     corpus with the query vectors and keeps its k best per query. Few query
-    vectors (checked by their size) go to every executor and the corpus stays
-    where it is. More of them are cut into blocks, and each block of queries
+    vectors go to every executor and the corpus stays where it is. More than
+    ``broadcast_rows`` of them are cut into blocks, and each block of queries
     meets each block of the corpus in a task of its own.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    left = queries.select(
-        F.col(query_id).alias("query_id"),
-        F.col(query_vector).cast("array<double>").alias("query_vector"),
-    ).filter("query_vector IS NOT NULL")
-    right = corpus.select(
-        F.col(vector_id).alias("vector_id"),
-        F.col(vector).cast("array<double>").alias("vector"),
-    ).filter("vector IS NOT NULL")
+    left = queries.filter(F.col(query_vector).isNotNull()).select(
+        F.col(query_id).alias("query_id"), F.col(query_vector).alias("query_vector")
+    )
+    right = corpus.filter(F.col(vector).isNotNull()).select(
+        F.col(vector_id).alias("vector_id"), F.col(vector).alias("vector")
+    )
     schema = T.StructType(
         [
             left.schema["query_id"],
@@ -67,14 +68,12 @@ def top_k_similar(
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    size = left.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.size("query_vector") * 8), F.lit(0)).alias("bytes"),
-    ).first()
-    if size["bytes"] <= broadcast_bytes:
-        best = _against_all(left, right, k, schema)
+    # One row more than may be sent tells whether there are too many.
+    few = left.limit(broadcast_rows + 1).toArrow()
+    if few.num_rows <= broadcast_rows:
+        best = _against_all(few, right, k, schema)
     else:
-        best = _block_by_block(left, right, k, schema, size["rows"], block_rows)
+        best = _block_by_block(left, right, k, schema, block_rows)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vector_id")
     return (
         best.withColumn("rank", F.row_number().over(order))
@@ -84,33 +83,28 @@ def top_k_similar(
 
 
 def _against_all(
-    left: DataFrame, right: DataFrame, k: int, schema: T.StructType
+    queries: pa.Table, right: DataFrame, k: int, schema: T.StructType
 ) -> DataFrame:
-    shared = left.sparkSession.sparkContext.broadcast(left.toPandas())
+    shared = right.sparkSession.sparkContext.broadcast(queries)
+    layout = to_arrow_schema(schema)
 
-    def best_of_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = best_pairs(shared.value, batches, k)
-        if best is not None:
-            yield best
+    def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from best_pairs(shared.value, batches, k, layout).to_batches()
 
-    return right.mapInPandas(best_of_partition, schema)
+    return right.mapInArrow(best_of_partition, schema)
 
 
 def _block_by_block(
-    left: DataFrame,
-    right: DataFrame,
-    k: int,
-    schema: T.StructType,
-    query_rows: int,
-    block_rows: int,
+    left: DataFrame, right: DataFrame, k: int, schema: T.StructType, block_rows: int
 ) -> DataFrame:
     """Every block of queries against every block of the corpus.
 
     Hashing the ids fills the blocks evenly, so each task holds about
     ``block_rows`` vectors of either side.
     """
-    query_blocks = max(1, math.ceil(query_rows / block_rows))
+    query_blocks = max(1, math.ceil(left.count() / block_rows))
     corpus_blocks = max(1, math.ceil(right.count() / block_rows))
+    layout = to_arrow_schema(schema)
 
     def block(column: str, count: int):
         return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
@@ -125,66 +119,84 @@ def _block_by_block(
         "qb", every(query_blocks)
     )
 
-    def best_of_block(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        best = best_pairs(queries, [vectors], k) if len(queries) else None
-        return best if best is not None else pd.DataFrame(columns=schema.names)
+    def best_of_block(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        return best_pairs(queries, [vectors], k, layout)
 
     return (
         spread_left.groupBy("qb", "cb")
         .cogroup(spread_right.groupBy("qb", "cb"))
-        .applyInPandas(best_of_block, schema)
+        .applyInArrow(best_of_block, schema)
     )
 
 
-def unit_rows(vectors: Iterable) -> np.ndarray:
-    matrix = np.stack(list(vectors)).astype("float64")
+def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of equal length as the rows of a matrix, scaled to length 1."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    sizes = pc.unique(pc.list_value_length(vectors))
+    if len(sizes) != 1:
+        raise ValueError(f"vectors differ in length: {sizes.to_pylist()[:5]}")
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    matrix = flat.astype("float64").reshape(len(vectors), -1)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
 def best_pairs(
-    queries: pd.DataFrame, batches: Iterable[pd.DataFrame], k: int
-) -> pd.DataFrame | None:
+    queries: pa.Table,
+    batches: Iterable[pa.RecordBatch | pa.Table],
+    k: int,
+    layout: pa.Schema,
+) -> pa.Table:
     """The k best vectors per query over some batches, ties by vector id."""
-    if not len(queries):
-        return None
-    wanted = unit_rows(queries["query_vector"])
-    keys = queries["query_id"].to_numpy()
     best = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        batch = batch.sort_values("vector_id", kind="stable")
-        ids = batch["vector_id"].to_numpy()
-        across = unit_rows(batch["vector"]).T
-        step = max(1, CELLS // len(ids))
-        found = [] if best is None else [best]
-        for first in range(0, len(wanted), step):
-            similarity = np.round(wanted[first : first + step] @ across, DIGITS) + 0.0
-            rows, places = np.nonzero(_first_k(similarity, k))
-            found.append(
-                pd.DataFrame(
-                    {
-                        "row": rows + first,
-                        "vector_id": ids[places],
-                        "similarity": similarity[rows, places],
-                    }
-                )
-            )
-        merged = pd.concat(found)
-        merged = merged.sort_values(
-            ["row", "similarity", "vector_id"], ascending=[True, False, True]
-        )
-        best = merged.groupby("row", sort=False).head(k)
+    if queries.num_rows:
+        wanted = unit_rows(queries.column("query_vector"))
+        keys = queries.column("query_id").to_pandas().to_numpy()
+        for batch in batches:
+            if batch.num_rows:
+                best = _merge(best, wanted, batch, k)
     if best is None:
-        return None
-    return pd.DataFrame(
+        return layout.empty_table()
+    pairs = pd.DataFrame(
         {
             "query_id": keys[best["row"].to_numpy()],
             "vector_id": best["vector_id"].to_numpy(),
             "similarity": best["similarity"].to_numpy(),
         }
     )
+    return pa.Table.from_pandas(pairs, schema=layout, preserve_index=False)
+
+
+def _merge(
+    best: pd.DataFrame | None,
+    wanted: np.ndarray,
+    batch: pa.RecordBatch | pa.Table,
+    k: int,
+) -> pd.DataFrame:
+    batch = batch.take(pc.sort_indices(batch.column("vector_id")))
+    ids = batch.column("vector_id").to_pandas().to_numpy()
+    across = unit_rows(batch.column("vector")).T
+    if across.shape[0] != wanted.shape[1]:
+        raise ValueError("query and corpus vectors differ in length")
+    step = max(1, CELLS // len(ids))
+    found = [] if best is None else [best]
+    for first in range(0, len(wanted), step):
+        similarity = np.round(wanted[first : first + step] @ across, DIGITS) + 0.0
+        rows, places = np.nonzero(_first_k(similarity, k))
+        found.append(
+            pd.DataFrame(
+                {
+                    "row": rows + first,
+                    "vector_id": ids[places],
+                    "similarity": similarity[rows, places],
+                }
+            )
+        )
+    merged = pd.concat(found).sort_values(
+        ["row", "similarity", "vector_id"], ascending=[True, False, True]
+    )
+    return merged.groupby("row", sort=False).head(k)
 
 
 def _first_k(similarity: np.ndarray, k: int) -> np.ndarray:
