@@ -16,6 +16,13 @@ from ..sources import schemas
 from .feedback import feedback_accepted, feedback_state
 from .model import DEFAULT_EPOCHS, fit_model
 
+# Any text survives: quotes are doubled, blanks and line breaks are kept.
+CSV = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 SUGGESTION = "enough new data to retrain the model"
 
 
@@ -62,16 +69,16 @@ def export_training(training: DataFrame, path: str, single_file: bool = False) -
     """
     rows = with_names(read_training(training))
     rows = rows.coalesce(1) if single_file else rows
-    rows.write.mode("overwrite").options(header=True, escape='"').csv(path)
+    rows.write.mode("overwrite").options(**CSV).csv(path)
     return path
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.schema(schemas.TRAINING_EXPORT)
-        .options(header=True, escape='"', multiLine=True)
-        .csv(path)
+    rows = (
+        spark.read.schema(schemas.TRAINING_EXPORT).options(**CSV, multiLine=True).csv(path)
     )
+    # CSV does not tell an empty question from none.
+    return rows.withColumn("query", F.coalesce("query", F.lit("")))
 
 
 def verified_count(log: DataFrame, events: DataFrame) -> DataFrame:

@@ -1,0 +1,73 @@
+import numpy as np
+import pytest
+
+from tanyalah.operators.similarity import top_k_similar
+
+
+def brute_force(queries, corpus, k):
+    found = []
+    for q, a in queries:
+        scored = []
+        for v, b in corpus:
+            a_, b_ = np.array(a, float), np.array(b, float)
+            length = np.linalg.norm(a_) * np.linalg.norm(b_)
+            scored.append((-round(float(a_ @ b_ / length), 6) + 0.0 if length else 0.0, v))
+        for rank, (s, v) in enumerate(sorted(scored)[:k], start=1):
+            found.append((q, v, -s + 0.0, rank))
+    return sorted(found)
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    """Random vectors; a third are copies of one, one is zero."""
+    chance = np.random.default_rng(5)
+    corpus = [(i, chance.normal(size=8).round(3).tolist()) for i in range(200)]
+    corpus += [(i, [1.0] * 8) for i in range(200, 300)]
+    corpus.append((300, [0.0] * 8))
+    queries = [(f"q{i}", chance.normal(size=8).round(3).tolist()) for i in range(30)]
+    queries += [("ones", [2.0] * 8), ("zero", [0.0] * 8)]
+    return queries, corpus
+
+
+@pytest.fixture(scope="module")
+def frames(spark, vectors):
+    queries, corpus = vectors
+    return (
+        spark.createDataFrame([*queries, ("none", None)], "q string, v array<double>"),
+        spark.createDataFrame(
+            [*corpus, (301, None)], "vec_id bigint, embedding array<double>"
+        ).repartition(6),
+    )
+
+
+def run(frames, k, **options):
+    queries, corpus = frames
+    rows = top_k_similar(queries, corpus, k, "q", "v", **options).collect()
+    assert rows[0].asDict().keys() == {"q", "vec_id", "similarity", "rank"}
+    return sorted((r["q"], r["vec_id"], r["similarity"], r["rank"]) for r in rows)
+
+
+@pytest.mark.parametrize("k", [1, 4, 500])
+def test_few_queries(frames, vectors, k):
+    got, want = run(frames, k), brute_force(*vectors, k)
+    assert [(q, v, r) for q, v, _, r in got] == [(q, v, r) for q, v, _, r in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-9)
+
+
+def test_many_queries_meet_in_blocks(frames):
+    assert run(frames, 4, broadcast_rows=3, block_rows=9) == run(frames, 4)
+
+
+def test_empty_sides(spark, frames):
+    queries, corpus = frames
+    assert top_k_similar(queries.limit(0), corpus, 2, "q", "v").count() == 0
+    assert top_k_similar(queries, corpus.limit(0), 2, "q", "v").count() == 0
+
+
+def test_lengths_must_agree(spark, frames):
+    queries, corpus = frames
+    short = spark.createDataFrame([("a", [1.0])], "q string, v array<double>")
+    with pytest.raises(Exception, match="differ in length"):
+        top_k_similar(short, corpus, 2, "q", "v").collect()
+    with pytest.raises(ValueError):
+        top_k_similar(queries, corpus, 0, "q", "v")
