@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .intent import contains_any
-from .sqltext import array, string, strings_type
+from .sqltext import array, let, string, strings_type
 from .vocab import (
     AGE_COLUMNS,
     DEFAULT_VOCABULARY,
@@ -47,7 +47,8 @@ def detect_column(
     listed = ", ".join(
         f"named_struct('name', {string(n)}, 'lower', {string(n.lower())})" for n in names
     )
-    choices = [f"get(filter(array({listed}), c -> contains({lowered}, c.lower)), 0).name"]
+    first = f"get(filter(array({listed}), c -> contains(said, c.lower)), 0).name"
+    choices = [let(lowered, first)]
     for term, parts in vocabulary.synonyms.items():
         meant = [n for n in names if any(p in n.lower() for p in parts)]
         if meant:
@@ -56,7 +57,8 @@ def detect_column(
 
 
 def _detect_per_row(lowered: str, columns: str, vocabulary: Vocabulary) -> str:
-    choices = [f"get(filter({columns}, c -> contains({lowered}, lower(c))), 0)"]
+    first = f"get(filter({columns}, c -> contains(said, lower(c))), 0)"
+    choices = [let(lowered, first)]
     for term, parts in vocabulary.synonyms.items():
         meant = f"get(filter({columns}, c -> {contains_any('lower(c)', parts)}), 0)"
         choices.append(_if_said(lowered, term, meant))

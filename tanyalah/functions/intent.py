@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sqltext import array, string
+from .sqltext import array, let, string
 from .vocab import (
     CONFIDENCE,
     DEFAULT_CONFIDENCE,
@@ -39,14 +39,16 @@ def contains_any(lowered: str, words: Iterable[str]) -> str:
 def rule_number(lowered: str, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> str:
     """1-based position of the first operation whose words occur, 0 if none."""
     branches = [
-        f"WHEN {contains_any(lowered, shortest_words(tuple(words)))} THEN {number}"
+        f"WHEN {contains_any('said', shortest_words(tuple(words)))} THEN {number}"
         for number, words in enumerate(vocabulary.trigger_words.values(), start=1)
     ]
-    return f"CASE {' '.join(branches)} ELSE 0 END"
+    return let(lowered, f"CASE {' '.join(branches)} ELSE 0 END")
 
 
 def operation_of(rule: str, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> str:
-    return f"get({array((DEFAULT_OPERATION, *vocabulary.priority))}, {rule})"
+    # The coalesce tells Spark that there is always an operation.
+    names = array((DEFAULT_OPERATION, *vocabulary.priority))
+    return f"coalesce(get({names}, {rule}), {string(DEFAULT_OPERATION)})"
 
 
 def confidence_of(rule: str, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> str:
@@ -56,7 +58,7 @@ def confidence_of(rule: str, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> str
 
 def wants_row(lowered: str) -> str:
     """The question asks who or which one, so it wants a row, not a value."""
-    return f"coalesce({contains_any(lowered, ROW_WORDS)}, false)"
+    return f"coalesce({let(lowered, contains_any('said', ROW_WORDS))}, false)"
 
 
 def wants_row_count(lowered: str) -> str:

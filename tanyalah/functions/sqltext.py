@@ -19,9 +19,34 @@ def ident(name: str) -> str:
 
 
 def array(values: Iterable[str | float]) -> str:
-    items = [string(v) if isinstance(v, str) else f"{v!r}D" for v in values]
-    return f"array({', '.join(items)})"
+    return f"array({', '.join(map(literal, values))})"
 
 
 def strings_type(expression: str) -> str:
     return f"CAST({expression} AS array<string>)"
+
+
+def let(value: str, body: str) -> str:
+    """``body``, with ``said`` standing for ``value``, which is evaluated once.
+
+    Spark may move an expression into a filter below and put the definition of
+    every column it uses in its place. Used inside a lambda, such a definition
+    would then be evaluated for every element.
+    """
+    return f"get(transform(array({value}), said -> {body}), 0)"
+
+
+def values(rows: Iterable[tuple], ddl: str) -> str:
+    """A query for a small table. It needs no Python worker to be read."""
+    names = [part.split(" ", 1) for part in ddl.split(", ")]
+    listed = ", ".join(f"({', '.join(map(literal, row))})" for row in rows)
+    fields = ", ".join(f"CAST({n} AS {kind}) AS {n}" for n, kind in names)
+    return f"SELECT {fields} FROM VALUES {listed} AS t({', '.join(n for n, _ in names)})"
+
+
+def literal(value: str | int | float | bool | None) -> str:
+    if value is None or isinstance(value, bool):
+        return {None: "NULL", True: "true", False: "false"}[value]
+    if isinstance(value, str):
+        return string(value)
+    return f"{value!r}D" if isinstance(value, float) else str(value)

@@ -42,13 +42,11 @@ def answer_many(
             F.col("detected_column")
         ),
     )
-    pairs = (
-        asked.filter(F.col("operation").isin(*SCALAR_OPERATIONS))
-        .select("operation", "answer_key")
-        .distinct()
-        .collect()  # at most 5 * (number of columns + 1) rows
-    )
-    answers = _answers(df, sorted((p["operation"], p["answer_key"]) for p in pairs))
+    # At most 8 * (number of columns + 1) rows. Not filtered in Spark, as the
+    # filter would classify every question a second time.
+    pairs = asked.select("operation", "answer_key").distinct().collect()
+    scalar = [tuple(p) for p in pairs if p["operation"] in SCALAR_OPERATIONS]
+    answers = _answers(df, sorted(scalar))
     joined = asked.join(F.broadcast(answers), ["operation", "answer_key"], "left")
     status = (
         F.when(F.col("operation") == "FILTER", "needs_value")

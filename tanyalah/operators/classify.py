@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import intent
 from ..functions.columns import ColumnList, detect_column, usable_columns
 from ..functions.plan_text import plan_text
-from ..functions.sqltext import ident
+from ..functions.sqltext import ident, values
 from ..functions.vocab import (
     DEFAULT_VOCABULARY,
     DESCRIPTIONS,
@@ -110,11 +110,11 @@ def intent_catalog(
         for number, name in enumerate(OPERATIONS)
         for example in EXAMPLES[name]
     ]
-    return spark.createDataFrame(
-        rows,
+    ddl = (
         "operation_id int, operation string, priority int, description string, "
-        "keywords string, example string",
+        "keywords string, example string"
     )
+    return spark.sql(values(rows, ddl))
 
 
 def operation_usage(questions: DataFrame, text: str = "query") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.intent import operation_id, operation_name
+from ..functions.sqltext import values
 from ..functions.vocab import (
     RETRAIN_DEFAULT,
     RETRAIN_MANUAL,
@@ -23,6 +24,10 @@ CSV = {
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
+RETRAIN_REPORT = (
+    "status string, min_samples int, training_samples bigint, samples_exported bigint, "
+    "suggestion string, export_path string, model_path string"
+)
 SUGGESTION = "enough new data to retrain the model"
 
 
@@ -128,8 +133,8 @@ def retrain(
 ) -> DataFrame:
     """Export the training data and fit and save a model, if there is enough.
 
-    Returns one row: status (insufficient or completed), min_samples,
-    training_samples, samples_exported, suggestion, export_path, model_path.
+    Returns one row as in ``RETRAIN_REPORT``; its status is insufficient or
+    completed.
     """
     samples = verified_count(log, events).first()["verified_samples"]
     export_path = model_path = None
@@ -141,16 +146,10 @@ def retrain(
         exported = data.count()
         model_path = f"{folder}/model"
         fit_model(data, epochs).write().overwrite().save(model_path)
-    return spark.createDataFrame(
-        [
-            (
-                "completed" if model_path else "insufficient",
-                needed, samples, exported,
-                SUGGESTION if samples >= RETRAIN_ONLINE else None,
-                export_path, model_path,
-            )
-        ],
-        "status string, min_samples int, training_samples bigint, "
-        "samples_exported bigint, suggestion string, export_path string, "
-        "model_path string",
+    row = (
+        "completed" if model_path else "insufficient",
+        needed, samples, exported,
+        SUGGESTION if samples >= RETRAIN_ONLINE else None,
+        export_path, model_path,
     )
+    return spark.sql(values([row], RETRAIN_REPORT))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.sqltext import values
 from ..functions.vocab import OPERATIONS
 from . import schemas
 
@@ -59,4 +60,4 @@ def seed_corpus(spark: SparkSession) -> DataFrame:
         for operation, questions in SEED.items()
         for question in questions
     ]
-    return spark.createDataFrame(rows, schemas.LABELLED_CORPUS)
+    return spark.sql(values(rows, schemas.LABELLED_CORPUS))
