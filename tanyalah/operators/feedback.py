@@ -9,10 +9,13 @@ from ..functions.vocab import POSITIVE_FEEDBACK
 
 
 def is_accepted() -> Column:
-    """A named operation together with positive feedback, in any case."""
+    """A named operation together with positive feedback, in any case.
+
+    Null where either is missing, which both filters and counts leave out; the
+    scan then skips such rows itself.
+    """
     named = F.length("correct_operation") > 0
-    positive = F.lower("feedback").isin(*POSITIVE_FEEDBACK)
-    return F.coalesce(named & positive, F.lit(False))
+    return named & F.lower("feedback").isin(*POSITIVE_FEEDBACK)
 
 
 def feedback_state(events: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ def fit_model(labelled: DataFrame, epochs: int = DEFAULT_EPOCHS) -> PipelineMode
         examples.filter(F.col("operation_id").between(0, len(OPERATIONS) - 1))
         .groupBy(F.col("query").alias(TEXT), F.col("operation_id").cast("double").alias("label"))
         .agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        .persist()  # fitting reads it more than once
     )
     steps = [
         RegexTokenizer(
@@ -46,7 +47,10 @@ def fit_model(labelled: DataFrame, epochs: int = DEFAULT_EPOCHS) -> PipelineMode
             predictionCol="__prediction", maxIter=epochs, regParam=0.001,
         ),
     ]
-    return Pipeline(stages=steps).fit(weighted)
+    try:
+        return Pipeline(stages=steps).fit(weighted)
+    finally:
+        weighted.unpersist()
 
 
 def load_model(path: str) -> PipelineModel:

@@ -107,7 +107,9 @@ def as_text_log(log: DataFrame) -> DataFrame:
     """The log with ISO timestamps and JSON column lists as text."""
     return log.withColumns(
         {
-            "timestamp": F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+            "timestamp": F.replace(
+                F.col("timestamp").cast("string"), F.lit(" "), F.lit("T")
+            ),
             "columns_used": F.to_json(
                 F.coalesce("columns_used", F.array().cast("array<string>"))
             ),

@@ -87,7 +87,7 @@ def test_append_and_read_back(spark, log):
     assert row["timestamp"] == NOW and row["log_date"] == NOW.date()
     assert row["columns_used"] == ["harga"] and row["user_id"] is None
     as_text = query_log.as_text_log(stored).filter("id = 8").first()
-    assert as_text["timestamp"] == NOW.isoformat()
+    assert dt.datetime.fromisoformat(as_text["timestamp"]) == NOW
     assert as_text["columns_used"] == '["harga"]'
 
 

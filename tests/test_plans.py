@@ -104,6 +104,38 @@ def test_stats_scan_each_table_once(stored):
 def test_training_set_joins_once(stored):
     plan = physical(training.training_set(*stored))
     assert plan.count("Join") == 1 and plan.count("FileScan") == 2
+    assert "IsNotNull(correct_operation)" in plan or "isnotnull(correct_operation" in plan
+
+
+def test_a_hot_question_is_split_over_tasks(spark, stored):
+    """Adaptive execution splits the events of one question in the join."""
+    log, events = stored
+    third = F.when(F.col("seq") % 3 == 0, F.lit(7)).otherwise(F.col("query_id"))
+    copies = events.withColumn("query_id", third).withColumn(
+        "id", F.explode(F.sequence(F.lit(0), F.lit(59)))
+    )
+    path = fresh_folder(spark, "hot")
+    copies.withColumns(
+        {"seq": F.col("seq") * 60 + F.col("id"), "feedback": F.lit("good"),
+         "correct_operation": F.sha2(F.concat_ws("-", "seq", "id"), 256)}
+    ).drop("id").repartition(8).write.parquet(path)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
+        "spark.sql.shuffle.partitions": "32",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        joined = training.training_set(log, query_log.read_feedback(spark, path))
+        run = joined._jdf.queryExecution()
+        assert run.toRdd().count() > 0
+        assert "skew=true" in run.executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def test_feedback_state_is_a_partial_aggregate(stored):
