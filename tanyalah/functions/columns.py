@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .intent import contains_any
-from .sqltext import array, let, string, strings_type
+from .intent import WORDS_IN_CODE, contains_any
+from .sqltext import array, string, strings_type
 from .vocab import (
     AGE_COLUMNS,
     DEFAULT_VOCABULARY,
@@ -44,31 +44,31 @@ def detect_column(
     names = list(columns)
     if not names:
         return string(PLACEHOLDER_COLUMN)
-    listed = ", ".join(
-        f"named_struct('name', {string(n)}, 'lower', {string(n.lower())})" for n in names
-    )
-    first = f"get(filter(array({listed}), c -> contains(said, c.lower)), 0).name"
-    choices = [let(lowered, first)]
+    said = [(n.lower(), n) for n in names]
     for term, parts in vocabulary.synonyms.items():
         meant = [n for n in names if any(p in n.lower() for p in parts)]
-        if meant:
-            choices.append(_if_said(lowered, term, string(meant[0])))
-    return f"coalesce({', '.join(choices)}, {string(names[0])})"
+        said += [(term, n) for n in meant[:1]]
+    if len(said) <= WORDS_IN_CODE:
+        branches = [
+            f"WHEN contains({lowered}, {string(word)}) THEN {string(name)}"
+            for word, name in said
+        ]
+        return f"CASE {' '.join(branches)} ELSE {string(names[0])} END"
+    pairs = ", ".join(
+        f"named_struct('word', {string(word)}, 'name', {string(name)})" for word, name in said
+    )
+    first = f"get(filter(array({pairs}), c -> contains({lowered}, c.word)), 0).name"
+    return f"coalesce({first}, {string(names[0])})"
 
 
 def _detect_per_row(lowered: str, columns: str, vocabulary: Vocabulary) -> str:
-    first = f"get(filter({columns}, c -> contains(said, lower(c))), 0)"
-    choices = [let(lowered, first)]
+    choices = [f"get(filter({columns}, c -> contains({lowered}, lower(c))), 0)"]
     for term, parts in vocabulary.synonyms.items():
         meant = f"get(filter({columns}, c -> {contains_any('lower(c)', parts)}), 0)"
-        choices.append(_if_said(lowered, term, meant))
+        choices.append(f"CASE WHEN contains({lowered}, {string(term)}) THEN {meant} END")
     return f"coalesce({', '.join(choices)}, get({columns}, 0), {string(PLACEHOLDER_COLUMN)})"
 
 
-def _if_said(lowered: str, term: str, column: str) -> str:
-    return f"CASE WHEN contains({lowered}, {string(term)}) THEN {column} END"
-
-
 def person_columns(columns: Sequence[str]) -> tuple[str, str] | None:
     """Name and age column of a list, as they stand where both are first known."""
     lowered = [c.lower() for c in columns]

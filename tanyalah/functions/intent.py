@@ -1,17 +1,17 @@
 """SQL expressions that turn a question into an operation.
 
-``lowered`` is the SQL text of the lower-cased question. Keep it in a column of
-its own: Spark then lower-cases every question once.
+``lowered`` is the SQL text of the lower-cased question: a column of its own, so
+that Spark lower-cases every question once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sqltext import array, let, string
+from .sqltext import array, string
 from .vocab import (
     CONFIDENCE,
     DEFAULT_CONFIDENCE,
@@ -25,24 +25,27 @@ from .vocab import (
 )
 
 
-def contains_any(lowered: str, words: Iterable[str]) -> str:
-    """True where one of the words occurs.
+# Up to this many words an OR of contains() is fastest. With many more, the
+# generated method gets too long for the JVM to compile.
+WORDS_IN_CODE = 80
 
-    ``exists`` over a literal array stops at the first hit and stays small in
-    generated code. An OR of some forty ``contains`` calls grows past the size
-    up to which the JVM compiles a method, and a regular expression takes two
-    to four times as long.
-    """
-    return f"exists({array(words)}, word -> contains({lowered}, word))"
+
+def contains_any(lowered: str, words: Sequence[str], unrolled: bool = True) -> str:
+    """True where one of the words occurs (regular expressions take far longer)."""
+    if not unrolled:
+        return f"exists({array(words)}, word -> contains({lowered}, word))"
+    return "(" + " OR ".join(f"contains({lowered}, {string(w)})" for w in words) + ")"
 
 
 def rule_number(lowered: str, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> str:
     """1-based position of the first operation whose words occur, 0 if none."""
+    needed = [shortest_words(tuple(w)) for w in vocabulary.trigger_words.values()]
+    unrolled = sum(map(len, needed)) <= WORDS_IN_CODE
     branches = [
-        f"WHEN {contains_any('said', shortest_words(tuple(words)))} THEN {number}"
-        for number, words in enumerate(vocabulary.trigger_words.values(), start=1)
+        f"WHEN {contains_any(lowered, words, unrolled)} THEN {number}"
+        for number, words in enumerate(needed, start=1)
     ]
-    return let(lowered, f"CASE {' '.join(branches)} ELSE 0 END")
+    return f"CASE {' '.join(branches)} ELSE 0 END"
 
 
 def operation_of(rule: str, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> str:
@@ -58,7 +61,7 @@ def confidence_of(rule: str, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> str
 
 def wants_row(lowered: str) -> str:
     """The question asks who or which one, so it wants a row, not a value."""
-    return f"coalesce({let(lowered, contains_any('said', ROW_WORDS))}, false)"
+    return f"coalesce({contains_any(lowered, ROW_WORDS)}, false)"
 
 
 def wants_row_count(lowered: str) -> str:

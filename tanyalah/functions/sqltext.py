@@ -26,14 +26,16 @@ def strings_type(expression: str) -> str:
     return f"CAST({expression} AS array<string>)"
 
 
-def let(value: str, body: str) -> str:
-    """``body``, with ``said`` standing for ``value``, which is evaluated once.
+def once(**expressions: str) -> str:
+    """The expressions as columns that are evaluated exactly once per row.
 
-    Spark may move an expression into a filter below and put the definition of
-    every column it uses in its place. Used inside a lambda, such a definition
-    would then be evaluated for every element.
+    Spark may move a condition on a column below the projection that defines
+    it, and put the whole definition in its place: the work is then done twice,
+    and parts of it once per use. It does not move conditions on the output of
+    a generator.
     """
-    return f"get(transform(array({value}), said -> {body}), 0)"
+    fields = ", ".join(f"{string(name)}, {e}" for name, e in expressions.items())
+    return f"inline(array(named_struct({fields})))"
 
 
 def values(rows: Iterable[tuple], ddl: str) -> str:

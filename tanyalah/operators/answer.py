@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import ColumnList, person_columns
+from ..functions.columns import person_columns
 from ..functions.vocab import DEFAULT_VOCABULARY, Vocabulary
-from .classify import classify_column
+from .classify import classify_one
 
 SCALAR_OPERATIONS = ("MAX", "MIN", "SUM", "MEAN", "COUNT")
 _UNORDERED = (T.MapType, T.VariantType)
@@ -194,14 +194,12 @@ class Intent:
 def understand(
     df: DataFrame,
     question: str,
-    columns: ColumnList | None = None,
+    columns: Sequence[str] | None = None,
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
 ) -> Intent:
     """Classify a single question with the same expressions as a whole table."""
-    one = df.sparkSession.sql(
-        "SELECT * FROM VALUES (:question) AS asked(query)", args={"question": question}
-    )
-    row = classify_column(one, columns or df.columns, vocabulary=vocabulary).first()
+    names = list(columns or df.columns)
+    row = classify_one(df.sparkSession, question, names, vocabulary)
     return Intent(
         row["operation"], row["confidence"], row["by_rule"], row["detected_column"],
         row["wants_row"], row["wants_row_count"],

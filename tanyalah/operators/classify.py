@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intent
 from ..functions.columns import ColumnList, detect_column, usable_columns
 from ..functions.plan_text import plan_text
-from ..functions.sqltext import ident, values
+from ..functions.sqltext import ident, once, values
 from ..functions.vocab import (
     DEFAULT_VOCABULARY,
     DESCRIPTIONS,
@@ -32,10 +32,13 @@ def classify_operation(
 ) -> DataFrame:
     """Add ``operation``, ``confidence`` and ``by_rule``.
 
-    Each step that is used more than once has a projection of its own, so one
-    pass lower-cases and matches every text once. No shuffle, no Python.
+    One pass that lower-cases and matches every text once, whatever is done
+    with the result. No shuffle, no Python.
     """
-    return _with_rule(questions, text, vocabulary).drop(LOWERED, RULE)
+    lowered = questions.selectExpr("*", f"lower({ident(text)}) AS {LOWERED}")
+    rule = intent.rule_number(LOWERED, vocabulary)
+    matched = lowered.selectExpr("*", once(**{RULE: rule}))
+    return _named(matched, vocabulary).drop(LOWERED, RULE)
 
 
 def classify_column(
@@ -49,17 +52,46 @@ def classify_column(
     Adds detected_column, wants_row, wants_row_count and columns_used.
     ``columns`` is one list of names for all questions or an array column.
     """
-    listed = questions.withColumn(COLUMNS, usable_columns(columns))
-    detected = detect_column(LOWERED, _sql_columns(columns), vocabulary)
-    return (
-        _with_rule(listed, text, vocabulary)
-        .selectExpr(
-            "*",
-            f"{detected} AS detected_column",
-            f"{intent.wants_row(LOWERED)} AS wants_row",
-            f"{intent.wants_row_count(LOWERED)} AS wants_row_count",
-        )
-        .drop(LOWERED, RULE)
+    matched = (
+        questions.withColumn(COLUMNS, usable_columns(columns))
+        .selectExpr("*", f"lower({ident(text)}) AS {LOWERED}")
+        .selectExpr("*", once(**{RULE: intent.rule_number(LOWERED, vocabulary)}))
+        .selectExpr("*", once(**_wanted(columns, vocabulary)))
+    )
+    return _named(matched, vocabulary).drop(LOWERED, RULE)
+
+
+def classify_one(
+    spark: SparkSession,
+    question: str,
+    columns: Sequence[str],
+    vocabulary: Vocabulary = DEFAULT_VOCABULARY,
+) -> Row:
+    """``classify_column`` for a single question, which Spark's optimizer
+    evaluates by itself, without a job."""
+    asked = spark.sql(
+        f"SELECT *, lower(query) AS {LOWERED} FROM VALUES (:question) AS asked(query)",
+        args={"question": question},
+    )
+    parts = {RULE: intent.rule_number(LOWERED, vocabulary), **_wanted(columns, vocabulary)}
+    matched = asked.selectExpr("*", *[f"{e} AS {name}" for name, e in parts.items()])
+    return _named(matched, vocabulary).first()
+
+
+def _wanted(columns: ColumnList | None, vocabulary: Vocabulary) -> dict[str, str]:
+    return {
+        "detected_column": detect_column(LOWERED, _sql_columns(columns), vocabulary),
+        "wants_row": intent.wants_row(LOWERED),
+        "wants_row_count": intent.wants_row_count(LOWERED),
+    }
+
+
+def _named(matched: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    return matched.selectExpr(
+        "*",
+        f"{intent.operation_of(RULE, vocabulary)} AS operation",
+        f"{intent.confidence_of(RULE, vocabulary)} AS confidence",
+        f"{RULE} > 0 AS by_rule",
     )
 
 
@@ -81,19 +113,6 @@ def _sql_columns(columns: ColumnList | None) -> Sequence[str] | str:
     return COLUMNS if isinstance(columns, Column) else list(columns or FALLBACK_COLUMNS)
 
 
-def _with_rule(questions: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
-    return (
-        questions.selectExpr("*", f"lower({ident(text)}) AS {LOWERED}")
-        .selectExpr("*", f"{intent.rule_number(LOWERED, vocabulary)} AS {RULE}")
-        .selectExpr(
-            "*",
-            f"{intent.operation_of(RULE, vocabulary)} AS operation",
-            f"{intent.confidence_of(RULE, vocabulary)} AS confidence",
-            f"{RULE} > 0 AS by_rule",
-        )
-    )
-
-
 def intent_catalog(
     spark: SparkSession, vocabulary: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:

@@ -204,6 +204,18 @@ def test_own_words(spark):
         Vocabulary().with_words("MAX", "")
 
 
+def test_many_words_and_columns(spark):
+    """Beyond the size for unrolled code the results stay the same."""
+    words = [f"kata{i}z" for i in range(100)]
+    large = Vocabulary().with_words("SUM", *words)
+    columns = [f"kolom{i}z" for i in range(100)] + ["harga"]
+    questions = ["nilai kata99z kolom42z", "harga tertinggi", "apa", "HARGA kata7z"]
+    rows = ask_all(spark, questions, columns, vocabulary=large)
+    assert [(r["operation"], r["detected_column"]) for r in rows] == [
+        ("SUM", "kolom42z"), ("MAX", "harga"), ("FILTER", "kolom0z"), ("SUM", "harga"),
+    ]
+
+
 def test_catalog(spark):
     rows = intent_catalog(spark).collect()
     assert [r["operation"] for r in rows[::3]] == list(OPERATIONS)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tanyalah.functions import vocab
 from tanyalah.operators import answer, feedback, stats, training
 from tanyalah.operators.answer_many import answer_many
-from tanyalah.operators.classify import classify
+from tanyalah.operators.classify import classify, classify_column, classify_operation
 from tanyalah.plans import derived, registry
 from tanyalah.sources import query_log
 from tanyalah.sources.scratch import fresh_folder
@@ -50,9 +50,15 @@ def test_classification_is_one_pass_without_shuffle_or_python(spark, sf_dir, nam
 
 
 def test_each_text_is_lowered_and_matched_once(spark, sf_dir):
-    plan = physical(classify(derived.questions(spark, sf_dir), ["harga"]))
-    assert len(re.findall(r"AS __lowered", plan)) == 1
-    assert plan.count("exists([max,maks,") == 1
+    """Also under a filter on the result, and in one stage of generated code."""
+    asked = derived.questions(spark, sf_dir)
+    for classified in (classify_operation(asked), classify_column(asked, ["harga"])):
+        for frame in (classified, classified.filter("operation = 'MAX'")):
+            plan = physical(frame)
+            assert plan.count(" AS __lowered") == 1
+            assert plan.count("paling tinggi") == 1
+            assert all(line.strip().startswith(("*(1)", "+- *(1)", "+- FileScan", "=="))
+                       for line in plan.strip().splitlines())
 
 
 def test_answers_read_one_column(items):
