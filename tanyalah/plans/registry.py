@@ -256,8 +256,18 @@ def _log(spark, sf_dir):
     return query_log.log_rows(classify.classify(asked, LINEITEM_COLUMNS))
 
 
+def _narrow_log(spark, sf_dir):
+    """The columns of the log that feedback, training and statistics read."""
+    asked = classify.classify_operation(derived.questions(spark, sf_dir))
+    return asked.withColumnRenamed("operation", "predicted_operation").select(
+        "id", "query", "predicted_operation", "confidence"
+    )
+
+
 def _training(spark, sf_dir):
-    return training.training_set(_log(spark, sf_dir), derived.feedback(spark, sf_dir))
+    # Training rows need the questions only, not their classes.
+    asked = derived.questions(spark, sf_dir).select("id", "query")
+    return training.training_set(asked, derived.feedback(spark, sf_dir))
 
 
 _LOG_COLUMNS = (
@@ -282,7 +292,9 @@ def feedback_latest(spark, sf_dir):
 
 @query
 def log_with_feedback(spark, sf_dir):
-    joined = feedback.log_with_feedback(_log(spark, sf_dir), derived.feedback(spark, sf_dir))
+    joined = feedback.log_with_feedback(
+        _narrow_log(spark, sf_dir), derived.feedback(spark, sf_dir)
+    )
     return joined.select(
         "id", "query", "predicted_operation", "user_feedback", "correct_operation"
     )
@@ -313,7 +325,9 @@ def training_export(spark, sf_dir):
 
 @query
 def retrain_gate(spark, sf_dir):
-    verified = training.verified_count(_log(spark, sf_dir), derived.feedback(spark, sf_dir))
+    verified = training.verified_count(
+        derived.questions(spark, sf_dir), derived.feedback(spark, sf_dir)
+    )
     return training.retrain_gate(verified, 5, 10, 20, 50, 1_000_000_000)
 
 
@@ -321,7 +335,7 @@ def retrain_gate(spark, sf_dir):
 def retrain_status(spark, sf_dir):
     """Export, fit and save a model, then report."""
     done = training.retrain(
-        spark, _log(spark, sf_dir), derived.feedback(spark, sf_dir),
+        spark, derived.questions(spark, sf_dir), derived.feedback(spark, sf_dir),
         fresh_folder(spark, "retrain"),
     )
     return done.drop("export_path", "model_path")
@@ -330,7 +344,8 @@ def retrain_status(spark, sf_dir):
 @query
 def feedback_reply(spark, sf_dir):
     events = derived.feedback(spark, sf_dir)
-    return training.feedback_reply(events, training.verified_count(_log(spark, sf_dir), events))
+    verified = training.verified_count(derived.questions(spark, sf_dir), events)
+    return training.feedback_reply(events, verified)
 
 
 # Statistics ----------------------------------------------------------------
@@ -338,20 +353,20 @@ def feedback_reply(spark, sf_dir):
 
 @query
 def log_stats(spark, sf_dir):
-    figures = stats.log_stats(_log(spark, sf_dir), derived.feedback(spark, sf_dir))
+    figures = stats.log_stats(_narrow_log(spark, sf_dir), derived.feedback(spark, sf_dir))
     return figures.drop("questions_by_operation")
 
 
 @query
 def log_stats_display(spark, sf_dir):
     return stats.display_stats(
-        stats.log_stats(_log(spark, sf_dir), derived.feedback(spark, sf_dir))
+        stats.log_stats(_narrow_log(spark, sf_dir), derived.feedback(spark, sf_dir))
     )
 
 
 @query
 def log_by_operation(spark, sf_dir):
-    return stats.by_operation(_log(spark, sf_dir))
+    return stats.by_operation(_narrow_log(spark, sf_dir))
 
 
 def _judged(spark, sf_dir):
