@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,14 +92,16 @@ def with_row_ids(df: DataFrame, start: int = 1, name: str = "id") -> DataFrame:
             "__place": F.col("__mark").bitwiseAND(F.lit((1 << 33) - 1)),
         }
     )
-    sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("rows")).collect()
-    offsets, total = [], start  # one entry per input partition
-    for part, rows in sorted(sizes):
-        offsets.append((part, total))
-        total += rows
-    table = df.sparkSession.createDataFrame(offsets, "__part int, __first bigint")
+    sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("rows"))
+    counted = sizes.orderBy("__part").toArrow()  # one row per input partition
+    ends = pc.cumulative_sum(counted.column("rows"))
+    firsts = pc.add(pc.subtract(ends, counted.column("rows")), start)
+    offsets = df.sparkSession.createDataFrame(
+        pa.table({"__part": counted.column("__part"), "__first": firsts})
+    )
+    # No broadcast hint: Spark knows the size of the offsets and decides by it.
     return (
-        numbered.join(F.broadcast(table), "__part")
+        numbered.join(offsets, "__part")
         .withColumn(name, F.col("__first") + F.col("__place"))
         .select(name, *df.columns)
     )

@@ -101,6 +101,7 @@ def test_row_ids_are_dense(spark):
     path = fresh_folder(spark, "ids")
     spark.range(0, 1000, 1, 7).repartition(5).write.parquet(path)
     rows = query_log.with_row_ids(spark.read.parquet(path).toDF("n"), start=11, name="log_id")
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().toString()
     got = [tuple(r) for r in rows.collect()]
     assert sorted(i for i, _ in got) == list(range(11, 1011))
     assert sorted(n for _, n in got) == list(range(1000))
