@@ -55,6 +55,25 @@ def supports(df: DataFrame, operation: str, name: str) -> bool:
     return True
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of whole numbers as a decimal, free of overflow.
+
+    A sum of longs overflows on large tables, and a sum of decimals takes two to
+    three times as long per group. So the number is summed in three parts of 21
+    bits (the first with the sign), each a sum of longs that can take 4e12 rows.
+    """
+    number, low = value.cast("bigint"), F.lit((1 << 21) - 1)
+    parts = (
+        (F.shiftright(number, 42), 1 << 42),
+        (F.shiftright(number, 21).bitwiseAND(low), 1 << 21),
+        (number.bitwiseAND(low), 1),
+    )
+    first, second, third = (
+        F.sum(part).cast("decimal(20,0)") * F.lit(weight) for part, weight in parts
+    )
+    return (first + second + third).cast("decimal(38,0)")
+
+
 def aggregate_expr(df: DataFrame, operation: str, name: str) -> Column:
     if not supports(df, operation, name):
         kind = df.schema[name].dataType.simpleString()
@@ -65,10 +84,8 @@ def aggregate_expr(df: DataFrame, operation: str, name: str) -> Column:
     if operation == "MIN":
         return F.min(value)
     if operation == "SUM":
-        # A long sum can overflow on large tables, a decimal(38) sum cannot.
-        wide = isinstance(df.schema[name].dataType, T.LongType)
-        value = value.cast("decimal(20,0)") if wide else value
-        return F.coalesce(F.sum(value), F.lit(0))
+        whole = isinstance(df.schema[name].dataType, T.IntegralType)
+        return F.coalesce(exact_sum(value) if whole else F.sum(value), F.lit(0))
     if operation == "MEAN":
         return F.avg(value)
     if operation == "COUNT":

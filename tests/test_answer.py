@@ -1,4 +1,5 @@
 import math
+import random
 from decimal import Decimal
 
 import pytest
@@ -71,8 +72,23 @@ def test_whole_table_forms(gaps):
 
 
 def test_long_sums_do_not_overflow(spark):
-    big = spark.createDataFrame([(2**62,), (2**62,), (2**62,)], "n bigint")
-    assert values(answer.aggregate(big, "SUM", "n")) == [(Decimal(3 * 2**62),)]
+    for numbers in (
+        [2**62] * 3, [-(2**63)] * 4, [2**63 - 1, -(2**63), 5], [-1, -1], [0],
+        [2**42 - 1, 2**21, -(2**42), -(2**21) - 1, 7],
+    ):
+        frame = spark.createDataFrame([(n,) for n in [*numbers, None]], "n bigint")
+        assert values(answer.aggregate(frame, "SUM", "n")) == [(Decimal(sum(numbers)),)]
+    for kind, limit in (("tinyint", 2**7), ("smallint", 2**15), ("int", 2**31)):
+        frame = spark.createDataFrame([(limit - 1,), (limit - 1,), (-limit,)], f"n {kind}")
+        assert values(answer.aggregate(frame, "SUM", "n")) == [(Decimal(limit - 2),)]
+
+
+def test_random_long_sums(spark):
+    chance = random.Random(3)
+    rows = [(i % 3, chance.randint(-(2**63), 2**63 - 1)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "k int, n bigint").repartition(5)
+    want = {k: sum(n for g, n in rows if g == k) for k in range(3)}
+    assert dict(values(answer.group_agg(frame, "k", "sum"))) == want
 
 
 def test_extreme_rows(gaps, nothing):
