@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tanyalah.llm.components import written
 from tanyalah.llm.words import LOWER, blocks, words_of
 
-ORDER = 4
+ORDER = 5
 MOST_NODES = 2_000_000
 FOLDS, HELD_OUT = 7, 2
 HEAVY = 10_000
@@ -159,6 +159,7 @@ class Trie:
                     level["rest_esc"] = np.where(kinds > 0, np.log10(np.maximum(kinds, 1)) - level["rest_den"], 0.0)
             level["den"] = np.log10(total + level["distinct"])
             level["esc"] = np.log10(level["distinct"]) - level["den"]
+            level["own"] = level["log_n"] - np.repeat(level["den"], distinct)
             self.levels.append(level)
         for level in self.levels:
             level["index"] = _Index(level["gram"])
@@ -166,42 +167,49 @@ class Trie:
 
     def log10(self, gram: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each number after the bytes before it."""
-        out = np.zeros(len(gram))
-        todo = np.arange(len(gram))
-        above = np.full(len(gram), -1)  # node of the longer context, whose bytes are excluded
-        for k in range(self.order, -1, -1):
-            level, longer = self.levels[k], self.levels[k + 1] if k < self.order else None
-            key = gram[todo] & np.uint64((1 << (8 * (k + 1))) - 1)
-            place = level["index"].find(key)
-            hit = place >= 0
-            node = level["context_index"].find(key >> np.uint64(8))
-            up = above[todo]
-            fresh = up < 0
-            known = node >= 0
-            den = np.zeros(len(todo))
-            esc = np.zeros(len(todo))
-            own = fresh & known
-            den[own], esc[own] = level["den"][node[own]], level["esc"][node[own]]
-            if longer is not None:
-                den[~fresh], esc[~fresh] = longer["rest_den"][up[~fresh]], longer["rest_esc"][up[~fresh]]
-            out[todo[hit]] += level["log_n"][place[hit]] - den[hit]
-            miss = ~hit
-            out[todo[miss]] += esc[miss]
-            above[todo[miss]] = node[miss]
-            todo = todo[miss]
+        place = self.levels[-1]["index"].find(gram)
+        out = self.levels[-1]["own"][place] if len(self.levels[-1]["own"]) else np.zeros(len(gram))
+        todo = np.flatnonzero(place < 0)
+        out[todo] = 0.0
+        key = gram[todo]
+        above = self._escape(self.order, key, None, out, todo)
+        for k in range(self.order - 1, -1, -1):
             if not len(todo):
                 return out
+            key = key & np.uint64((1 << (8 * (k + 1))) - 1)
+            level, longer = self.levels[k], self.levels[k + 1]
+            place = level["index"].find(key)
+            hit = place >= 0
+            new, old = hit & (above < 0), hit & (above >= 0)
+            out[todo[new]] += level["own"][place[new]]
+            out[todo[old]] += level["log_n"][place[old]] - longer["rest_den"][above[old]]
+            todo, key, above = todo[~hit], key[~hit], above[~hit]
+            above = self._escape(k, key, above, out, todo)
         # Order -1: every byte that no context has seen is as likely.
         seen = self.levels[0]["distinct"][0] if len(self.levels[0]["distinct"]) else 0
         out[todo] -= math.log10(max(SYMBOLS - seen, 1))
         return out
 
+    def _escape(self, k: int, key: np.ndarray, above: np.ndarray | None, out: np.ndarray, todo: np.ndarray) -> np.ndarray:
+        """Add the escapes from the contexts of order k; their nodes, -1 where there is none.
+
+        `above` are the nodes of the longer contexts, whose bytes are excluded.
+        """
+        node = self.levels[k]["context_index"].find(key >> np.uint64(8))
+        if above is None:
+            above = np.full(len(node), -1)
+        new, old = (above < 0) & (node >= 0), above >= 0
+        out[todo[new]] += self.levels[k]["esc"][node[new]]
+        if old.any():
+            out[todo[old]] += self.levels[k + 1]["rest_esc"][above[old]]
+        return node
+
 
 class _Index:
     """Places of 64-bit keys in a sorted array, by an open hash table."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(2 * len(keys) + 1).bit_length())
+        bits = max(4, (2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.slot_key = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64)
         self.slot_place = np.full(1 << bits, -1, np.int32)

@@ -28,6 +28,7 @@ LEAST_PRECISION = 0.9
 LEAST_COVERED = 5
 MOST_RULES, MOST_CONDITIONS = 32, 4
 THRESHOLDS = 48
+CLOSE_GAIN = 0.99
 
 _FLAGS = {
     "n_symbols": b"#*$%&|<>",
@@ -39,7 +40,7 @@ _FLAGS = {
 }
 _TABLES = {name: np.isin(np.arange(256), list(chars)) for name, chars in _FLAGS.items()}
 _START = (np.arange(256) & 0xC0) != 0x80
-COUNTS = ["n_words", "word_chars", *_FLAGS, "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words"]
+COUNTS = ["n_words", "word_chars", *_FLAGS, "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_stutters"]
 # Ratios that rules may use: numerator, denominator.
 RATIOS = {
     "symbols_per_word": ("n_symbols", "n_words"),
@@ -53,6 +54,7 @@ RATIOS = {
     "dup_line_share": ("n_dup_lines", "n_lines"),
     "repeat_share": ("n_repeat_words", "n_words"),
     "distinct_share": ("n_distinct_words", "n_words"),
+    "stutter_share": ("n_stutters", "n_words"),
 }
 FEATURES = [*RATIOS, "n_words"]
 
@@ -91,6 +93,8 @@ def _counts(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     out["n_repeat_words"] = np.bincount(words.doc[np.cumsum(cover)[: len(words.doc)] > 0], minlength=n)
     once = np.unique(mix(words.hash ^ mix(mark)), return_index=True)[1]
     out["n_distinct_words"] = np.bincount(words.doc[once], minlength=n)
+    stutter = (words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])
+    out["n_stutters"] = np.bincount(words.doc[1:][stutter], minlength=n)
     return out
 
 
@@ -141,9 +145,14 @@ def _grow(x: np.ndarray, bad: np.ndarray, names: Sequence[str]) -> list[Conditio
                 p, n = (take & mine).sum(axis=1), (take & ~mine).sum(axis=1)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gain = np.where(p > 0, p * (np.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))), 0.0)
-                k = int(np.argmax(gain))
-                if gain[k] > best + 1e-9:
-                    best, chosen = float(gain[k]), Condition(name, above, float(cuts[k]))
+                if gain.max() > best + 1e-9:
+                    best = float(gain.max())
+                    # Of the cuts that gain nearly as much the strictest, half-way to the next value inside.
+                    near = np.flatnonzero(gain >= CLOSE_GAIN * best)
+                    k = near[-1] if above else near[0]
+                    outside, within = (value[~take[k]], value[take[k]]) if above else (value[take[k]], value[~take[k]])
+                    middle = (outside.max() + within.min()) / 2 if len(outside) and len(within) else cuts[k]
+                    chosen = Condition(name, above, float(middle))
         if chosen is None:
             break
         rule.append(chosen)

@@ -32,6 +32,8 @@ LEAST_TEXTS = 6
 LEAST_RATIO = 20.0
 SHORTEST, LONGEST = 4, 8
 SMOOTH_WORDS = 20
+MOST_WEIGHT = 40.0
+GAIN = 0.7
 FLUSH = 400_000
 
 # Look-alike letters and the Latin letters they are read as.
@@ -74,8 +76,7 @@ class Entry(NamedTuple):
 class Model(NamedTuple):
     lexicon: list[Entry]
     exceptions: list[str]
-    slope: float
-    offset: float
+    curve: tuple[float, float, float, float]
 
 
 def _automaton(model: Model):
@@ -114,12 +115,14 @@ def matches(found, text: str) -> list[tuple[int, int, float]]:
     return [(s, e, w) for s, (e, w) in best.items() if not any(a <= s and e <= b for a, b in spared)]
 
 
-def density(found, text: str) -> tuple[float, int]:
-    """Weight of the matches over the length in words, smoothed, as a logarithm; number of matches."""
+def evidence(found, text: str) -> tuple[float, float, float, int]:
+    """Whether anything matches, the weight of the matches over the length in words as a logarithm, and in all; number of matches."""
     folded = fold(text)
     hits = matches(found, folded)
+    if not hits:
+        return 0.0, 0.0, 0.0, 0
     weight = sum(w for _, _, w in hits)
-    return math.log((weight + 1e-3) / (len(folded.split()) + SMOOTH_WORDS)) if hits else -20.0, len(hits)
+    return 1.0, math.log(weight / (len(folded.split()) + SMOOTH_WORDS)) + 5, min(weight, MOST_WEIGHT) / 10, len(hits)
 
 
 def _prefixes(text: str) -> set[str]:
@@ -152,13 +155,14 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lexicon(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> list[Entry]:
-    """Entries from (term, toxic texts, clean texts), without beginnings or words that a shorter one already covers."""
+    """Entries from (term, toxic texts, clean texts), without those to which a shorter beginning gives nearly the same weight."""
     known = {term: (a, b) for term, a, b in rows}
     entries: dict[str, Entry] = {}
     for term in sorted(known, key=lambda t: (len(t.rstrip()), t)):
         a, b = known[term]
         bare = term.rstrip()
-        if any(bare[:n] in entries and not entries[bare[:n]].whole for n in range(SHORTEST, len(bare) + 1)):
+        weight = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
+        if any(bare[:n] in entries and not entries[bare[:n]].whole and weight < entries[bare[:n]].weight + GAIN for n in range(SHORTEST, len(bare) + 1)):
             continue
         # The longest beginning or word that all the texts share says more than the first.
         longest, growing = term, True
@@ -198,12 +202,12 @@ def _neighbours(model: Model):
     return run
 
 
-def _densities(model: Model):
+def _evidence(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _automaton(model)
         for batch in batches:
-            values = [density(found, text) for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in values], pa.float64()), batch.column(1)], names=["x", "toxic"])
+            values = [list(evidence(found, text)[:3]) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
     return run
 
@@ -222,34 +226,32 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
     totals = {r["_toxic"]: r["count"] for r in some.groupBy("_toxic").count().collect()}
     toxic, clean = totals.get(True, 0), totals.get(False, 0)
     if not toxic or not clean:
-        return Model([], [], 1.0, 0.0)
+        return Model([], [], (0.0, 0.0, 0.0, -5.0))
     counts = some.mapInArrow(_terms, "term string, toxic boolean, n long").groupBy("term")
     counts = counts.agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("b"))
     ratio = ((F.col("a") + 0.5) / (toxic + 1)) / ((F.col("b") + 0.5) / (clean + 1))
     strong = counts.where((F.col("a") >= LEAST_TEXTS) & (ratio >= LEAST_RATIO))
     kept = strong.orderBy((F.log(ratio) * F.col("a")).desc(), "term").limit(LEXICON_ROWS).collect()
-    model = Model(_lexicon([(r["term"], r["a"], r["b"]) for r in kept], toxic, clean), [], 1.0, 0.0)
+    model = Model(_lexicon([(r["term"], r["a"], r["b"]) for r in kept], toxic, clean), [], (0.0, 0.0, 0.0, 0.0))
     phrases = some.mapInArrow(_neighbours(model), "phrase string, toxic boolean").groupBy("phrase")
     phrases = phrases.agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
     fine = phrases.where((F.col("b") >= LEAST_TEXTS) & (F.col("b") / (clean + 1) > F.col("a") / (toxic + 1))).orderBy(F.col("b").desc(), "phrase").limit(LEXICON_ROWS)
     model = model._replace(exceptions=[r["phrase"] for r in fine.collect()])
-    points = some.mapInArrow(_densities(model), "x double, toxic boolean").toPandas()
-    slope, offset = _logistic(points["x"].to_numpy(float), points["toxic"].to_numpy(bool))
-    return model._replace(slope=slope, offset=offset)
+    points = some.mapInArrow(_evidence(model), "x array<double>, toxic boolean").toPandas()
+    return model._replace(curve=_logistic(np.array(points["x"].tolist()), points["toxic"].to_numpy(bool)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the regularised logistic curve, by Newton steps."""
-    mean, scale = float(x.mean()), float(x.std()) or 1.0
-    z = np.stack([(x - mean) / scale, np.ones(len(x))], axis=1)
-    w, ridge = np.zeros(2), np.diag([1.0, 1e-6])
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Weights and offset of the regularised logistic curve, by Newton steps."""
+    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    w, ridge = np.zeros(z.shape[1]), np.diag([0.1] * x.shape[1] + [1e-6])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-z @ w))
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
-        w = w + step
+        w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
+    return tuple(float(v) for v in w)
 
 
 def _scores(model: Model):
@@ -258,8 +260,9 @@ def _scores(model: Model):
         for batch in batches:
             values, hits = [], []
             for text in batch.column(1):
-                x, n = density(found, text.as_py() or "")
-                values.append(1 / (1 + math.exp(-max(-40.0, min(40.0, model.slope * x + model.offset)))))
+                *x, n = evidence(found, text.as_py() or "")
+                z = sum(a * b for a, b in zip(model.curve, (*x, 1.0)))
+                values.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
                 hits.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64()), pa.array(hits, pa.int64())], names=["doc_id", "score", "n_matches"])
 
