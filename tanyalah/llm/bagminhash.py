@@ -10,11 +10,16 @@ Jaccard similarity. Points come in order of time, so those after the time at
 which all registers are filled are never made.
 
 Equal texts are one class. Classes that share a band meet in a bucket. A bucket
-never lists its pairs: a few leaders are held against all members by their exact
-similarity, and a bucket of one component is finished. In the others the number
-of leaders doubles from wave to wave until each pair of different components
-has been compared, so no link between components is lost, and large groups of
-copies end after the first wave.
+never lists its pairs: a few leaders are held against all members, and a bucket
+of one component is finished, as large groups of copies are after the first
+wave. From the others those texts go of which less than the needed share of
+shingles is in any other text left, as nothing can be similar to them; that
+clears buckets of texts that share a passage or a heavily edited source. Then
+the number of leaders grows from wave to wave, first the text with the most
+links, until each pair of different components has been compared, so no link
+between components is lost. A pair is compared by signatures first: at a
+similarity of 0.8 fewer than 55 % of 120 registers agree once in 10^10 pairs.
+What is left is checked exactly.
 """
 
 from __future__ import annotations
@@ -28,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tanyalah.llm.components import components, written
-from tanyalah.llm.words import BLOCK_BYTES, blocks, mix, shingles_of, words_of
+from tanyalah.llm.words import blocks, mix, shingles_of, words_of
 
 SIMILARITY = 0.8
+MARGIN = 0.25
 BANDS, ROWS = 24, 5
 LEADERS = 4
 NO_ID = 1 << 62
@@ -109,14 +115,17 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sketch(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in blocks(batch.column(1), 4 * BLOCK_BYTES):
+            for lo, hi, buf, offsets in blocks(batch.column(1)):
                 doc, element, count = counted(words_of(buf, offsets))
                 n = hi - lo
-                keys = band_keys(signatures(doc, element, count, n, bands * rows), bands, rows)
+                signature = signatures(doc, element, count, n, bands * rows)
+                keys = band_keys(signature, bands, rows)
+                registers = pa.array((signature & np.uint64(0x7FFF)).astype(np.int16).ravel())
+                every = pa.array(np.arange(n + 1, dtype=np.int32) * (bands * rows))
                 some = np.bincount(doc, minlength=n) > 0
                 at = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), lists], names=["_doc", "_digest", "_bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), lists, pa.ListArray.from_arrays(every, registers), pa.array(np.bincount(doc, weights=count, minlength=n).astype(np.int64))], names=["_doc", "_digest", "_bands", "_sig", "_size"])
 
     return run
 
@@ -139,13 +148,25 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["_rep", "_set"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _linked(pairs: DataFrame, signed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose multisets overlap enough."""
+    left = signed.select(F.col("_rep").alias("a"), F.col("_sig").alias("_ga"))
+    right = signed.select(F.col("_rep").alias("b"), F.col("_sig").alias("_gb"))
+    same = F.expr("aggregate(zip_with(_ga, _gb, (x, y) -> if(x = y, 1, 0)), 0, (t, v) -> t + v)")
+    near = written(pairs.join(left, "a").join(right, "b").where(same >= (similarity - MARGIN) * F.size("_ga")).select("a", "b").distinct(), "near")
     left = sets.select(F.col("_rep").alias("a"), F.col("_set").alias("_sa"))
     right = sets.select(F.col("_rep").alias("b"), F.col("_set").alias("_sb"))
     both = F.size(F.array_intersect("_sa", "_sb"))
     close = both >= similarity * (F.size("_sa") + F.size("_sb") - both)
-    return pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
+    return near.join(left, "a").join(right, "b").where(close).select("a", "b")
+
+
+def _able(reps: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the texts (_rep, _comp) that share enough shingles with other components of them to be similar to any, and how many."""
+    one = sets.join(reps, "_rep").select("_rep", "_comp", F.size("_set").alias("_all"), F.explode("_set").alias("_shingle"))
+    shared = one.groupBy("_shingle").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_shingle")
+    able = one.join(shared, "_shingle", "left_semi").groupBy("_rep").agg(F.count("*").alias("_both"), F.first("_all").alias("_all"))
+    return able.where(F.col("_both") >= similarity * F.col("_all")).select("_rep", F.col("_both").alias("_shared"))
 
 
 def _id(digest):
@@ -153,34 +174,47 @@ def _id(digest):
     return F.coalesce("doc_id", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") + F.lit(NO_ID))
 
 
-def _waves(bucket: DataFrame, sets: DataFrame, similarity: float, leaders: int) -> DataFrame:
-    """Components of the texts in buckets (_key, _rep, _n): node, component."""
+def _mixed(state: DataFrame) -> DataFrame:
+    """The buckets of more than one component, with their least text and that of the most links."""
+    heads = state.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi"), F.min("_rep").alias("_least"), F.max_by("_rep", "_links").alias("_hub"))
+    return written(state.join(heads.where("_lo < _hi").select("_key", "_least", "_hub"), "_key"), "mixed")
+
+
+def _waves(bucket: DataFrame, signed: DataFrame, sets: DataFrame, similarity: float, leaders: int) -> DataFrame:
+    """Components of the texts in buckets (_key, _rep, _n, _size): node, component."""
     labels = edges = None
     before, wave = 0.0, float(leaders)
     while True:
         if labels is None:
-            state = bucket.select("*", F.col("_rep").alias("_comp"), F.lit(0).cast("long").alias("_links"))
+            state = bucket.select("*", F.col("_rep").alias("_comp"), F.lit(0).cast("long").alias("_links"), F.col("_size").alias("_shared"))
         else:
             links = edges.select(F.explode(F.array("a", "b")).alias("_rep")).groupBy("_rep").agg(F.count("*").alias("_links"))
             known = labels.select(F.col("node").alias("_rep"), F.col("component").alias("_comp"))
             state = bucket.join(known, "_rep", "left").join(links, "_rep", "left")
-            state = state.select("_key", "_rep", "_n", F.coalesce("_comp", "_rep").alias("_comp"), F.coalesce("_links", F.lit(0)).alias("_links"))
-        heads = state.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi"), F.min("_rep").alias("_least"), F.max_by("_rep", "_links").alias("_hub"))
-        mixed = written(state.join(heads.where("_lo < _hi").select("_key", "_least", "_hub"), "_key"), "mixed")
+            state = state.select("_key", "_rep", "_n", "_size", F.coalesce("_comp", "_rep").alias("_comp"), F.coalesce("_links", F.lit(0)).alias("_links"))
+        mixed = _mixed(state)
+        if labels is not None:
+            able = written(_able(mixed.select("_rep", "_comp").distinct(), sets, similarity), "able")
+            mixed = mixed.select(*state.columns).drop("_shared").join(able, "_rep")
+            size = mixed.groupBy("_key").agg(F.count("*").alias("_n"))
+            mixed = _mixed(mixed.drop("_n").join(size, "_key"))
         biggest = mixed.agg(F.max("_n")).first()[0]
         if biggest is None:
             break
         luck = F.pmod(F.xxhash64("_rep"), F.lit(1 << 52)) / float(1 << 52) * F.col("_n")
         lead = mixed.where(((luck >= before) & (luck < wave)) | (F.col("_rep") == F.col("_least")) | (F.col("_rep") == F.col("_hub")))
-        lead = lead.select("_key", F.col("_rep").alias("_head"), F.col("_comp").alias("_other"))
-        pairs = mixed.join(lead, "_key").where("_comp <> _other").select(F.least("_rep", "_head").alias("a"), F.greatest("_rep", "_head").alias("b")).distinct()
-        found = written(_linked(pairs, sets, similarity), "links")
+        lead = lead.select("_key", F.col("_rep").alias("_head"), F.col("_comp").alias("_other"), F.col("_size").alias("_long"), F.col("_shared").alias("_most"))
+        # No more than what both share with others can overlap.
+        most = F.least("_shared", "_most")
+        fits = most >= similarity * (F.col("_size") + F.col("_long") - most)
+        pairs = mixed.join(lead, "_key").where((F.col("_comp") != F.col("_other")) & fits).select(F.least("_rep", "_head").alias("a"), F.greatest("_rep", "_head").alias("b")).distinct()
+        found = written(_linked(pairs, signed, sets, similarity), "links")
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
         if wave >= biggest:
             break
         before, wave = wave, 4 * wave
-        bucket = mixed.select("_key", "_rep", "_n")
+        bucket = mixed.select("_key", "_rep", "_n", "_size")
     return labels if labels is not None else bucket.select(F.col("_rep").alias("node"), F.col("_rep").alias("component")).limit(0)
 
 
@@ -214,16 +248,17 @@ def _classified(docs: DataFrame, similarity: float, bands: int, rows: int, leade
     """_doc, _rep (least of the same text), _class (least of the component), _copies for each row."""
     text = F.coalesce("text", F.lit(""))
     plain = docs.select(_id(F.md5(text)).alias("_doc"), text.alias("_text"), F.md5(text).alias("_digest"))
-    sketch = written(plain.select("_doc", "_text", "_digest").mapInArrow(_sketch(bands, rows), "_doc long, _digest string, _bands array<long>"), "sketch")
+    sketch = written(plain.select("_doc", "_text", "_digest").mapInArrow(_sketch(bands, rows), "_doc long, _digest string, _bands array<long>, _sig array<short>, _size long"), "sketch")
     classes = written(sketch.groupBy("_digest").agg(F.min("_doc").alias("_rep"), F.count("*").alias("_copies")), "classes")
     least = classes.select(F.col("_rep").alias("_doc"), "_digest")
-    member = sketch.join(least, ["_doc", "_digest"], "left_semi").select(F.col("_doc").alias("_rep"), F.explode("_bands").alias("_key")).distinct()
+    member = sketch.join(least, ["_doc", "_digest"], "left_semi").select(F.col("_doc").alias("_rep"), "_size", F.explode("_bands").alias("_key")).distinct()
     size = member.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
-    bucket = written(member.join(size, "_key").select("_key", "_rep", "_n"), "buckets")
+    bucket = written(member.join(size, "_key").select("_key", "_rep", "_n", "_size"), "buckets")
     involved = bucket.select(F.col("_rep").alias("_doc")).distinct()
     texts = plain.join(least, ["_doc", "_digest"], "left_semi").join(involved, "_doc", "left_semi").select("_doc", "_text")
     sets = written(texts.mapInArrow(_occurrences, "_rep long, _set array<long>"), "sets")
-    labels = _waves(bucket, sets, similarity, leaders)
+    signed = sketch.select("_doc", "_sig").join(involved, "_doc", "left_semi").select(F.col("_doc").alias("_rep"), "_sig")
+    labels = _waves(bucket, written(signed, "signed"), sets, similarity, leaders)
     of_text = classes.join(labels.select(F.col("node").alias("_rep"), "component"), "_rep", "left")
     of_text = of_text.select("_digest", "_rep", F.coalesce("component", "_rep").alias("_class"), "_copies")
     return sketch.select("_doc", "_digest").join(of_text, "_digest")

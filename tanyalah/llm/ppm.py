@@ -36,11 +36,12 @@ from tanyalah.llm.components import written
 from tanyalah.llm.words import LOWER, blocks, words_of
 
 ORDER = 5
-MOST_NODES = 2_000_000
+MOST_NODES = 1_000_000
 FOLDS, HELD_OUT = 7, 2
 HEAVY = 10_000
 BUCKET_WORDS, BUCKET_TOKENS = 100_000, 4_000_000
-FLUSH = 1_500_000
+FLUSH = 1_000_000
+SCORE_BYTES = 1 << 20
 # Bytes that UTF-8 never has: before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
 SYMBOLS = 255
@@ -244,9 +245,8 @@ def trie_of(counts: DataFrame, order: int = ORDER, most_nodes: int = MOST_NODES)
     if leaves.count() > most_nodes:
         least = leaves.select(F.percentile_approx("n", F.lit(1 - most_nodes / leaves.count()), 100_000)).first()[0]
         leaves = leaves.where(F.col("n") > least)
-    data = leaves.select("key", "n").toPandas()
-    data = data.sort_values("key")
-    return data["key"].to_numpy(np.int64).view(np.uint64), data["n"].to_numpy(np.int64)
+    data = leaves.select("key", "n").toArrow()
+    return data["key"].to_numpy().view(np.uint64), data["n"].to_numpy()
 
 
 def _score(keys_box, order: int, heavy_box, total: int, words: int, buckets: int):
@@ -264,7 +264,7 @@ def _score(keys_box, order: int, heavy_box, total: int, words: int, buckets: int
         task = TaskContext.get()
         number = 0
         for batch in batches:
-            for lo, hi, buf, offsets in blocks(batch.column(2)):
+            for lo, hi, buf, offsets in blocks(batch.column(2), SCORE_BYTES):
                 n = hi - lo
                 stream, at = padded(buf, offsets, order)
                 gram = grams(stream, at, order)
@@ -348,7 +348,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, most_nodes: int = MOST_NODE
     words = counts.where("kind = 0")
     found = words.agg(F.sum("n"), F.count("*")).first()
     total, distinct = (found[0] or 0) + ends, found[1] + (1 if ends else 0)
-    heavy = words.where(F.col("n") * HEAVY >= total).select("key", "n").toPandas().sort_values("key")
+    heavy = words.where(F.col("n") * HEAVY >= total).orderBy("key").select("key", "n").toPandas()
     heavy_box = spark.sparkContext.broadcast((heavy["key"].to_numpy(np.int64).view(np.uint64), heavy["n"].to_numpy(np.float64)))
     keys_box = spark.sparkContext.broadcast(trie_of(counts, order, most_nodes))
     buckets = max(1, math.ceil(distinct / BUCKET_WORDS), math.ceil((total - int(heavy["n"].sum())) / BUCKET_TOKENS))
