@@ -63,6 +63,7 @@ class Encoder:
         self.bytes = {int(pieces[k][1:-1], 16): k for k in range(len(pieces)) if kinds[k] == "b"}
         self.unknown = kinds.index("u")
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.raw: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.cut = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
@@ -89,7 +90,7 @@ class Encoder:
 
     def learn(self, words: Sequence[str]) -> None:
         """Encode distinct sorted words; the forward states are kept on a stack along the trie."""
-        last = [""]
+        last, ends, ids = [""], self.ends, self.ids
         previous = ""
         for word in words:
             shared = 0
@@ -100,8 +101,8 @@ class Encoder:
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 found, start = [], end - 1
-                while start >= 0 and word[start:end] in self.ends:
-                    if word[start:end] in self.ids:
+                while start >= 0 and (tail := word[start:end]) in ends:
+                    if tail in ids:
                         found.append(start)
                     start -= 1
                 for start in reversed(found or [end - 1]):
@@ -115,13 +116,15 @@ class Encoder:
             while end:
                 out.append(last[end])
                 end -= len(last[end])
-            self.words[word] = np.array([k for piece in reversed(out) for k in self.piece_ids(piece)], np.int32).tobytes()
+            out.reverse()
+            self.words[word] = b"".join([self.raw.get(piece) or self.piece(piece) for piece in out])
 
-    def piece_ids(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece, or of a character outside the vocabulary, as the bytes of 32-bit numbers."""
         known = self.ids.get(piece)
-        if known is not None:
-            return [known]
-        return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
+        ids = [known] if known is not None else [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
+        self.raw[piece] = np.array(ids, np.int32).tobytes()
+        return self.raw[piece]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text as the bytes of 32-bit numbers."""
