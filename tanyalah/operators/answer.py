@@ -46,12 +46,21 @@ def _present(df: DataFrame, name: str) -> Column:
     return filled & ~F.isnan(column) if is_float(df, name) else filled
 
 
+def _ordered(kind: T.DataType) -> bool:
+    """Whether values of a type can be compared, inside arrays and structs too."""
+    if isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind.fields)
+    return not isinstance(kind, _UNORDERED)
+
+
 def supports(df: DataFrame, operation: str, name: str) -> bool:
     kind = df.schema[name].dataType
     if operation in ("SUM", "MEAN"):
         return isinstance(kind, T.NumericType)
     if operation in ("MAX", "MIN"):
-        return not isinstance(kind, _UNORDERED)
+        return _ordered(kind)
     return True
 
 

@@ -23,6 +23,11 @@ from ..functions.vocab import (
 LOWERED = "__lowered"
 RULE = "__rule"
 COLUMNS = "columns_used"
+# A table that is classified again gets these anew.
+RESULTS = (
+    "operation", "confidence", "by_rule", "detected_column",
+    "wants_row", "wants_row_count", "generated_code",
+)
 
 
 def classify_operation(
@@ -35,6 +40,7 @@ def classify_operation(
     One pass that lower-cases and matches every text once, whatever is done
     with the result. No shuffle, no Python.
     """
+    questions = questions.drop(*RESULTS)
     lowered = questions.selectExpr("*", f"lower({ident(text)}) AS {LOWERED}")
     rule = intent.rule_number(LOWERED, vocabulary)
     matched = lowered.selectExpr("*", once(**{RULE: rule}))
@@ -53,7 +59,8 @@ def classify_column(
     ``columns`` is one list of names for all questions or an array column.
     """
     matched = (
-        questions.withColumn(COLUMNS, usable_columns(columns))
+        questions.drop(*RESULTS)
+        .withColumn(COLUMNS, usable_columns(columns))
         .selectExpr("*", f"lower({ident(text)}) AS {LOWERED}")
         .selectExpr("*", once(**{RULE: intent.rule_number(LOWERED, vocabulary)}))
         .selectExpr("*", once(**_wanted(columns, vocabulary)))

@@ -398,7 +398,7 @@ def _event_stream(spark, sf_dir):
     ddl = ", ".join(
         f"{f.name} {f.dataType.simpleString()}" for f in table(spark, sf_dir, "events").schema
     )
-    return streaming.read_stream(spark, sf_dir, ddl, pattern="events.parquet")
+    return streaming.stream_table(spark, f"{sf_dir}/events.parquet", ddl)
 
 
 @query

@@ -21,12 +21,24 @@ def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
         return spark.createDataFrame([], ddl)
 
 
+# A stream keeps a list of its files beside them, and Spark then sees no others:
+# what batches and what streams write to one table lies in two folders.
+BATCH, STREAM = "batch", "stream"
+
+
+def _read_parts(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    batch, stream = (read_table(spark, f"{path}/{part}", ddl) for part in (BATCH, STREAM))
+    return batch.unionByName(stream)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, schemas.QUERY_LOG)
+    """All rows of a log, whether batches or streams wrote them."""
+    return _read_parts(spark, path, schemas.QUERY_LOG)
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, schemas.FEEDBACK_EVENTS)
+    """All feedback events, whether batches or streams wrote them."""
+    return _read_parts(spark, path, schemas.FEEDBACK_EVENTS)
 
 
 def log_rows(
@@ -68,14 +80,14 @@ def append_log(rows: DataFrame, path: str) -> None:
         rows.hint("rebalance", "log_date")
         .write.mode("append")
         .partitionBy("log_date")
-        .parquet(path)
+        .parquet(f"{path}/{BATCH}")
     )
 
 
 def append_feedback(events: DataFrame, path: str) -> None:
     events.select(*schemas.field_names(schemas.FEEDBACK_EVENTS)).write.mode(
         "append"
-    ).parquet(path)
+    ).parquet(f"{path}/{BATCH}")
 
 
 def with_row_ids(df: DataFrame, start: int = 1, name: str = "id") -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.columns import ColumnList
 from ..functions.vocab import DEFAULT_VOCABULARY, Vocabulary
 from ..operators.classify import classify, classify_operation
 from ..sources import schemas
-from ..sources.query_log import log_rows
+from ..sources.query_log import STREAM, log_rows
 
 
 def read_stream(
@@ -33,6 +33,25 @@ def read_stream(
     return reader.parquet(folder)
 
 
+def stream_table(
+    spark: SparkSession, path: str, ddl: str, max_files: int | None = None
+) -> DataFrame:
+    """A parquet table as a stream, be it one file or a folder of part files.
+
+    A path with neither raises, instead of a stream without rows.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not store.exists(place):
+        raise FileNotFoundError(path)
+    if store.getFileStatus(place).isFile():
+        folder, _, name = path.rpartition("/")
+        return read_stream(spark, folder, ddl, name, max_files)
+    if spark.read.schema(ddl).parquet(path).inputFiles() == []:
+        raise FileNotFoundError(f"no parquet file in {path}")
+    return read_stream(spark, path, ddl, max_files=max_files)
+
+
 def stream_to_log(
     questions: DataFrame,
     columns: ColumnList | None,
@@ -49,7 +68,7 @@ def stream_to_log(
     """
     rows = log_rows(classify(questions, columns, text, vocabulary), text=text)
     writer = rows.writeStream.format("parquet").partitionBy("log_date")
-    return _start(writer.outputMode("append"), path, checkpoint, all_available)
+    return _start(writer.outputMode("append"), f"{path}/{STREAM}", checkpoint, all_available)
 
 
 def stream_feedback(
@@ -58,7 +77,7 @@ def stream_feedback(
     """Append feedback events as they arrive."""
     rows = events.select(*schemas.field_names(schemas.FEEDBACK_EVENTS))
     writer = rows.writeStream.format("parquet").outputMode("append")
-    return _start(writer, path, checkpoint, all_available)
+    return _start(writer, f"{path}/{STREAM}", checkpoint, all_available)
 
 
 def running_stats(

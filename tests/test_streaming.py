@@ -66,3 +66,54 @@ def test_feedback_stream(spark, sf_dir):
     stored = query_log.read_feedback(spark, f"{folder}/events")
     assert stored.count() == events.count() + 50
     assert rows_of(feedback.feedback_latest(stored)) == rows_of(feedback.feedback_latest(events))
+
+
+def _classified(spark, sf_dir):
+    from tanyalah.plans import derived
+
+    return derived.questions(spark, sf_dir)
+
+
+def test_batch_and_stream_rows_of_one_log_are_both_read(spark, sf_dir, tmp_path):
+    from tanyalah import streaming
+    from tanyalah.operators.classify import classify
+    from tanyalah.plans import derived
+    from tanyalah.sources import query_log
+
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = f"{tmp_path}/parts"
+    table.repartition(3).write.parquet(folder)
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    rows = query_log.log_rows(classify(_classified(spark, sf_dir), ["harga"]))
+    for order in (("batch", "stream"), ("stream", "batch")):
+        log = f"{tmp_path}/log-{order[0]}"
+        for kind in order:
+            if kind == "batch":
+                query_log.append_log(rows, log)
+            else:
+                events = derived.as_questions(streaming.questions.stream_table(spark, folder, ddl))
+                streaming.questions.stream_to_log(events, ["harga"], log, f"{log}-state").awaitTermination()
+        assert query_log.read_log(spark, log).count() == 2 * table.count()
+
+
+def test_a_stream_of_nothing_is_refused(spark, tmp_path):
+    import pytest
+
+    from tanyalah.streaming.questions import stream_table
+
+    with pytest.raises(FileNotFoundError):
+        stream_table(spark, f"{tmp_path}/none", "a int")
+
+
+def test_a_classified_table_can_be_classified_again(spark):
+    from tanyalah.operators.classify import classify
+
+    once = classify(spark.createDataFrame([("harga tertinggi",)], "query string"), ["harga"])
+    assert classify(once, ["harga"]).collect() == once.collect()
+
+
+def test_maps_inside_arrays_have_no_extremes(spark):
+    from tanyalah.operators.answer import supports
+
+    frame = spark.createDataFrame([], "a array<map<string,int>>, s struct<x:map<string,int>>, f array<int>")
+    assert [supports(frame, "MAX", c) for c in "asf"] == [False, False, True]
