@@ -8,22 +8,22 @@ exclusion), so the probabilities of all continuations, the end included,
 sum to one. The model is pretrained, so all of that is known per node: a node
 keeps its own totals and those of its parent without its bytes, and scoring a
 byte is one look-up of (context, byte), and one more per escape. Nodes are keyed by
-the exact bytes in one 64-bit number. Texts are scored block by block with
-NumPy.
-
-Counts come from all training texts and are summed in Spark. The trie that
-tasks get has at most `most_nodes` leaves: of the longest contexts with their
-next byte those with the largest counts.
-
-Counts of words are joined to the words of the texts without a row per word:
-words that make up 1/10,000 of all or more are at most 10,000 and are sent to
-the tasks; the others travel as arrays, one per block of texts and bucket of
-words, meet the bucket's counts, and return as sums per text.
+the exact bytes in one 64-bit number.
+
+The trie holds all training texts and is never in one place. Its top, the orders up to
+SHARED, has at most 2^24 entries and is sent to the tasks. The subtrees below it
+are dealt to buckets by the SHARED + 1 bytes before the byte, so a bucket has
+whole subtrees and scores its bytes alone. Texts are cut into blocks; a block
+asks each bucket for its distinct (context, byte) once, gets their
+probabilities back, and sums them per text. Counts of words are asked for in the
+same way. A bucket that many blocks ask is split by block, with a copy of
+its subtrees for each part.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +36,13 @@ from tanyalah.llm.components import written
 from tanyalah.llm.words import LOWER, blocks, words_of
 
 ORDER = 5
-MOST_NODES = 1_000_000
+SHARED = 2
 FOLDS, HELD_OUT = 7, 2
-HEAVY = 10_000
-BUCKET_WORDS, BUCKET_TOKENS = 100_000, 4_000_000
+WORD, GRAM = 0, 1
+BUCKET_KEYS, CELL_KEYS = 200_000, 4_000_000
+SPREAD = 1_000_003
 FLUSH = 1_000_000
-SCORE_BYTES = 1 << 20
+SCORE_BYTES = 1 << 22
 # Bytes that UTF-8 never has: before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
 SYMBOLS = 255
@@ -130,41 +131,62 @@ def gather(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return written(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
+def _ends_with(n: int) -> int:
+    """Mask of the last n bytes of a key."""
+    return (1 << (8 * n)) - 1
+
+
+def _level(k: int, table: tuple[np.ndarray, np.ndarray], lower: tuple[np.ndarray, np.ndarray] | None, below: dict | None) -> dict:
+    """Nodes of order k from the sorted keys and counts of that order, and of the next lower one."""
+    gram, n = table
+    context, first, distinct = np.unique(gram >> np.uint64(8), return_index=True, return_counts=True)
+    total = np.add.reduceat(n, first) if len(n) else np.zeros(0)
+    level = {"log_n": np.log10(n), "total": total, "distinct": distinct.astype(np.float64)}
+    if k:
+        # What is left of the parent when this node's bytes are excluded.
+        at = np.searchsorted(lower[0], gram & np.uint64(_ends_with(k)))
+        excluded = np.add.reduceat(lower[1][at], first) if len(n) else np.zeros(0)
+        parent = np.searchsorted(below["context"], context & np.uint64(_ends_with(k - 1)))
+        rest, kinds = below["total"][parent] - excluded, below["distinct"][parent] - level["distinct"]
+        level["rest_den"] = np.log10(np.maximum(rest + kinds, 1))
+        level["rest_esc"] = np.where(kinds > 0, np.log10(np.maximum(kinds, 1)) - level["rest_den"], 0.0)
+    den = np.log10(total + level["distinct"])
+    level["esc"] = np.log10(level["distinct"]) - den
+    level["own"] = level["log_n"] - np.repeat(den, distinct)
+    level["context"], level["index"], level["context_index"] = context, _Index(gram), _Index(context)
+    return level
+
+
+class Top:
+    """The trie's orders up to `shared`, from all keys of the last of them and their counts."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, shared: int):
+        self.tables = _tables(keys, counts, range(shared, -1, -1))
+        self.levels: list[dict] = []
+        for k, table in enumerate(self.tables):
+            self.levels.append(_level(k, table, self.tables[k - 1] if k else None, self.levels[-1] if k else None))
+
+
+def _tables(keys: np.ndarray, counts: np.ndarray, orders: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys and counts of the given orders, the least first, from those of the greatest."""
+    keys, counts, out = keys.astype(np.uint64), counts.astype(np.float64), []
+    for k in orders:
+        gram, place = np.unique(keys & np.uint64(_ends_with(k + 1)), return_inverse=True)
+        keys, counts = gram, np.bincount(place, weights=counts, minlength=len(gram))
+        out.append((keys, counts))
+    return out[::-1]
+
+
 class Trie:
-    """Nodes of all orders with their log10 probabilities; keys are sorted arrays of exact contexts."""
+    """Nodes of all orders with their log10 probabilities: a top and some of the subtrees below it."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, top: Top, keys: np.ndarray, counts: np.ndarray, order: int):
         self.order = order
-        self.levels = []
-        keys, counts = keys.astype(np.uint64), counts.astype(np.float64)
-        tables = []
-        for k in range(order, -1, -1):
-            mask = np.uint64((1 << (8 * (k + 1))) - 1)
-            gram, place = np.unique(keys & mask, return_inverse=True)
-            tables.append((gram, np.bincount(place, weights=counts, minlength=len(gram))))
-            keys, counts = tables[-1]
-        tables.reverse()
-        for k, (gram, n) in enumerate(tables):
-            context, first, distinct = np.unique(gram >> np.uint64(8), return_index=True, return_counts=True)
-            total = np.add.reduceat(n, first) if len(n) else np.zeros(0)
-            level = {"gram": gram, "log_n": np.log10(n), "context": context, "total": total, "distinct": distinct.astype(np.float64)}
-            if k:
-                # What is left of the parent when this node's bytes are excluded.
-                below = self.levels[k - 1]
-                lower = np.searchsorted(tables[k - 1][0], gram & np.uint64((1 << (8 * k)) - 1))
-                excluded = np.add.reduceat(tables[k - 1][1][lower], first)
-                parent = np.searchsorted(below["context"], context & np.uint64((1 << (8 * (k - 1))) - 1 if k > 1 else 0))
-                rest, kinds = below["total"][parent] - excluded, below["distinct"][parent] - level["distinct"]
-                level["rest_den"] = np.log10(np.maximum(rest + kinds, 1))
-                with np.errstate(divide="ignore"):
-                    level["rest_esc"] = np.where(kinds > 0, np.log10(np.maximum(kinds, 1)) - level["rest_den"], 0.0)
-            level["den"] = np.log10(total + level["distinct"])
-            level["esc"] = np.log10(level["distinct"]) - level["den"]
-            level["own"] = level["log_n"] - np.repeat(level["den"], distinct)
-            self.levels.append(level)
-        for level in self.levels:
-            level["index"] = _Index(level["gram"])
-            level["context_index"] = _Index(level["context"])
+        shared = len(top.levels) - 1
+        tables = top.tables + _tables(keys, counts, range(order, shared, -1))
+        self.levels = list(top.levels)
+        for k in range(shared + 1, order + 1):
+            self.levels.append(_level(k, tables[k], tables[k - 1], self.levels[-1]))
 
     def log10(self, gram: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each number after the bytes before it."""
@@ -239,98 +261,105 @@ class _Index:
         return out
 
 
-def trie_of(counts: DataFrame, order: int = ORDER, most_nodes: int = MOST_NODES) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the trie's leaves, at most `most_nodes`, the most frequent."""
-    leaves = counts.where("kind = 1")
-    if leaves.count() > most_nodes:
-        least = leaves.select(F.percentile_approx("n", F.lit(1 - most_nodes / leaves.count()), 100_000)).first()[0]
-        leaves = leaves.where(F.col("n") > least)
-    data = leaves.select("key", "n").toArrow()
-    return data["key"].to_numpy().view(np.uint64), data["n"].to_numpy()
+def _packed(keys: np.ndarray) -> bytes:
+    """Keys byte place by byte place, which compresses well as they are sorted."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _score(keys_box, order: int, heavy_box, total: int, words: int, buckets: int):
-    """Rows by block of texts: bucket -1 has what is known of the texts, the others words to look up."""
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _block_keys(kind: int, buf: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each word, or for each byte and end, of a block, and its text."""
+    if kind == WORD:
+        words = words_of(LOWER[buf], offsets)
+        return words.hash, words.doc
+    return grams(*padded(buf, offsets, order), order), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
 
+def _dealt(kind: int, keys: np.ndarray, buckets: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted keys by bucket, and where each bucket begins in it."""
+    bucket = keys % np.uint64(buckets) if kind == WORD else ((keys >> np.uint64(8)) & np.uint64(_ends_with(shared + 1))) * np.uint64(SPREAD) % np.uint64(buckets)
+    turn = np.argsort(bucket, kind="stable")
+    return turn, np.searchsorted(bucket[turn], np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _ask(order: int, shared: int, buckets: tuple[int, int]):
+    """Rows by block of texts: kind -1 has the texts, the others the distinct keys that a bucket is asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        trie = Trie(*keys_box.value, order)
-        heavy_key, heavy_n = heavy_box.value
-        known = _Index(heavy_key)
-        log_heavy = np.log10(heavy_n + 1.0) - math.log10(total + words + 1.0)
-        task = TaskContext.get()
-        number = 0
+        task, number = TaskContext.get(), 0
         for batch in batches:
             for lo, hi, buf, offsets in blocks(batch.column(2), SCORE_BYTES):
-                n = hi - lo
-                stream, at = padded(buf, offsets, order)
-                gram = grams(stream, at, order)
-                ends = offsets + np.arange(n + 1)
-                ppm = np.concatenate([[0.0], np.cumsum(trie.log10(gram))])
-                tokens = words_of(LOWER[buf], offsets)
-                place = known.find(tokens.hash)
-                sure = place >= 0
-                base = np.bincount(tokens.doc[sure], weights=log_heavy[place[sure]], minlength=n)
-                seen = np.bincount(tokens.doc[sure], minlength=n)
                 block = (task.partitionId() << 24) + number if task else number
                 number += 1
-                facts = (batch.column(0).slice(lo, n).to_pylist(), np.asarray(batch.column(1).slice(lo, n)), np.bincount(tokens.doc, minlength=n), ppm[ends[1:]] - ppm[ends[:-1]], base, seen)
-                rows = [(-1, pickle.dumps(facts, 5))]
-                word, doc = tokens.hash[~sure], tokens.doc[~sure].astype(np.uint16 if n < 1 << 16 else np.uint32)
-                bucket = (word % np.uint64(buckets)).astype(np.int64)
-                order_ = np.argsort(bucket, kind="stable")
-                word, doc, bucket = word[order_], doc[order_], bucket[order_]
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows += [(b, pickle.dumps((word[cuts[b] : cuts[b + 1]], doc[cuts[b] : cuts[b + 1]]), 5)) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block, np.int64)), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "bucket", "data"])
+                texts = (batch.column(0).slice(lo, hi - lo).to_pylist(), np.asarray(batch.column(1).slice(lo, hi - lo).to_pylist(), bool), buf, offsets)
+                rows = [(-1, 0, 0, pickle.dumps(texts, 5))]
+                for kind in (WORD, GRAM):
+                    keys = np.unique(_block_keys(kind, buf, offsets, order)[0])
+                    turn, cuts = _dealt(kind, keys, buckets[kind], shared)
+                    keys = keys[turn]
+                    for b in np.flatnonzero(np.diff(cuts)):
+                        rows.append((kind, int(b), int(cuts[b + 1] - cuts[b]), _packed(keys[cuts[b] : cuts[b + 1]])))
+                kinds, bucket, n, data = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array(kinds, pa.int32()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["block", "kind", "bucket", "n_keys", "data"])
+
     return run
 
 
-def _look_up(total: int, words: int):
-    """Sums per text of a bucket's words, one row for each block."""
-
-    def run(blocks_: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        import pickle
-
-        index = _Index(counts["key"].to_numpy(np.int64).view(np.uint64))
-        n = counts["n"].to_numpy(np.float64)
-        floor = math.log10(total + words + 1.0)
-        out = []
-        for data in blocks_["data"]:
-            word, doc = pickle.loads(data)
-            place = index.find(word)
-            some = place >= 0
-            count = np.zeros(len(word))
-            count[some] = n[place[some]]
-            texts = np.unique(doc)
-            where = np.searchsorted(texts, doc)
-            value = np.bincount(where, weights=np.log10(count + 1.0) - floor, minlength=len(texts))
-            out.append(pickle.dumps((texts, value.astype(np.float64), np.bincount(where[some], minlength=len(texts)).astype(np.uint32)), 5))
-        return pd.DataFrame({"block": blocks_["block"], "bucket": blocks_["bucket"], "data": out})
+def _answer(top_box, order: int, shared: int):
+    """Counts of words, or log10 probabilities of bytes, for the keys that blocks ask a bucket for."""
+    top: list[Top] = []
+
+    def run(asked: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        keys, n = counts["key"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy(np.float64)
+        if not len(asked):
+            return pd.DataFrame({"block": [], "kind": [], "bucket": [], "data": []})
+        if asked["kind"].iloc[0] == WORD:
+            index = _Index(keys)
+            padded_n = np.append(n, 0.0)
+            find = lambda wanted: padded_n[index.find(wanted)]
+        else:
+            if not top:
+                top.append(Top(*top_box.value, shared))
+            find = Trie(top[0], keys, n, order).log10
+        data = [find(_unpacked(d)).astype(np.float64).tobytes() for d in asked["data"]]
+        return pd.DataFrame({"block": asked["block"], "kind": asked["kind"], "bucket": asked["bucket"], "data": data})
 
     return run
 
 
-def _join(kind: str, end_log: tuple[float, bool]):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import pickle
+def _join(id_kind: str, order: int, shared: int, buckets: tuple[int, int], log_size: float, end: int):
+    """Sums per text of a block from its texts and what the buckets answered."""
 
-        facts = pickle.loads(rows.loc[rows["bucket"] < 0, "data"].iloc[0])
-        ids, out, tokens, score, base, seen = facts
-        base, seen = base.copy(), seen.astype(np.int64)
-        for data in rows.loc[rows["bucket"] >= 0].sort_values("bucket")["data"]:
-            texts, value, hits = pickle.loads(data)
-            base[texts] += value
-            seen[texts] += hits
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64") if kind == "bigint" else ids, "held_out": out.astype(bool), "n_tokens": tokens + 1, "n_known": seen + (1 if end_log[1] else 0), "base_score": base + end_log[0], "score": score})
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, out, buf, offsets = pickle.loads(rows.loc[rows["kind"] < 0, "data"].iloc[0])
+        n = len(ids)
+
+        def values(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            keys, doc = _block_keys(kind, buf, offsets, order)
+            unique, place = np.unique(keys, return_inverse=True)
+            turn, _ = _dealt(kind, unique, buckets[kind], shared)
+            found = np.empty(len(unique))
+            answers = rows[rows["kind"] == kind].sort_values("bucket")["data"]
+            found[turn] = np.frombuffer(b"".join(answers), np.float64)
+            return found[place], doc
+
+        count, doc = values(WORD)
+        base = np.bincount(doc, weights=np.log10(count + 1.0) - log_size, minlength=n) + math.log10(end + 1.0) - log_size
+        known = np.bincount(doc[count > 0], minlength=n) + int(end > 0)
+        tokens = np.bincount(doc, minlength=n) + 1
+        value, doc = values(GRAM)
+        score = np.bincount(doc, weights=value, minlength=n)
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64") if id_kind == "bigint" else ids, "held_out": out, "n_tokens": tokens, "n_known": known, "base_score": base, "score": score})
 
     return run
 
 
-def score_texts(docs: DataFrame, order: int = ORDER, most_nodes: int = MOST_NODES) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = ORDER, shared: int = SHARED) -> DataFrame:
     """Scores of every whole text of `docs` (doc_id, text), learned from the rows that are not held out.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: see
@@ -345,20 +374,28 @@ def score_texts(docs: DataFrame, order: int = ORDER, most_nodes: int = MOST_NODE
     training = marked.where("not held_out")
     counts = gather(training, order)
     ends = training.count()
-    words = counts.where("kind = 0")
-    found = words.agg(F.sum("n"), F.count("*")).first()
-    total, distinct = (found[0] or 0) + ends, found[1] + (1 if ends else 0)
-    heavy = words.where(F.col("n") * HEAVY >= total).orderBy("key").select("key", "n").toPandas()
-    heavy_box = spark.sparkContext.broadcast((heavy["key"].to_numpy(np.int64).view(np.uint64), heavy["n"].to_numpy(np.float64)))
-    keys_box = spark.sparkContext.broadcast(trie_of(counts, order, most_nodes))
-    buckets = max(1, math.ceil(distinct / BUCKET_WORDS), math.ceil((total - int(heavy["n"].sum())) / BUCKET_TOKENS))
-    parts = written(marked.mapInArrow(_score(keys_box, order, heavy_box, total, distinct, buckets), "block long, bucket int, data binary"), "scores")
-    rare = words.where(F.col("n") * HEAVY < total).select(F.pmod(_unsigned_mod("key", buckets), F.lit(buckets)).cast("int").alias("bucket"), "key", "n")
-    looked = parts.where("bucket >= 0").groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInPandas(_look_up(total, distinct), "block long, bucket int, data binary")
-    kind = dict(docs.dtypes)["doc_id"]
-    log_n = math.log10(total + distinct + 1.0)
-    end_log = (math.log10(ends + 1.0) - log_n, ends > 0)
-    joined = parts.where("bucket < 0").unionByName(looked).groupBy("block").applyInPandas(_join(kind, end_log), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    found = {r["kind"]: (r["n"], r["keys"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("keys")).collect()}
+    n_words, distinct = found.get(WORD, (0, 0))
+    total, distinct = n_words + ends, distinct + (1 if ends else 0)
+    buckets = tuple(max(1, math.ceil(found.get(kind, (0, 0))[1] / BUCKET_KEYS)) for kind in (WORD, GRAM))
+    # At most 2^24 rows for the default of three bytes.
+    top = counts.where(F.col("kind") == GRAM).groupBy(F.col("key").bitwiseAND(F.lit(_ends_with(shared + 1))).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    top_box = spark.sparkContext.broadcast((top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()))
+
+    parts = written(marked.mapInArrow(_ask(order, shared, buckets), "block long, kind int, bucket int, n_keys long, data binary"), "asked")
+    asked = parts.where("kind >= 0")
+    cells = asked.groupBy("kind", "bucket").agg(F.ceil(F.sum("n_keys") / CELL_KEYS).cast("int").alias("cells"))
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(_ends_with(shared + 1)))
+    bucket = F.when(F.col("kind") == WORD, F.pmod(_unsigned_mod("key", buckets[WORD]), F.lit(buckets[WORD]))).otherwise(F.pmod(context * SPREAD, F.lit(buckets[GRAM])))
+    model = counts.withColumn("bucket", bucket.cast("int")).join(cells, ["kind", "bucket"]).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    asked = asked.join(cells, ["kind", "bucket"]).withColumn("cell", F.pmod(F.xxhash64("block"), F.col("cells")).cast("int")).select("block", "kind", "bucket", "cell", "data")
+    model = model.select("kind", "bucket", "cell", "key", "n")
+    by = ["kind", "bucket", "cell"]
+    answered = asked.groupBy(*by).cogroup(model.groupBy(*by)).applyInPandas(_answer(top_box, order, shared), "block long, kind int, bucket int, data binary")
+
+    id_kind = dict(docs.dtypes)["doc_id"]
+    joined = parts.where("kind < 0").select("block", "kind", "bucket", "data").unionByName(answered).groupBy("block")
+    joined = joined.applyInPandas(_join(id_kind, order, shared, buckets, math.log10(total + distinct + 1.0), ends), f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -105,12 +105,15 @@ def test_trie_sums_to_one_and_equals_brute_force():
     order = 3
     _, _, buf, offsets = next(words.blocks(pa.array(["abracadabra abra", "banana band", "héllo", "", "abab"])))
     gram = ppm.grams(*ppm.padded(buf, offsets, order), order)
-    trie = ppm.Trie(*np.unique(gram, return_counts=True), order)
+    gram, n = np.unique(gram, return_counts=True)
+    last = [gram & np.uint64(ppm._ends_with(k + 1)) for k in range(order)]
+    tries = [ppm.Trie(ppm.Top(last[shared], n, shared), gram, n, order) for shared in range(order)]
+    trie = tries[0]
     seen = defaultdict(Counter)
-    for x in gram.tolist():
+    for x, times in zip(gram.tolist(), n.tolist()):
         b = x.to_bytes(8, "big")[-order - 1 :]
         for q in range(order + 1):
-            seen[b[order - q : order]][b[order]] += 1
+            seen[b[order - q : order]][b[order]] += times
 
     def chance(context, symbol, out=frozenset(), q=order):
         if q < 0:
@@ -126,14 +129,22 @@ def test_trie_sums_to_one_and_equals_brute_force():
 
     for context in (b"abr", b"zzz", b"\xfe\xfea", b"xab"):
         symbols = [s for s in range(256) if s != ppm.BEFORE]
-        got = 10 ** trie.log10(np.array([int.from_bytes(context + bytes([s]), "big") for s in symbols], np.uint64))
+        wanted = np.array([int.from_bytes(context + bytes([s]), "big") for s in symbols], np.uint64)
+        got = 10 ** trie.log10(wanted)
+        assert all(10 ** other.log10(wanted) == pytest.approx(got) for other in tries)
         assert got.sum() == pytest.approx(1)
         assert got == pytest.approx([chance(context, s) for s in symbols])
 
 
-def test_scores_equal_brute_force(spark, docs):
+@pytest.mark.parametrize("small", [False, True])
+def test_scores_equal_brute_force(spark, docs, small, monkeypatch):
     import zlib
 
+    if small:
+        # Many buckets, which are split.
+        for name, value in (("BUCKET_KEYS", 20_000), ("CELL_KEYS", 30_000)):
+            monkeypatch.setattr(ppm, name, value)
+
     frame = docs.select("doc_id", "text").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
     all_rows = [(r["doc_id"], r["text"] or "") for r in frame.collect()]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
@@ -151,8 +162,16 @@ def test_scores_equal_brute_force(spark, docs):
         want[i].append((held(i), len(w) + 1, sum(counts[x] > 0 for x in w) + 1, total, pytest.approx(base, rel=1e-9)))
     rows = ppm.score_texts(frame).collect()
     assert len(rows) == len(all_rows)
+    # The whole trie in one piece.
+    _, _, buf, offsets = next(words.blocks(pa.array([t for i, t in all_rows if not held(i)]), 1 << 40))
+    gram, n = np.unique(ppm.grams(*ppm.padded(buf, offsets, ppm.ORDER), ppm.ORDER), return_counts=True)
+    trie = ppm.Trie(ppm.Top(gram & np.uint64(ppm._ends_with(2)), n, 1), gram, n, ppm.ORDER)
+    scores = defaultdict(list)
+    for i, t in all_rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        scores[i].append(pytest.approx(trie.log10(ppm.grams(*ppm.padded(data, np.array([0, len(data)]), ppm.ORDER), ppm.ORDER)).sum(), rel=1e-9))
     for r in rows:
-        assert tuple(r)[1:6] in want[r["doc_id"]] and r["score"] < 0
+        assert tuple(r)[1:6] in want[r["doc_id"]] and r["score"] in scores[r["doc_id"]] and r["score"] < 0
 
 
 def test_fingerprints(spark, docs, none):
