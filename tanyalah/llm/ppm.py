@@ -41,8 +41,9 @@ FOLDS, HELD_OUT = 7, 2
 WORD, GRAM = 0, 1
 BUCKET_KEYS, CELL_KEYS = 200_000, 4_000_000
 SPREAD = 1_000_003
-FLUSH = 1_000_000
-SCORE_BYTES = 1 << 22
+FLUSH = 500_000
+# A block of texts that asks together, and what is worked on at a time.
+BLOCK_BYTES, PART_BYTES = 1 << 22, 1 << 19
 # Bytes that UTF-8 never has: before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
 SYMBOLS = 255
@@ -113,7 +114,7 @@ def _gather(order: int):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, np.int32)), pa.array(keys[part].view(np.int64)), pa.array(counts[part])], names=["kind", "key", "n"])
 
         for batch in batches:
-            for _, _, buf, offsets in blocks(batch.column(0)):
+            for _, _, buf, offsets in blocks(batch.column(0), PART_BYTES):
                 sums[0].add(words_of(LOWER[buf], offsets).hash)
                 sums[1].add(grams(*padded(buf, offsets, order), order))
                 for kind in (0, 1):
@@ -261,13 +262,15 @@ class _Index:
         return out
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Keys byte place by byte place, which compresses well as they are sorted."""
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers byte place by byte place, compressed, after their length."""
+    data = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(data).to_bytes(8, "big") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "big"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, len(raw) // np.dtype(kind).itemsize).T).view(kind).ravel()
 
 
 def _block_keys(kind: int, buf: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,6 +281,20 @@ def _block_keys(kind: int, buf: np.ndarray, offsets: np.ndarray, order: int) ->
     return grams(*padded(buf, offsets, order), order), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) + 1)
 
 
+def _parts_keys(kind: int, buf: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and their texts of a block, some texts at a time."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + PART_BYTES, side="right")) - 1)
+        keys, doc = _block_keys(kind, buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], order)
+        yield keys, doc + lo
+        lo = hi
+
+
+def _distinct(kind: int, buf: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.unique(keys) for keys, _ in _parts_keys(kind, buf, offsets, order)]))
+
+
 def _dealt(kind: int, keys: np.ndarray, buckets: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of sorted keys by bucket, and where each bucket begins in it."""
     bucket = keys % np.uint64(buckets) if kind == WORD else ((keys >> np.uint64(8)) & np.uint64(_ends_with(shared + 1))) * np.uint64(SPREAD) % np.uint64(buckets)
@@ -285,48 +302,63 @@ def _dealt(kind: int, keys: np.ndarray, buckets: int, shared: int) -> tuple[np.n
     return turn, np.searchsorted(bucket[turn], np.arange(buckets + 1, dtype=np.uint64))
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Blocks of texts with a number that is the same whenever the rows are read in the same order."""
+    from pyspark import TaskContext
+
+    task, number = TaskContext.get(), 0
+    for batch in batches:
+        for lo, hi, buf, offsets in blocks(batch.column(2), BLOCK_BYTES):
+            yield (task.partitionId() << 24) + number if task else number, batch.slice(lo, hi - lo), buf, offsets
+            number += 1
+
+
+def _rows(block: int, rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds, bucket, n, data = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array(kinds, pa.int32()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["block", "kind", "bucket", "n_keys", "data"])
+
+
 def _ask(order: int, shared: int, buckets: tuple[int, int]):
-    """Rows by block of texts: kind -1 has the texts, the others the distinct keys that a bucket is asked for."""
+    """The distinct keys that each block asks each bucket for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, number = TaskContext.get(), 0
-        for batch in batches:
-            for lo, hi, buf, offsets in blocks(batch.column(2), SCORE_BYTES):
-                block = (task.partitionId() << 24) + number if task else number
-                number += 1
-                texts = (batch.column(0).slice(lo, hi - lo).to_pylist(), np.asarray(batch.column(1).slice(lo, hi - lo).to_pylist(), bool), buf, offsets)
-                rows = [(-1, 0, 0, pickle.dumps(texts, 5))]
-                for kind in (WORD, GRAM):
-                    keys = np.unique(_block_keys(kind, buf, offsets, order)[0])
-                    turn, cuts = _dealt(kind, keys, buckets[kind], shared)
-                    keys = keys[turn]
-                    for b in np.flatnonzero(np.diff(cuts)):
-                        rows.append((kind, int(b), int(cuts[b + 1] - cuts[b]), _packed(keys[cuts[b] : cuts[b + 1]])))
-                kinds, bucket, n, data = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array(kinds, pa.int32()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["block", "kind", "bucket", "n_keys", "data"])
+        for block, _, buf, offsets in _numbered(batches):
+            rows = []
+            for kind in (WORD, GRAM):
+                keys = _distinct(kind, buf, offsets, order)
+                turn, cuts = _dealt(kind, keys, buckets[kind], shared)
+                keys = keys[turn]
+                rows += [(kind, int(b), int(cuts[b + 1] - cuts[b]), _packed(keys[cuts[b] : cuts[b + 1]])) for b in np.flatnonzero(np.diff(cuts))]
+            yield _rows(block, rows)
 
     return run
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each block, kind -1."""
+    for block, batch, buf, offsets in _numbered(batches):
+        facts = (batch.column(0).to_pylist(), np.asarray(batch.column(1).to_pylist(), bool), _packed(buf), offsets)
+        yield _rows(block, [(-1, 0, 0, pickle.dumps(facts, 5))])
+
+
 def _answer(top_box, order: int, shared: int):
     """Counts of words, or log10 probabilities of bytes, for the keys that blocks ask a bucket for."""
     top: list[Top] = []
 
     def run(asked: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        keys, n = counts["key"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy(np.float64)
+        keys = counts["key"].to_numpy(np.int64).view(np.uint64)
         if not len(asked):
             return pd.DataFrame({"block": [], "kind": [], "bucket": [], "data": []})
         if asked["kind"].iloc[0] == WORD:
             index = _Index(keys)
-            padded_n = np.append(n, 0.0)
-            find = lambda wanted: padded_n[index.find(wanted)]
+            known = np.append(counts["n"].to_numpy(np.int64), 0)
+            find = lambda wanted: known[index.find(wanted)]
         else:
             if not top:
                 top.append(Top(*top_box.value, shared))
-            find = Trie(top[0], keys, n, order).log10
-        data = [find(_unpacked(d)).astype(np.float64).tobytes() for d in asked["data"]]
+            trie = Trie(top[0], keys, counts["n"].to_numpy(np.float64), order)
+            find = lambda wanted: trie.log10(wanted).astype(np.float32)
+        data = [_packed(find(_unpacked(d, np.uint64))) for d in asked["data"]]
         return pd.DataFrame({"block": asked["block"], "kind": asked["kind"], "bucket": asked["bucket"], "data": data})
 
     return run
@@ -336,24 +368,26 @@ def _join(id_kind: str, order: int, shared: int, buckets: tuple[int, int], log_s
     """Sums per text of a block from its texts and what the buckets answered."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, out, buf, offsets = pickle.loads(rows.loc[rows["kind"] < 0, "data"].iloc[0])
-        n = len(ids)
+        ids, out, text, offsets = pickle.loads(rows.loc[rows["kind"] < 0, "data"].iloc[0])
+        buf, n = _unpacked(text, np.uint8), len(ids)
 
-        def values(kind: int) -> tuple[np.ndarray, np.ndarray]:
-            keys, doc = _block_keys(kind, buf, offsets, order)
-            unique, place = np.unique(keys, return_inverse=True)
+        def values(kind: int, number: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            unique = _distinct(kind, buf, offsets, order)
             turn, _ = _dealt(kind, unique, buckets[kind], shared)
             found = np.empty(len(unique))
-            answers = rows[rows["kind"] == kind].sort_values("bucket")["data"]
-            found[turn] = np.frombuffer(b"".join(answers), np.float64)
-            return found[place], doc
-
-        count, doc = values(WORD)
-        base = np.bincount(doc, weights=np.log10(count + 1.0) - log_size, minlength=n) + math.log10(end + 1.0) - log_size
-        known = np.bincount(doc[count > 0], minlength=n) + int(end > 0)
-        tokens = np.bincount(doc, minlength=n) + 1
-        value, doc = values(GRAM)
-        score = np.bincount(doc, weights=value, minlength=n)
+            answers = [_unpacked(d, number) for d in rows[rows["kind"] == kind].sort_values("bucket")["data"]]
+            found[turn] = np.concatenate([np.zeros(0, number), *answers])
+            for keys, doc in _parts_keys(kind, buf, offsets, order):
+                yield found[np.searchsorted(unique, keys)], doc
+
+        known, tokens = np.full(n, int(end > 0)), np.ones(n, np.int64)
+        base, score = np.full(n, math.log10(end + 1.0) - log_size), np.zeros(n)
+        for count, doc in values(WORD, np.int64):
+            base += np.bincount(doc, weights=np.log10(count + 1.0) - log_size, minlength=n)
+            known += np.bincount(doc[count > 0], minlength=n)
+            tokens += np.bincount(doc, minlength=n)
+        for value, doc in values(GRAM, np.float32):
+            score += np.bincount(doc, weights=value, minlength=n)
         return pd.DataFrame({"doc_id": pd.array(ids, "Int64") if id_kind == "bigint" else ids, "held_out": out, "n_tokens": tokens, "n_known": known, "base_score": base, "score": score})
 
     return run
@@ -367,7 +401,9 @@ def score_texts(docs: DataFrame, order: int = ORDER, shared: int = SHARED) -> Da
     end. A null doc_id is hashed as an empty one. Repeated rows count as often
     as they are there. Without training rows every byte is as likely, and
     every word unknown. An empty table gives an empty result; other columns
-    are ignored.
+    are ignored. Blocks are cut twice, so `docs` must give its rows in the same
+    order each time, as tables in files do; if not, the sums fail. Log
+    probabilities of bytes travel as 32-bit numbers.
     """
     spark = docs.sparkSession
     marked = docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
@@ -382,8 +418,8 @@ def score_texts(docs: DataFrame, order: int = ORDER, shared: int = SHARED) -> Da
     top = counts.where(F.col("kind") == GRAM).groupBy(F.col("key").bitwiseAND(F.lit(_ends_with(shared + 1))).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     top_box = spark.sparkContext.broadcast((top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()))
 
-    parts = written(marked.mapInArrow(_ask(order, shared, buckets), "block long, kind int, bucket int, n_keys long, data binary"), "asked")
-    asked = parts.where("kind >= 0")
+    kinds = "block long, kind int, bucket int, n_keys long, data binary"
+    asked = written(marked.mapInArrow(_ask(order, shared, buckets), kinds), "asked")
     cells = asked.groupBy("kind", "bucket").agg(F.ceil(F.sum("n_keys") / CELL_KEYS).cast("int").alias("cells"))
     context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(_ends_with(shared + 1)))
     bucket = F.when(F.col("kind") == WORD, F.pmod(_unsigned_mod("key", buckets[WORD]), F.lit(buckets[WORD]))).otherwise(F.pmod(context * SPREAD, F.lit(buckets[GRAM])))
@@ -394,7 +430,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, shared: int = SHARED) -> Da
     answered = asked.groupBy(*by).cogroup(model.groupBy(*by)).applyInPandas(_answer(top_box, order, shared), "block long, kind int, bucket int, data binary")
 
     id_kind = dict(docs.dtypes)["doc_id"]
-    joined = parts.where("kind < 0").select("block", "kind", "bucket", "data").unionByName(answered).groupBy("block")
+    joined = marked.mapInArrow(_texts, kinds).select("block", "kind", "bucket", "data").unionByName(answered).groupBy("block")
     joined = joined.applyInPandas(_join(id_kind, order, shared, buckets, math.log10(total + distinct + 1.0), ends), f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
