@@ -114,20 +114,20 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def _tie_columns(
-    df: DataFrame, column: str, tie: Sequence[str] | str | None
-) -> list[Column]:
-    """Further sort keys: the given ones, else all other columns that have an order.
+def _tie_names(
+    df: DataFrame,
+    column: str,
+    tie: Sequence[str] | str | None,
+    project: Sequence[str] | None,
+) -> list[str]:
+    """The given names, else the other columns of the result that have an order.
 
-    They make the order the same on every run, and they let the range
-    partitioning of a sort split a value that many rows share.
+    Rows that agree in all columns of the result are the same row of it, so a
+    projection needs no further column.
     """
-    if isinstance(tie, str):
-        tie = [tie]
-    names = tie if tie is not None else [
-        c for c in df.columns if c != column and supports(df, "MAX", c)
-    ]
-    return [known(df, n).asc_nulls_last() for n in names]
+    if tie is not None:
+        return [tie] if isinstance(tie, str) else list(tie)
+    return [c for c in project or df.columns if c != column and supports(df, "MAX", c)]
 
 
 def extreme_row(
@@ -146,7 +146,8 @@ def extreme_row(
     """
     best = df.agg(aggregate_expr(df, operation, column).alias("best")).scalar()
     found = df.filter(_present(df, column) & (col_of(column) == best))
-    top = found.orderBy(*_tie_columns(df, column, tie)).limit(1)
+    ties = _tie_names(df, column, tie, project)
+    top = found.orderBy(*[known(df, n).asc_nulls_last() for n in ties]).limit(1)
     return top.select(*map(col_of, project)) if project else top
 
 
@@ -163,10 +164,18 @@ def sort_by(
     tie: Sequence[str] | str | None = None,
     project: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All rows in ascending order, missing values last (a range-partitioned sort)."""
-    ordered = df.orderBy(
-        known(df, column).asc_nulls_last(), *_tie_columns(df, column, tie)
-    )
+    """All rows in ascending order, missing values last (a range-partitioned sort).
+
+    Rows of one value are in the order of the tie columns, else of the other
+    projected ones, else of one hash of all others. So the order is the same
+    on every run, the range partitioning can split a value that many rows
+    share, and its sample, which the driver gets, holds no whole rows.
+    """
+    ties = _tie_names(df, column, tie, project)
+    keys = [known(df, n) for n in ties]
+    if tie is None and project is None and keys:
+        keys = [F.xxhash64(*keys)]
+    ordered = df.orderBy(*[k.asc_nulls_last() for k in (known(df, column), *keys)])
     return ordered.select(*map(col_of, project)) if project else ordered
 
 

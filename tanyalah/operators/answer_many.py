@@ -13,7 +13,7 @@ from .classify import classify_column
 ROWS = "*"
 _ANSWER = (
     "operation string, answer_key string, answer_double double, "
-    "answer_string string, supported boolean"
+    "answer_exact string, answer_string string, supported boolean"
 )
 
 
@@ -23,7 +23,7 @@ def answer_many(
     text: str = "query",
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
 ) -> DataFrame:
-    """Add operation, detected_column, answer_double, answer_string and status.
+    """Add operation, detected_column, answer_double, answer_exact, answer_string and status.
 
     Many questions ask for few different (operation, column) pairs: at most
     five operations times the columns of the table. One job over the questions
@@ -33,8 +33,9 @@ def answer_many(
 
     status: ok; row_wanted (the question asks for a row: the value is given,
     ``ask`` returns the row); unsupported_type; needs_value (FILTER);
-    needs_func (GROUP); whole_table (SORT). Numbers are in answer_double,
-    everything else in answer_string.
+    needs_func (GROUP); whole_table (SORT). Numbers are in answer_double;
+    whole numbers and decimals, which a double may round, in answer_exact too,
+    as text; everything else is in answer_string.
     """
     asked = classify_column(questions, df.columns, text, vocabulary).withColumn(
         "answer_key",
@@ -61,6 +62,7 @@ def answer_many(
         "operation",
         "detected_column",
         "answer_double",
+        "answer_exact",
         "answer_string",
         status.alias("status"),
     )
@@ -78,19 +80,20 @@ def _answers(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     def as_row(pair: tuple[str, str]) -> Column:
         operation, key = pair
         number = F.lit(None).cast("double")
-        string = F.lit(None).cast("string")
+        exact = string = F.lit(None).cast("string")
         if able[pair]:
-            numeric = operation not in ("MAX", "MIN") or isinstance(
-                df.schema[key].dataType, T.NumericType
-            )
-            if numeric:
+            kind = totals.schema[values[pair]].dataType
+            if isinstance(kind, T.NumericType):
                 number = F.col(values[pair]).cast("double")
+                if not isinstance(kind, (T.FloatType, T.DoubleType)):
+                    exact = F.col(values[pair]).cast("string")
             else:
                 string = F.col(values[pair]).cast("string")
         return F.struct(
             F.lit(operation).alias("operation"),
             F.lit(key).alias("answer_key"),
             number.alias("answer_double"),
+            exact.alias("answer_exact"),
             string.alias("answer_string"),
             F.lit(able[pair]).alias("supported"),
         )

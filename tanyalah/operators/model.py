@@ -19,10 +19,13 @@ DEFAULT_EPOCHS = 10
 FEATURES = 1 << 13
 
 
-def fit_model(labelled: DataFrame, epochs: int = DEFAULT_EPOCHS) -> PipelineModel:
+def fit_model(
+    labelled: DataFrame, epochs: int = DEFAULT_EPOCHS, features: int = FEATURES
+) -> PipelineModel:
     """Fit on (query, operation_id) rows and the built-in seed.
 
-    Equal questions with equal labels are first merged into one weighted row,
+    Words are hashed to ``features`` numbers; take more than there are
+    different words, else some share one. Equal questions with equal labels are first merged into one weighted row,
     which gives the same model from far fewer rows. Rows with an unknown
     operation have no label to learn.
     """
@@ -40,7 +43,7 @@ def fit_model(labelled: DataFrame, epochs: int = DEFAULT_EPOCHS) -> PipelineMode
         RegexTokenizer(
             inputCol=TEXT, outputCol="__words", gaps=False, pattern=r"[\p{L}\p{N}]+"
         ),
-        HashingTF(inputCol="__words", outputCol="__features", numFeatures=FEATURES),
+        HashingTF(inputCol="__words", outputCol="__features", numFeatures=features),
         LogisticRegression(
             featuresCol="__features", labelCol="label", weightCol="weight",
             probabilityCol="__probability", rawPredictionCol="__raw",

@@ -21,10 +21,10 @@ from pyspark.sql.window import Window
 # installed copy of the package.
 register_pickle_by_value(sys.modules[__name__])
 
-# Up to this many query vectors are sent to every executor.
-BROADCAST_ROWS = 1000
-# Beyond it, vectors meet in blocks of about this many rows.
-BLOCK_ROWS = 20_000
+# Bytes of query vectors that may be sent to every executor.
+BROADCAST_BYTES = 64 << 20
+# Bytes of vectors of either side that meet in one task.
+BLOCK_BYTES = 64 << 20
 # Similarities held in memory at a time, per task.
 CELLS = 4_000_000
 DIGITS = 6
@@ -38,8 +38,9 @@ def top_k_similar(
     query_vector: str = "query_vector",
     vector_id: str = "vec_id",
     vector: str = "embedding",
-    broadcast_rows: int = BROADCAST_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    plan: str = "blocks",
+    sizes: tuple[int, int] | None = None,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Rows (query_id, vector_id, similarity, rank) with rank 1 to k, exactly.
 
@@ -48,13 +49,21 @@ def top_k_similar(
     similarity 0 to all.
 
     No pair of vectors ever becomes a row: each task multiplies a batch of the
-    corpus with the query vectors and keeps its k best per query. Few query
-    vectors go to every executor and the corpus stays where it is. More than
-    ``broadcast_rows`` of them are cut into blocks, and each block of queries
-    meets each block of the corpus in a task of its own.
+    corpus with the query vectors and keeps its k best per query. The caller
+    names the plan; the result is the same.
+
+    blocks: both sides are cut into blocks of about ``block_bytes``, and each
+    block of queries meets each block of the corpus in a task of its own.
+    ``sizes``, the bytes of both sides, spares the job that finds them.
+
+    broadcast: the query vectors go to every executor and the corpus stays
+    where it is, for queries whose number does not grow with the data. Their
+    size is checked; beyond ``BROADCAST_BYTES`` it raises.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    if plan not in ("blocks", "broadcast"):
+        raise ValueError(f"unknown plan {plan!r}")
     left = queries.filter(F.col(query_vector).isNotNull()).select(
         F.col(query_id).alias("query_id"), F.col(query_vector).alias("query_vector")
     )
@@ -68,12 +77,14 @@ def top_k_similar(
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    # One row more than may be sent tells whether there are too many.
-    few = left.limit(broadcast_rows + 1).toArrow()
-    if few.num_rows <= broadcast_rows:
-        best = _against_all(few, right, k, schema)
+    if plan == "broadcast":
+        if (sizes[0] if sizes else _bytes(left, "query_vector")) > BROADCAST_BYTES:
+            raise ValueError("too many query vectors to broadcast, use plan='blocks'")
+        best = _against_all(left.toArrow(), right, k, schema)
     else:
-        best = _block_by_block(left, right, k, schema, block_rows)
+        held = sizes or (_bytes(left, "query_vector"), _bytes(right, "vector"))
+        counts = [max(1, math.ceil(size / block_bytes)) for size in held]
+        best = _block_by_block(left, right, k, schema, *counts)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vector_id")
     return (
         best.withColumn("rank", F.row_number().over(order))
@@ -82,6 +93,11 @@ def top_k_similar(
     )
 
 
+def _bytes(vectors: DataFrame, column: str) -> int:
+    """Size of a column of vectors as doubles."""
+    return 8 * (vectors.agg(F.sum(F.size(column).cast("bigint"))).first()[0] or 0)
+
+
 def _against_all(
     queries: pa.Table, right: DataFrame, k: int, schema: T.StructType
 ) -> DataFrame:
@@ -95,15 +111,17 @@ def _against_all(
 
 
 def _block_by_block(
-    left: DataFrame, right: DataFrame, k: int, schema: T.StructType, block_rows: int
+    left: DataFrame,
+    right: DataFrame,
+    k: int,
+    schema: T.StructType,
+    query_blocks: int,
+    corpus_blocks: int,
 ) -> DataFrame:
     """Every block of queries against every block of the corpus.
 
-    Hashing the ids fills the blocks evenly, so each task holds about
-    ``block_rows`` vectors of either side.
+    Hashing the ids fills the blocks evenly.
     """
-    query_blocks = max(1, math.ceil(left.count() / block_rows))
-    corpus_blocks = max(1, math.ceil(right.count() / block_rows))
     layout = to_arrow_schema(schema)
 
     def block(column: str, count: int):

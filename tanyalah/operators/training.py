@@ -15,7 +15,7 @@ from ..functions.vocab import (
 )
 from ..sources import schemas
 from .feedback import feedback_accepted, feedback_state
-from .model import DEFAULT_EPOCHS, fit_model
+from .model import DEFAULT_EPOCHS, FEATURES, fit_model
 
 # Any text survives: quotes are doubled, blanks and line breaks are kept.
 CSV = {
@@ -78,6 +78,14 @@ def export_training(training: DataFrame, path: str, single_file: bool = False) -
     return path
 
 
+def export_summary(training: DataFrame, path: str) -> DataFrame:
+    """Export, whatever the number of rows; one row: status, samples_exported, export_path."""
+    spark = training.sparkSession
+    exported = read_export(spark, export_training(training, path)).count()
+    ddl = "status string, samples_exported bigint, export_path string"
+    return spark.sql(values([("exported", exported, path)], ddl))
+
+
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     rows = (
         spark.read.schema(schemas.TRAINING_EXPORT).options(**CSV, multiLine=True).csv(path)
@@ -130,9 +138,13 @@ def retrain(
     folder: str,
     epochs: int = DEFAULT_EPOCHS,
     needed: int = RETRAIN_MANUAL,
+    features: int = FEATURES,
 ) -> DataFrame:
     """Export the training data and fit and save a model, if there is enough.
 
+    The training rows are written once, below ``folder``; the export, the
+    count and the fit start from there.
+
     Returns one row as in ``RETRAIN_REPORT``; its status is insufficient or
     completed.
     """
@@ -140,12 +152,14 @@ def retrain(
     export_path = model_path = None
     exported = 0
     if samples >= needed:
-        training = training_set(log, events)
+        stored = f"{folder}/training"
+        training_set(log, events).write.mode("overwrite").parquet(stored)
+        training = spark.read.schema(schemas.TRAINING_DATA).parquet(stored)
         export_path = export_training(training, f"{folder}/training_csv")
-        data = read_export(spark, export_path)
+        data = training.filter("verified")
         exported = data.count()
         model_path = f"{folder}/model"
-        fit_model(data, epochs).write().overwrite().save(model_path)
+        fit_model(data, epochs, features).write().overwrite().save(model_path)
     row = (
         "completed" if model_path else "insufficient",
         needed, samples, exported,

@@ -179,24 +179,24 @@ PEOPLE = """people AS (
   SELECT c_custkey AS nomor, c_name AS nama, c_nationkey AS umur, c_acctbal AS saldo
   FROM customer)"""
 
-NUMBERS = (
-    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-    "l_extendedprice", "l_discount", "l_tax",
-)
+WHOLE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+NUMBERS = (*WHOLE_NUMBERS, "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 def _answers() -> str:
     """Every (operation, column) answer over lineitem, one row each."""
     rows = ["SELECT 'COUNT' AS operation, '*' AS key, count(*)::DOUBLE AS number, "
-            "NULL::VARCHAR AS string FROM lineitem"]
+            "count(*)::VARCHAR AS exact, NULL::VARCHAR AS string FROM lineitem"]
     functions = {"MAX": "max", "MIN": "min", "SUM": "sum", "MEAN": "avg", "COUNT": "count"}
     for column in derived.LINEITEM_COLUMNS:
         for operation, function in functions.items():
             numeric = column in NUMBERS
+            whole = operation == "COUNT" or (column in WHOLE_NUMBERS and operation != "MEAN")
             if operation == "COUNT" or numeric:
-                value = f"{function}({column})::DOUBLE, NULL"
+                exact = f"{function}({column})::VARCHAR" if whole else "NULL"
+                value = f"{function}({column})::DOUBLE, {exact}, NULL"
             elif operation in ("MAX", "MIN"):
-                value = f"NULL, {function}({column})::VARCHAR"
+                value = f"NULL, NULL, {function}({column})::VARCHAR"
             else:
                 continue
             rows.append(f"SELECT '{operation}', '{column}', {value} FROM lineitem")
@@ -318,7 +318,7 @@ ORACLES = {
     "answer_many": f"""WITH {CLASSIFIED}, {_answers()}, asked AS (
         SELECT id, query, operation, {detected(ITEM_COLUMNS)} AS detected_column FROM classified)
       SELECT id, query, asked.operation, detected_column,
-             round(number, 4) AS answer_double, string AS answer_string,
+             round(number, 4) AS answer_double, exact AS answer_exact, string AS answer_string,
              CASE WHEN asked.operation = 'FILTER' THEN 'needs_value'
                   WHEN asked.operation = 'GROUP' THEN 'needs_func'
                   WHEN asked.operation = 'SORT' THEN 'whole_table'
@@ -342,6 +342,8 @@ ORACLES = {
     "training_read": f"WITH {TRAINING} SELECT query, operation_id FROM training",
     "training_export": f"""WITH {TRAINING} SELECT query, operation_id,
       CASE WHEN operation_id >= 0 THEN operation_name END AS operation_name FROM training""",
+    "export_summary": f"""WITH {TRAINING} SELECT 'exported' AS status,
+      count(*) AS samples_exported FROM training""",
     "retrain_gate": f"""WITH {STATS}
       SELECT verified_samples, min_samples, verified_samples >= min_samples AS should_retrain,
              greatest(min_samples - verified_samples, 0) AS samples_needed
@@ -377,4 +379,13 @@ ORACLES = {
         SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id)::INTEGER AS rank
         FROM scored)
       SELECT label, vec_id, similarity, rank FROM ranked WHERE rank <= {registry.TOP_K}""",
+    "vector_topk_blocks": f"""WITH scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6)
+               AS similarity
+        FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id % 50 = 0), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INTEGER
+               AS rank
+        FROM scored)
+      SELECT query_id, vec_id, similarity, rank FROM ranked WHERE rank <= {registry.TOP_K}""",
 }

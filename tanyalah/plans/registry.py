@@ -242,7 +242,8 @@ def answer_many(spark, sf_dir):
     answers = answer_questions(derived.questions(spark, sf_dir), table(spark, sf_dir, "lineitem"))
     return answers.select(
         "id", "query", "operation", "detected_column",
-        F.round("answer_double", 4).alias("answer_double"), "answer_string", "status",
+        F.round("answer_double", 4).alias("answer_double"), "answer_exact", "answer_string",
+        "status",
     )
 
 
@@ -323,6 +324,12 @@ def training_export(spark, sf_dir):
     return training.read_export(spark, path)
 
 
+@query
+def export_summary(spark, sf_dir):
+    path = fresh_folder(spark, "training_export")
+    return training.export_summary(_training(spark, sf_dir), path).drop("export_path")
+
+
 @query
 def retrain_gate(spark, sf_dir):
     verified = training.verified_count(
@@ -445,7 +452,17 @@ def vector_topk(spark, sf_dir):
     centers = vectors.groupBy("label").agg(
         vector_to_array(Summarizer.mean(array_to_vector("embedding"))).alias("center")
     )
-    return top_k_similar(centers, vectors, TOP_K, "label", "center")
+    return top_k_similar(centers, vectors, TOP_K, "label", "center", plan="broadcast")
+
+
+@query
+def vector_topk_blocks(spark, sf_dir):
+    """The vectors nearest to those whose id is divisible by 50, over the whole table."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.filter(F.col("vec_id") % 50 == 0).select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")
+    )
+    return top_k_similar(asked, vectors, TOP_K)
 
 
 def _rounded(df: DataFrame, digits: int = 4, keep: list[str] | None = None) -> DataFrame:

@@ -93,10 +93,26 @@ def test_groups_are_reduced_before_the_shuffle(items):
     assert "partial_sum" in plan
 
 
-def test_sort_is_range_partitioned_by_ties_too(items):
+def test_sort_has_two_range_keys(items):
+    """The value, and one hash that splits equal values."""
     plan = physical(answer.ask(items, "urut l_returnflag"))
     exchange = re.search(r"rangepartitioning\((.*)", plan).group(1)
-    assert "l_returnflag" in exchange and "l_orderkey" in exchange
+    assert exchange.count("ASC NULLS LAST") == 2 and "xxhash64(" in exchange
+
+
+def test_projected_sort_reads_its_columns_only(spark, sf_dir):
+    plan = physical(registry.QUERIES["ask_sort_project"](spark, sf_dir))
+    assert "ReadSchema: struct<p_name:string,p_retailprice:double>" in plan
+
+
+def test_named_extreme_row_reads_value_name_and_age(spark, sf_dir):
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumnsRenamed(
+        {"c_name": "nama", "c_nationkey": "umur"}
+    )
+    plan = physical(answer.ask(people, "siapa dengan c_acctbal terbesar"))
+    read = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert read and all("c_custkey" not in r and "c_phone" not in r for r in read)
+    assert max(r.count(":") for r in read) == 3
 
 
 def test_stats_scan_each_table_once(stored):
@@ -124,7 +140,7 @@ def test_a_hot_question_is_split_over_tasks(spark, stored):
     copies.withColumns(
         {"seq": F.col("seq") * 60 + F.col("id"), "feedback": F.lit("good"),
          "correct_operation": F.sha2(F.concat_ws("-", "seq", "id"), 256)}
-    ).drop("id").repartition(8).write.parquet(path)
+    ).drop("id").repartition(8).write.parquet(f"{path}/{query_log.BATCH}")
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from tanyalah.plans.registry import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -47,7 +48,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 def test_queries_without_sql():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"classify_with_model"}
+    assert set(QUERIES) - set(contract.oracle_sql()) == {"classify_with_model"}
 
 
 def test_model_query_keeps_every_question(spark, sf_dir):
@@ -61,7 +62,8 @@ def test_model_query_keeps_every_question(spark, sf_dir):
 
 def test_entry(spark):
     assert contract.entry(spark).columns == [
-        "id", "query", "operation", "detected_column", "answer_double", "answer_string", "status",
+        "id", "query", "operation", "detected_column", "answer_double", "answer_exact",
+        "answer_string", "status",
     ]
 
 

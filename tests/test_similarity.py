@@ -47,15 +47,25 @@ def run(frames, k, **options):
     return sorted((r["q"], r["vec_id"], r["similarity"], r["rank"]) for r in rows)
 
 
+@pytest.mark.parametrize("plan", ["broadcast", "blocks"])
 @pytest.mark.parametrize("k", [1, 4, 500])
-def test_few_queries(frames, vectors, k):
-    got, want = run(frames, k), brute_force(*vectors, k)
+def test_equals_brute_force(frames, vectors, k, plan):
+    got, want = run(frames, k, plan=plan), brute_force(*vectors, k)
     assert [(q, v, r) for q, v, _, r in got] == [(q, v, r) for q, v, _, r in want]
     assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-9)
 
 
-def test_many_queries_meet_in_blocks(frames):
-    assert run(frames, 4, broadcast_rows=3, block_rows=9) == run(frames, 4)
+def test_vectors_meet_in_blocks(frames):
+    want = run(frames, 4, plan="broadcast")
+    assert run(frames, 4, block_bytes=9 * 64) == want
+    assert run(frames, 4, sizes=(9_000, 90_000), block_bytes=10_000) == want
+
+
+def test_broadcasts_are_checked(frames):
+    with pytest.raises(ValueError, match="blocks"):
+        run(frames, 4, plan="broadcast", sizes=(1 << 40, 0))
+    with pytest.raises(ValueError, match="plan"):
+        run(frames, 4, plan="other")
 
 
 def test_empty_sides(spark, frames):
