@@ -267,6 +267,28 @@ def test_near_duplicates_equal_brute_force(spark, docs, none):
     assert len(odd) == len(ROWS) and {r["class_id"] for r in odd if r["doc_id"] in (1, 2)} == {1}
 
 
+def test_pairs_left_by_pruning_are_compared(spark):
+    """Pairs whose luck lies between 4 of all texts and 4 of those that pruning leaves, all in one bucket."""
+    luck = "pmod(xxhash64(id), 1L << 52) / double(1L << 52)"
+    chosen = [r[0] for r in spark.range(100_000).where(f"{luck} between 0.015 and 0.045").limit(40).collect()]
+    others = [r[0] for r in spark.range(100_000).where(f"{luck} > 0.3").limit(360).collect()]
+    # 84 to 96 of 100 shingles in common: likenesses around 0.8. The others share 20 of 100 with all.
+    sets = {i: set(range(20)) | set(range(1000 * (n + 1), 1000 * (n + 1) + 80)) for n, i in enumerate(others)}
+    for n in range(20):
+        own = -1000 * (n + 1)
+        sets[chosen[2 * n]] = set(range(own, own + 100))
+        sets[chosen[2 * n + 1]] = set(range(own + 4 + n % 13, own + 104 + n % 13))
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert 10 <= len(want) < 20
+    bucket = spark.createDataFrame([(1, i, len(sets), 100) for i in sets], "_key long, _rep long, _n long, _size long")
+    signed = spark.createDataFrame([(i, [1] * 8) for i in sets], "_rep long, _sig array<short>")
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "_rep long, _set array<long>")
+    got = defaultdict(set)
+    for node, component in bagminhash._waves(bucket, signed, frame, 0.8, 4).collect():
+        got[component].add(node)
+    assert {tuple(sorted(v)) for v in got.values() if len(v) > 1} == want
+
+
 def test_signatures_estimate_weighted_similarity():
     a, b = np.arange(50, dtype=np.uint64), np.arange(10, 60, dtype=np.uint64)
     na, nb = np.arange(50) % 4 + 1, np.arange(10, 60) % 7 + 1
