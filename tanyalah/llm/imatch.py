@@ -1,70 +1,81 @@
 """I-Match fingerprints: rare terms of a document, hashed over randomised lexicon subsets.
 
-Terms are hashed into a fixed number of lexicon slots, and the document
-frequency of slots decides which terms lie in the chosen band of inverse
-document frequency. That lexicon is a bitmap of a fixed size whatever the
-corpus holds, so it can be part of the plan. A document's terms in the band
-are sorted and cut into subsets of the lexicon: 8 each of four densities (1/8,
-1/32, 1/128, 1/512 of the lexicon), so short and long documents both have
-subsets of few terms. A subset's hash is one cell of the fingerprint; two
-documents are alike by the share of their non-empty cells that agree.
+The document frequency of every term, counted over distinct texts by its 64-bit
+hash, decides which terms lie in the chosen band of inverse document frequency.
+Terms above the band are few whatever the corpus holds (a text's terms over the
+share of texts), so they can be part of the plan. Terms below it are in one text
+only and are sent to that text. What an edit cuts into terms of neither text is
+looked up. A text of few terms in the band also takes the rarest of those above
+it, so that a large family of near copies keeps the terms it shares.
+
+A document's terms are cut into subsets of the lexicon: 8 each of four
+densities (1/8, 1/32, 1/128, 1/512 of the lexicon), so short and long documents
+both have subsets of few terms. The exclusive or of a subset's hashes is one cell of the
+fingerprint; two documents are alike by the share of their non-empty cells that
+agree.
 """
 
 from __future__ import annotations
 
 import json
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOTS = 1 << 20
-LEAST_DF = 2
+from tanyalah.llm.components import written
+
 MOST_SHARE = 0.02
+LEAST_MOST = 2
+FEW, RAREST = 32, 64
 CELLS, SCALES = 8, 4
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NO_ID = (1 << 63) - 1
 
 
+class Lexicon(NamedTuple):
+    """Terms (_term, _lo, _hi: least and greatest hash of their texts), and those above the band, the rarest first."""
+
+    terms: DataFrame
+    above: list[int]
+
+    def common(self) -> Column:
+        return F.from_json(F.lit(json.dumps(self.above)), "array<bigint>")
+
+
 def term_hashes(text: Column) -> Column:
     """Distinct hashes of a text's terms: lower-case runs without ASCII space or punctuation."""
     terms = F.filter(F.split(F.lower(text), BREAKS), lambda w: w != "")
     return F.array_distinct(F.transform(terms, lambda w: F.xxhash64(w)))
 
 
-def _slot(term: Column, slots: int) -> Column:
-    return F.shiftrightunsigned(term, 24).bitwiseAND(F.lit(slots - 1)).cast("int")
-
-
-def lexicon(docs: DataFrame, slots: int = SLOTS, least_df: int = LEAST_DF, most_share: float = MOST_SHARE) -> Column:
-    """Bitmap of the slots in the band: found in `least_df` documents or more, and in `most_share` of all or fewer.
+def lexicon(docs: DataFrame, most_share: float = MOST_SHARE) -> Lexicon:
+    """Terms of all texts of `docs`; above the band are those in more than `most_share` of the distinct texts.
 
-    Counted over all documents. The bitmap has slots / 64 whole numbers, at any size of corpus.
+    Copies of a text count once. Only terms of that many rows can be above, so
+    only theirs are counted again over distinct texts.
     """
-    terms = docs.select(F.transform(term_hashes(F.coalesce("text", F.lit(""))), lambda h: _slot(h, slots)).alias("_slots"))
-    df = terms.select(F.explode("_slots").alias("_slot")).groupBy("_slot").agg(F.count("*").alias("_df"))
-    most = max(least_df, int(most_share * docs.count()))
-    band = df.where(F.col("_df").between(least_df, most))
-    words = band.groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, _slot & 63)")).alias("_bits"))
-    bits = [0] * (slots // 64)
-    for word, value in words.collect():
-        bits[word] = value
-    return F.from_json(F.lit(json.dumps(bits, separators=(",", ":"))), "array<bigint>")
-
-
-def cells(text: Column, bitmap: Column, slots: int = SLOTS) -> Column:
-    """Fingerprint cells of a text; the last holds a hash of all terms where all others are empty."""
-    terms = term_hashes(text)
-
-    def inside(h: Column) -> Column:
-        slot = _slot(h, slots)
-        word = F.get(bitmap, F.shiftright(slot, 6))
-        return F.call_function("shiftright", word, slot.bitwiseAND(63)).bitwiseAND(F.lit(1)) == 1
+    text = F.coalesce("text", F.lit(""))
+    each = docs.select(F.xxhash64(text).alias("_text"), term_hashes(text).alias("_terms"))
+    terms = each.select("_text", F.explode("_terms").alias("_term")).groupBy("_term")
+    terms = written(terms.agg(F.count("*").alias("_rows"), F.min("_text").alias("_lo"), F.max("_text").alias("_hi")), "terms")
+    rows, texts = docs.select(F.xxhash64(text).alias("_text")).groupBy("_text").agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
+    most = max(LEAST_MOST, int(most_share * texts))
+    found = dict(terms.where(F.col("_rows") > most).select("_term", "_rows").collect())
+    if rows > texts and found:
+        maybe = Lexicon(terms, list(found)).common()
+        once = each.select("_text", F.array_intersect("_terms", maybe).alias("_hits")).groupBy("_text").agg(F.any_value("_hits").alias("_hits"))
+        found = dict(once.select(F.explode("_hits").alias("_term")).groupBy("_term").agg(F.count("*")).collect())
+    return Lexicon(terms, sorted((t for t, n in found.items() if n > most), key=lambda t: (found[t], t)))
+
+
+def cells(terms: Column) -> Column:
+    """Fingerprint cells of a list of terms, 0 where empty."""
 
     def cell(kept: Column, scale: int, k: int) -> Column:
         mine = F.filter(kept, lambda h: F.shiftrightunsigned(h, 3 * scale).bitwiseAND(F.lit(CELLS - 1)) == k)
-        return F.when(F.size(mine) > 0, F.lower(F.hex(F.xxhash64(mine)))).otherwise(F.lit(""))
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda t, h: t.bitwiseXOR(F.xxhash64(h)))
 
-    kept = F.array_sort(F.filter(terms, inside))
     # One-element arrays bind each list of terms to a name, so that it is made once.
     def bind(value: Column, use) -> Column:
         return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -76,24 +87,52 @@ def cells(text: Column, bitmap: Column, slots: int = SLOTS) -> Column:
         thinner = F.filter(list_, lambda h: F.shiftrightunsigned(h, 48 + 2 * scale).bitwiseAND(F.lit(3)) == 0)
         return F.concat(own, bind(thinner, lambda x: scales(x, scale + 1)))
 
-    banded = bind(kept, lambda x: scales(x, 0))
-    whole = F.lower(F.hex(F.xxhash64(F.array_sort(terms))))
-    last = lambda c: F.when(F.array_max(c) == "", F.concat(c, F.array(whole))).otherwise(F.concat(c, F.array(F.lit(""))))
-    return bind(banded, last)
+    return bind(terms, lambda x: scales(x, 0))
+
+
+def both(a: Column, b: Column) -> Column:
+    """Cells of two lists without a common term."""
+    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+
+
+def whole(terms: Column) -> Column:
+    return F.xxhash64(F.array_sort(terms))
+
+
+def closed(banded: Column, all_terms: Column) -> Column:
+    """Cells with a last one that holds the hash of all terms where all others are empty."""
+    return F.concat(banded, F.array(F.when(F.forall(banded, lambda x: x == 0), all_terms).otherwise(F.lit(0))))
+
+
+def fingerprint(closed_cells: Column) -> Column:
+    return F.array_join(F.transform(closed_cells, lambda x: F.when(x == 0, F.lit("")).otherwise(F.lower(F.hex(x)))), ":")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of the cells filled in either that agree, 0 to 1."""
-    some = F.filter(F.zip_with(a, b, lambda x, y: F.when((x == "") & (y == ""), F.lit(None)).otherwise((x == y).cast("int"))), lambda v: v.isNotNull())
+    some = F.filter(F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), F.lit(None)).otherwise((x == y).cast("int"))), lambda v: v.isNotNull())
     return F.aggregate(some, F.lit(0.0), lambda t, v: t + v) / F.greatest(F.size(some), F.lit(1))
 
 
-def with_next(docs: DataFrame, carry: list[str], parts: int | None = None) -> DataFrame:
-    """doc_id and `carry`, with `next`: a struct of `carry` of the next row by doc_id, after the last that of the first.
+def _marked(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Rows (text, _once: its terms that are in no other text) with their terms and cells."""
+    rows = rows.withColumn("_terms", term_hashes(F.col("text")))
+    rows = rows.withColumn("_own", F.array_except("_terms", F.concat(lexicon.common(), F.coalesce("_once", F.array().cast("array<bigint>")))))
+    kept = F.when(F.size("_own") < FEW, F.concat("_own", _rarest(lexicon, F.col("_terms")))).otherwise(F.col("_own"))
+    return rows.withColumn("_cells", closed(cells(kept), whole(F.col("_terms")))).drop("_own")
+
+
+def _rarest(lexicon: Lexicon, terms: Column) -> Column:
+    return F.slice(F.array_intersect(lexicon.common(), terms), 1, RAREST)
+
+
+def with_next(docs: DataFrame, lexicon: Lexicon, parts: int | None = None) -> DataFrame:
+    """doc_id, text, _once, _terms and _cells, with `next`: a struct of all but doc_id of the next row by doc_id, after the last that of the first.
 
     Rows are dealt to quantile buckets of doc_id. The window never sees more
     than a bucket; the first row of the following bucket is joined to the last
-    of each. Equal ids follow each other by hash of the row, null ids come last.
+    of each. Equal ids follow each other by hash of the text, null ids come last.
+    The terms that only one text has meet its rows in the same buckets.
     """
     spark = docs.sparkSession
     parts = parts or min(1000, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -101,28 +140,31 @@ def with_next(docs: DataFrame, carry: list[str], parts: int | None = None) -> Da
     bounds = ids.agg(F.percentile_approx("_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
     bounds = sorted(set(bounds))
     bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("_id"))) if bounds else F.lit(0)
-    keyed = docs.select("doc_id", *carry, F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(*carry).alias("_tie")).withColumn("_bucket", bucket)
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_tie")).withColumn("_bucket", bucket)
+    once = lexicon.terms.where("_lo = _hi").groupBy(F.col("_lo").alias("_tie")).agg(F.collect_list("_term").alias("_once"))
+    places = keyed.select("_bucket", "_id", "_tie").distinct().join(once, "_tie")
+    order = Window.partitionBy("_bucket").orderBy("_id", "_tie", "_row")
+    mixed = keyed.withColumn("_row", F.lit(1)).unionByName(places.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    before = F.last(F.when(F.col("_row") == 0, F.struct("_id", "_tie", "_once")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    mine = mixed.withColumn("_before", before).where("_row = 1").drop("_once")
+    mine = mine.withColumn("_once", F.when((F.col("_before._id") == F.col("_id")) & (F.col("_before._tie") == F.col("_tie")), F.col("_before._once"))).drop("_before")
+    row = F.struct("text", "_once", "_terms", "_cells")
+    inner = _marked(mine, lexicon)
     order = Window.partitionBy("_bucket").orderBy("_id", "_tie")
-    row = F.struct(*carry)
-    inner = keyed.withColumn("_next", F.lead(row).over(order)).withColumn("_last", F.lead("_id").over(order).isNull())
+    inner = inner.withColumn("_next", F.lead(row).over(order)).withColumn("_last", F.lead("_id").over(order).isNull())
 
     # First row of each bucket: as many rows as there are buckets.
     firsts = keyed.groupBy("_bucket").agg(F.min(F.struct("_id", "_tie")).alias("_first")).select("_bucket", "_first.*")
     around = Window.orderBy("_bucket")
     firsts = firsts.withColumn("_from", F.coalesce(F.lag("_bucket").over(around), F.max("_bucket").over(Window.partitionBy())))
     rows = keyed.join(F.broadcast(firsts.select("_bucket", "_id", "_tie", "_from")), ["_bucket", "_id", "_tie"])
-    rows = rows.select(F.col("_from").alias("_bucket"), row.alias("_jump")).dropDuplicates(["_bucket"])
-    joined = inner.join(rows, "_bucket", "left")
-    return joined.select("doc_id", *carry, F.when(F.col("_last"), F.col("_jump")).otherwise(F.col("_next")).alias("next"))
+    rows = rows.select(F.col("_from").alias("_bucket"), "text", "_tie").dropDuplicates(["_bucket"]).join(once, "_tie", "left")
+    joined = inner.join(_marked(rows, lexicon).select("_bucket", row.alias("_jump")), "_bucket", "left")
+    return joined.select("doc_id", "text", "_once", "_terms", "_cells", F.when(F.col("_last"), F.col("_jump")).otherwise(F.col("_next")).alias("next"))
 
 
-def fingerprints(docs: DataFrame, bitmap: Column, slots: int = SLOTS) -> DataFrame:
-    """doc_id, text (null: empty), cells."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text")).withColumn("cells", cells(F.col("text"), bitmap, slots))
-
-
-def fingerprint_and_edit(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+def fingerprint_and_edit(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts of `docs` (doc_id, text) and of their edited texts.
 
     The edit replaces the last floor(n/2) code points by the first as many (or
@@ -133,19 +175,42 @@ def fingerprint_and_edit(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     ids come last, equal ids in order of a hash. A single row is its own next.
     An empty table gives an empty result; other columns are ignored.
     """
-    bitmap = lexicon(docs, slots=slots)
-    rows = with_next(fingerprints(docs, bitmap, slots), ["text", "cells"])
+    known = lexicon(docs)
+    rows = with_next(docs, known)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), "cells", F.col("next.cells").alias("_next_cells"))
-    rows = rows.withColumn("_edited_cells", cells(F.col("_edited"), bitmap, slots))
+    rows = rows.withColumn("_n", n.cast("long")).withColumn("_edited", edited).withColumn("_e", term_hashes(F.col("_edited")))
+    none = F.array().cast("array<bigint>")
+    rows = rows.withColumn("_new", F.array_except("_e", F.concat("_terms", F.col("next._terms"), known.common())))
+    rows = rows.withColumn("_own", F.array_except("_e", F.concat(known.common(), F.coalesce("_once", none), F.coalesce("next._once", none), "_new")))
+    # Of the new terms it is not yet known which are in the band; their cells are added below.
+    rows = rows.select(
+        "doc_id",
+        F.col("_n").alias("n_chars"),
+        F.sha2("_edited", 256).alias("edited_sha256"),
+        "_cells",
+        likeness(F.col("_cells"), F.col("next._cells")).alias("near_next"),
+        "_new",
+        F.size("_own").alias("_size"),
+        cells(F.col("_own")).alias("_sure"),
+        F.when(F.size("_own") < FEW, cells(_rarest(known, F.col("_e")))).alias("_rare"),
+        whole(F.col("_e")).alias("_whole"),
+    )
+    rows = written(rows, "edits")
+    asked = rows.select("edited_sha256", F.explode("_new").alias("_term")).distinct()
+    there = asked.join(known.terms.where("_lo < _hi").select("_term"), "_term").groupBy("edited_sha256").agg(F.collect_list("_term").alias("_there"))
+    rows = rows.join(there, "edited_sha256", "left").withColumn("_there", F.coalesce("_there", none))
+    sure = F.when(F.size("_there") > 0, both(F.col("_sure"), cells(F.col("_there")))).otherwise(F.col("_sure"))
+    rows = rows.withColumn("_sure", sure)
+    rows = rows.withColumn("_sure", F.when(F.col("_size") + F.size("_there") < FEW, both(F.col("_sure"), F.col("_rare"))).otherwise(F.col("_sure")))
+    rows = rows.withColumn("_edited_cells", closed(F.col("_sure"), F.col("_whole")))
     return rows.select(
         "doc_id",
         "n_chars",
-        F.sha2("_edited", 256).alias("edited_sha256"),
-        F.array_join("cells", ":").alias("fingerprint"),
-        F.array_join("_edited_cells", ":").alias("edited_fingerprint"),
-        likeness(F.col("cells"), F.col("_edited_cells")).alias("near_edited"),
-        likeness(F.col("cells"), F.col("_next_cells")).alias("near_next"),
+        "edited_sha256",
+        fingerprint(F.col("_cells")).alias("fingerprint"),
+        fingerprint(F.col("_edited_cells")).alias("edited_fingerprint"),
+        likeness(F.col("_cells"), F.col("_edited_cells")).alias("near_edited"),
+        "near_next",
     )

@@ -192,6 +192,48 @@ def test_fingerprints(spark, docs, none):
     assert all(len(v) == 1 for v in prints.values()) and edited_closer > 0.95 * len(texts)
 
 
+def test_likeness_equals_brute_force_with_a_large_family(spark):
+    """Every term counted by itself over distinct texts, with a family of copies and one of near copies of a third of the rows each."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    n = frame.count()
+    base = [f"family{k}" for k in range(120)]
+    family = [(10**6 + k, " ".join([*base[: k % 120], f"edit{k}", *base[k % 120 + 1 :]])) for k in range(n)]
+    copies = [(2 * 10**6 + k, " ".join(f"copied{x} often" for x in range(60))) for k in range(n)]
+    frame = frame.unionByName(spark.createDataFrame(family + copies, "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] or "" for r in frame.collect()}
+    ids = sorted(texts)
+    breaks = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    terms = lambda t: set(breaks.split(t.lower())) - {""}
+    df = Counter(w for t in set(texts.values()) for w in terms(t))
+    most = max(2, int(0.02 * len(set(texts.values()))))
+    edited = {i: texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[j][: len(texts[i]) // 2] for i, j in zip(ids, [*ids[1:], ids[0]])}
+    every = sorted(set(df).union(*map(terms, edited.values())))
+    hashes = {w: h for w, h in spark.createDataFrame([(w,) for w in every], "w string").selectExpr("w", "xxhash64(w)").collect()}
+
+    def filled(text):
+        own = {w for w in terms(text) if 2 <= df[w] <= most}
+        if len(own) < imatch.FEW:
+            own |= set(sorted((w for w in terms(text) if df[w] > most), key=lambda w: (df[w], hashes[w]))[: imatch.RAREST])
+        out = defaultdict(set)
+        for h in (hashes[w] & (2**64 - 1) for w in own):
+            for scale in range(imatch.SCALES):
+                if any(h >> (48 + 2 * s) & 3 for s in range(scale)):
+                    break
+                out[scale, h >> (3 * scale) & 7].add(h)
+        return dict(out) or {"all": terms(text)}
+
+    def alike(a, b):
+        return sum(a.get(k) == b.get(k) for k in {*a, *b}) / len({*a, *b}) if any(map(len, [*a.values(), *b.values()])) else 1.0
+
+    prints = {i: filled(t) for i, t in texts.items()}
+    near = defaultdict(list)
+    for r in imatch.fingerprint_and_edit(frame).collect():
+        i, j = r["doc_id"], ids[(ids.index(r["doc_id"]) + 1) % len(ids)]
+        assert r["near_edited"] == pytest.approx(alike(prints[i], filled(edited[i]))) and r["near_next"] == pytest.approx(alike(prints[i], prints[j])), i
+        near[i // 10**6].append(r["near_next"])
+    assert np.mean(near[1]) > 0.5 and np.mean(near[2]) > 0.9
+
+
 def test_mixing(docs, none):
     assert mixing.mix_sources(none).count() == 0
     rows = mixing.mix_sources(docs).collect()
