@@ -8,9 +8,9 @@ only and are sent to that text. What an edit cuts into terms of neither text is
 looked up. A text of few terms in the band also takes the rarest of those above
 it, so that a large family of near copies keeps the terms it shares.
 
-A document's terms are cut into subsets of the lexicon: 8 each of four
-densities (1/8, 1/32, 1/128, 1/512 of the lexicon), so short and long documents
-both have subsets of few terms. The exclusive or of a subset's hashes is one cell of the
+A document's terms are cut into subsets of the lexicon: 8 each of eight
+densities (1/8, 1/32, ... 1/131072 of the lexicon), so short and long documents
+both have subsets of few terms, also those of 100,000 terms in the band. The exclusive or of a subset's hashes is one cell of the
 fingerprint; two documents are alike by the share of their non-empty cells that
 agree.
 """
@@ -28,7 +28,7 @@ from tanyalah.llm.components import written
 MOST_SHARE = 0.02
 LEAST_MOST = 2
 FEW, RAREST = 32, 64
-CELLS, SCALES = 8, 4
+CELLS, SCALES = 8, 8
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NO_ID = (1 << 63) - 1
 

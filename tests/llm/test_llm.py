@@ -234,6 +234,14 @@ def test_likeness_equals_brute_force_with_a_large_family(spark):
     assert np.mean(near[1]) > 0.5 and np.mean(near[2]) > 0.9
 
 
+def test_half_of_a_long_text_is_like_it(spark):
+    """Texts of 3,000 terms in the band, each shared with one text far from it."""
+    half = [" ".join(f"t{k}x{x}" for x in range(3000)) for k in range(15)]
+    frame = spark.createDataFrame([(k, half[k % 15] + f" own{k}") for k in range(30)], "doc_id long, text string")
+    rows = imatch.fingerprint_and_edit(frame).collect()
+    assert sum(r["near_edited"] > r["near_next"] for r in rows) > 15
+
+
 def test_mixing(docs, none):
     assert mixing.mix_sources(none).count() == 0
     rows = mixing.mix_sources(docs).collect()
