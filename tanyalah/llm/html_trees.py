@@ -19,6 +19,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -197,6 +198,7 @@ def features(nodes: list[Node], evidence: dict[str, float]) -> np.ndarray:
     total = max(1.0, own.sum())
     low, high = np.zeros(n), np.zeros(n)
     flags = np.zeros((n, len(ABOVE)), bool)
+    of_tag = [Counter(x.tag for x in node.children) for node in nodes]
     for k, node in enumerate(nodes):
         worth = [evidence[t] for t in node.tokens if t in evidence]
         mine_low, mine_high = min(worth, default=0.0), max(worth, default=0.0)
@@ -210,7 +212,7 @@ def features(nodes: list[Node], evidence: dict[str, float]) -> np.ndarray:
                 flags[k, _ABOVE[up.tag]] = True
         else:
             low[k], high[k] = min(0.0, mine_low), max(0.0, mine_high)
-        same = sum(1 for s in siblings if s.tag == node.tag) if len(siblings) < 400 else len(siblings)
+        same = of_tag[up.order][node.tag] if up else 1
         place = node.order - siblings[0].order
         span = siblings[-1].order - siblings[0].order or 1
         out[k, :N_OWN] = (node.depth, math.log1p(own[k]), math.log1p(text[k]), link[k] / max(1.0, text[k]), math.log1p(text[k] / tag[k]), math.log1p(kids[k]), place / span, math.log1p(len(siblings)), same / len(siblings), stop[k] / max(1.0, word[k]), text[k] / max(1.0, word[k]), before[k] / total)

@@ -370,6 +370,14 @@ def test_main_text_of_new_layouts(spark):
     assert got == {1: "Title & more First paragraph of the story, with words enough to be one. Second paragraph here, also with a number of words.", 2: "", None: "", 4: ""}
 
 
+def test_siblings_of_a_long_page_are_counted():
+    page = "<body>" + "<p>words of a text.</p>" * 450 + "<footer>legal words</footer></body>"
+    nodes = html_trees.parse(page)
+    same = html_trees.features(nodes, {})[:, 8]
+    assert [same[k] for k, x in enumerate(nodes) if x.tag == "footer"] == [pytest.approx(1 / 451)]
+    assert all(same[k] == pytest.approx(450 / 451) for k, x in enumerate(nodes) if x.tag == "p")
+
+
 def test_toxicity(spark):
     clean = [(k, f"a nice day number {k} with flowers and some trees w{k % 17}") for k in range(300)]
     bad = [(1000 + k, f"you are a zorgle number {k} w{k % 17}") for k in range(60)]
