@@ -36,8 +36,12 @@ BATCH_PAGES = 256
 
 # HTML elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style template iframe textarea title head".split())
+# Formulas, drawings and fallback content are text of the block around them.
+EMBEDDED = frozenset("noscript object canvas audio video math svg".split())
+MATHS = frozenset("mi mn mo ms mtext mrow mfrac msub msup msubsup msqrt mroot mfenced menclose munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd mspace mstyle mpadded mphantom merror maction semantics annotation annotation-xml".split())
+DRAWN = frozenset("g defs symbol use text tspan textpath desc metadata foreignobject image switch view path rect circle ellipse line polyline polygon marker pattern mask clippath filter lineargradient radialgradient stop animate animatetransform set".split())
+INLINE = EMBEDDED | MATHS | DRAWN | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_LEVEL = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select", "tbody": "table", "thead": "table", "tfoot": "table"}
 GROUPS = ("p", "h1 h2 h3 h4 h5 h6", "li dt dd", "ul ol dl menu", "div", "article main section", "nav", "aside", "header", "footer", "form fieldset button select option legend", "table tbody thead tr td th", "figure figcaption", "blockquote pre", "body html")

@@ -378,6 +378,13 @@ def test_siblings_of_a_long_page_are_counted():
     assert all(same[k] == pytest.approx(450 / 451) for k, x in enumerate(nodes) if x.tag == "p")
 
 
+def test_formulas_and_fallbacks_are_text():
+    page = "<body><p>As <math><mi>E</mi><mo>=</mo><mi>mc</mi></math> says</p><div><object data=x><p>in the fallback</p></object><svg/>after</div><script>no</script></body>"
+    nodes = html_trees.parse(page)
+    assert html_trees.joined_text(nodes, np.ones(len(nodes), bool)) == "As E=mc says in the fallback after"
+    assert {x.tag for x in nodes} == {"body", "p", "div"}
+
+
 def test_toxicity(spark):
     clean = [(k, f"a nice day number {k} with flowers and some trees w{k % 17}") for k in range(300)]
     bad = [(1000 + k, f"you are a zorgle number {k} w{k % 17}") for k in range(60)]
