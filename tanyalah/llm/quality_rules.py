@@ -191,12 +191,14 @@ def fit_rules(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) ->
 
     The `rows` labelled ids with the least hash are used, one text of each; null
     ids and labels are left out. Without labels of both kinds there are no rules.
+    No more than one row of an id reaches the driver, however many it has.
     """
     picked = labels.where("doc_id is not null and quality is not null").select("doc_id", (F.col("quality") == 0).alias("_bad"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     some = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     stats = statistics(some, ["doc_id", "_bad"]).where(~base_failed()).select("row.doc_id", "row._bad", *FEATURES)
-    data = stats.toPandas().sort_values(["doc_id", *FEATURES]).drop_duplicates("doc_id")
+    least = stats.groupBy("doc_id").agg(F.min(F.struct(*FEATURES, "_bad")).alias("_least")).select("doc_id", "_least.*")
+    data = least.toPandas().sort_values("doc_id")
     order = data.sample(frac=1.0, random_state=7) if len(data) else data
     return learn_rules(order[FEATURES].to_numpy(float), order["_bad"].to_numpy(bool))
 

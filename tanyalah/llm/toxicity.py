@@ -215,13 +215,14 @@ def _evidence(model: Model):
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     """Lexicon, exceptions and curve from `docs` (doc_id, text) and `labels` (doc_id, toxic).
 
-    The `rows` labelled ids with the least hash are used, all their whole texts.
+    The `rows` labelled ids with the least hash are used, one whole text of each.
     The lexicon has at most LEXICON_ROWS terms, the likeliest first. Null ids,
     labels and texts are left out. Without toxic and clean rows nothing is toxic.
     """
     picked = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") == 1).alias("_toxic"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    some = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "_toxic")
+    some = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    some = some.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("_toxic").alias("_toxic")).select("text", "_toxic")
     some = written(some, "toxic").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
     totals = {r["_toxic"]: r["count"] for r in some.groupBy("_toxic").count().collect()}
     toxic, clean = totals.get(True, 0), totals.get(False, 0)

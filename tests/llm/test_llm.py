@@ -385,6 +385,22 @@ def test_formulas_and_fallbacks_are_text():
     assert {x.tag for x in nodes} == {"body", "p", "div"}
 
 
+@pytest.mark.parametrize("fit", [quality_rules.fit_rules, toxicity.fit_toxicity])
+def test_one_row_of_an_id_reaches_the_driver(spark, monkeypatch, fit):
+    rows = [(k % 40 if k < 80 else 7, f"you zorgle number {k} has ten or more different words in this text w{k}") for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    seen, whole = [], type(frame).toPandas
+
+    def counted(self):
+        seen.append(whole(self))
+        return seen[-1]
+
+    monkeypatch.setattr(type(frame), "toPandas", counted)
+    fit(frame, labels)
+    assert [len(x) for x in seen] == [40]
+
+
 def test_toxicity(spark):
     clean = [(k, f"a nice day number {k} with flowers and some trees w{k % 17}") for k in range(300)]
     bad = [(1000 + k, f"you are a zorgle number {k} w{k % 17}") for k in range(60)]
