@@ -42,7 +42,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     `most` times the size; what is over goes to the others by weight, until
     none is above: the common level per weight is found by prefix sums over
     the sources in the order in which they fill up. The windows see one row
-    per source.
+    per source, in one task, so the sources are meant to be kinds of origin:
+    up to about a million of them, not one per site or per row.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     by_fill = Window.orderBy("_fill", F.col("source").asc_nulls_last())
