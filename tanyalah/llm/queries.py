@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tanyalah.llm import bagminhash, html_trees, imatch, line_dedup, mixing, ppm, quality_rules, sentencepiece_trie, toxicity, url_filter
+from tanyalah.llm import bagminhash, eigen_updates, grid_join, html_trees, imatch, line_dedup, mixing, multi_index, ppm, quality_rules, sentencepiece_trie, toxicity, url_filter
 
 URL_RULES = (
     url_filter.Rule("com/", "allow"),
@@ -82,6 +82,21 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, model)
 
 
+def embedding_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id is divisible by 7 have the next label, so that some neighbours are negatives."""
+    number = F.col("vec_id")
+    label = F.when(number % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return multi_index.mine_hard_negatives(table(spark, sf_dir, "embeddings"), number % 50 == 0, label=label)
+
+
+def whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eigen_updates.whitened(table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES = {
     "op1_quality_rules": quality,
     "op2_sentencepiece": pieces,
@@ -93,6 +108,9 @@ LLM_QUERIES = {
     "op8_near_duplicates": near_duplicate_classes,
     "op9_toxicity": toxicity_scores,
     "op10_url_filter": url_verdicts,
+    "op11_embedding_near_dup": embedding_classes,
+    "op12_hard_negatives": hard_negatives,
+    "op13_whitening": whitened_vectors,
 }
 
 LINE_DEDUP_SQL = r"""
@@ -145,7 +163,51 @@ select doc_id, size, source_size, target,
 from ratios
 """
 
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0"
+
+EMBEDDING_CLASSES_SQL = f"""
+with recursive vectors as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and {_FINITE} and len(list_filter(embedding, lambda c: c <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from vectors a join vectors b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.98
+), reach as (
+  select a as node, b as other from links union select r.node, l.b from reach r join links l on r.other = l.a
+), least as (
+  select node, min(other) as other from reach group by node
+), counts as (
+  select a, count(*) as n from links group by a
+)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(other, vec_id)) as component_id,
+       vec_id = least(vec_id, coalesce(other, vec_id)) as kept
+from embeddings left join counts on a = vec_id left join least on node = vec_id
+"""
+
+HARD_NEGATIVES_SQL = f"""
+with vectors as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda c: floor(256 * c::double)::bigint) as x
+  from embeddings where label is not null and {_FINITE}
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+         list_inner_product(a.x::double[], b.x::double[])::bigint as score
+  from vectors a join vectors b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0
+), positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+)
+select anchor_id, positive_id,
+       (row_number() over (partition by anchor_id, positive_id order by score desc, other_id))::integer as rank,
+       other_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
+"""
+
 LLM_ORACLES = {
     "op5_mixing": MIXING_SQL,
     "op7_line_dedup": LINE_DEDUP_SQL,
+    "op11_embedding_near_dup": EMBEDDING_CLASSES_SQL,
+    "op12_hard_negatives": HARD_NEGATIVES_SQL,
 }
