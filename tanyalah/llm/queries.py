@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tanyalah.llm import bagminhash, eigen_updates, grid_join, html_trees, imatch, line_dedup, mixing, multi_index, ppm, quality_rules, sentencepiece_trie, toxicity, url_filter
 
+# The tokenizer whose pieces the registered queries use.
+VOCABULARY_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
 URL_RULES = (
     url_filter.Rule("com/", "allow"),
     url_filter.Rule("example.com/en/", "block"),
@@ -26,11 +29,10 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pieces(spark: SparkSession, sf_dir: str, vocabulary_file: str = VOCABULARY_FILE) -> DataFrame:
     """Ids of every text as a count and a hash, and whether decoding gives the text back (a mark in it becomes a space)."""
-    vocabulary = sentencepiece_trie.read_vocabulary()
-    encoded = sentencepiece_trie.encode(table(spark, sf_dir, "documents"), vocabulary)
-    rows = sentencepiece_trie.decode(encoded, vocabulary)
+    vocabulary = sentencepiece_trie.read_vocabulary(vocabulary_file)
+    rows = sentencepiece_trie.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepiece_trie.MARK, " ")
     return rows.select("row.doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
 

@@ -15,19 +15,20 @@ once per pair. Characters outside the vocabulary become byte pieces.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+from tanyalah.llm.words import text_buffer
+
 MARK = "▁"
 CACHE_WORDS = 250_000
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 22
 UNKNOWN = " ⁇ "
 
 
@@ -39,7 +40,7 @@ class Vocabulary(NamedTuple):
     kinds: str
 
 
-def read_vocabulary(path: str = MODEL_FILE) -> Vocabulary:
+def read_vocabulary(path: str) -> Vocabulary:
     """Read on the driver; a vocabulary is small, and goes to the tasks in a broadcast."""
     import sentencepiece
 
@@ -65,7 +66,6 @@ class Encoder:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.raw: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.cut = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
     def merge(self, text: str) -> list[str]:
         """Segmentation of a short text by its merges: the best pair first, of equals the leftmost."""
@@ -126,15 +126,46 @@ class Encoder:
         self.raw[piece] = np.array(ids, np.int32).tobytes()
         return self.raw[piece]
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """The ids of each text as the bytes of 32-bit numbers."""
-        cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for words in cut for w in words}
-        if len(self.words) + len(new) > CACHE_WORDS:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column in a row, and where those of each text begin and end."""
+        words, first = cut(texts)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.words) + len(distinct) > CACHE_WORDS:
             self.words.clear()
-        new.difference_update(self.words)
-        self.learn(sorted(new))
-        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
+        self.learn(sorted(w for w in distinct if w not in self.words))
+        raw = [self.words[w] for w in distinct]
+        ends = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+        taken = lists.take(coded.indices)
+        return taken.flatten().to_numpy(zero_copy_only=False), np.asarray(taken.offsets)[first]
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts of a column in a row, and the number of the first word of each text, then of all.
+
+    A word is a line break, or marks with what follows up to the next mark or
+    line break. Spaces are marks, and a text that is not empty starts with one.
+    """
+    texts = pc.fill_null(texts, "")
+    marked = pc.binary_join_element_wise(MARK, pc.replace_substring(texts, " ", MARK), "")
+    buf, at = text_buffer(pc.if_else(pc.equal(pc.binary_length(texts), 0), "", marked))
+    begins = np.zeros(len(buf) + 1, bool)
+    if len(buf):
+        one, two, three = np.frombuffer(MARK.encode(), np.uint8)
+        mark = np.zeros(len(buf), bool)
+        mark[:-2] = (buf[:-2] == one) & (buf[1:-1] == two) & (buf[2:] == three)
+        begins[: len(buf)] = mark
+        begins[3 : len(buf)] &= ~mark[:-3]
+        line = buf == 10
+        begins[:-1] |= line
+        begins[1:] |= line
+        begins[at] = True
+        begins[len(buf)] = False
+    starts = np.flatnonzero(begins)
+    offsets = pa.py_buffer(np.append(starts, len(buf)).astype(np.int32))
+    words = pa.StringArray.from_buffers(len(starts), offsets, pa.py_buffer(np.ascontiguousarray(buf)))
+    return words, np.searchsorted(starts, at)
 
 
 def surfaces(vocabulary: Vocabulary) -> list[bytes]:
@@ -143,32 +174,74 @@ def surfaces(vocabulary: Vocabulary) -> list[bytes]:
     return [table[kind](piece) for piece, kind in zip(vocabulary.pieces, vocabulary.kinds)]
 
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about BLOCK_CHARS together."""
-    lo, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text or "")
-        if size >= BLOCK_CHARS:
-            yield lo, k + 1
-            lo, size = k + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def _parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes are about `most` together, one row at least."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def _encoder(box) -> Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch, pa.ListArray]]]:
+    """Cuts a batch into parts, each with the ids of its texts."""
+    encoder = Encoder(Vocabulary(*box.value))
+
+    def run(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        for lo, hi in _parts(sizes, BLOCK_CHARS):
+            part = batch.slice(lo, hi - lo)
+            ids, at = encoder.encode(part.column("text"))
+            yield part, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
+
+    return run
+
+
+def _decoded(ids: np.ndarray, at: np.ndarray, surface: list[bytes]) -> pa.Array:
+    """The texts of the ids between each two numbers of `at`.
+
+    Surfaces are taken all at once; those that start a text lose a leading
+    space, so their ids stand for a second table.
+    """
+    bare = [s[1:] if s[:1] == b" " else s for s in surface]
+    ids, first = ids.astype(np.int64), at[:-1][at[:-1] < at[1:]]
+    ids[first] += len(surface)
+    taken = pa.array([*surface, *bare], pa.binary()).take(pa.array(ids))
+    _, offsets, data = taken.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(ids) + 1)[at]
+    raw = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(ends.astype(np.int32)), data])
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([r.decode("utf-8", "replace") for r in raw.to_pylist()], pa.string())
 
 
 def _encode(box):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(*box.value))
+        encode_parts = _encoder(box)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in _parts(texts):
-                ids = encoder.encode(texts[lo:hi])
-                at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns], pa.ListArray.from_arrays(pa.array(at), values)], names=[*batch.schema.names, "ids"])
+            for part, ids in encode_parts(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*batch.schema.names, "ids"])
 
     return run
 
 
+def _encode_and_decode(box):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_parts, surface = _encoder(box), surfaces(Vocabulary(*box.value))
+        for batch in batches:
+            for part, ids in encode_parts(batch):
+                texts = _decoded(ids.values.to_numpy(), np.asarray(ids.offsets), surface)
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, texts], names=[*batch.schema.names, "ids", "decoded"])
+
+    return run
+
+
+def _carried(docs: DataFrame, carry: Sequence[str]) -> tuple[DataFrame, str]:
+    narrow = docs.select("text", F.struct(*[docs[c] for c in carry]).alias("row"))
+    return narrow, f"text string, row {narrow.schema['row'].dataType.simpleString()}, ids array<int>"
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """`text`, a struct `row` of the columns `carry`, and `ids` of every row of `docs`.
 
@@ -176,26 +249,26 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry: Sequence[str] = ("doc
     an empty result. Columns of any name can be carried.
     """
     box = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))
-    narrow = docs.select("text", F.struct(*[docs[c] for c in carry]).alias("row"))
-    kind = narrow.schema["row"].dataType.simpleString()
-    return narrow.mapInArrow(_encode(box), f"text string, row {kind}, ids array<int>")
+    narrow, schema = _carried(docs, carry)
+    return narrow.mapInArrow(_encode(box), schema)
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: Vocabulary, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """As `decode(encode(docs))`, in one pass over the texts."""
+    box = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))
+    narrow, schema = _carried(docs, carry)
+    return narrow.mapInArrow(_encode_and_decode(box), f"{schema}, decoded string")
 
 
 def _decode(box):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surface = box.value
         for batch in batches:
-            ids = batch.column(batch.schema.names.index("ids"))
-            step = 256
-            for lo in range(0, len(batch), step):
-                part = ids.slice(lo, step)
+            ids = batch.column("ids")
+            for lo, hi in _parts(pc.list_value_length(ids).to_numpy(), BLOCK_CHARS // 4):
+                part = ids.slice(lo, hi - lo)
                 at = np.asarray(part.offsets)
-                flat = np.asarray(part.values)
-                out = []
-                for k in range(len(part)):
-                    raw = b"".join(map(surface.__getitem__, flat[at[k] : at[k + 1]].tolist()))
-                    out.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, step) for c in batch.columns], pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
+                texts = _decoded(part.flatten().to_numpy(zero_copy_only=False), at - at[0], box.value)
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns], texts], names=[*batch.schema.names, "decoded"])
 
     return run
 

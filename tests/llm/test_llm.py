@@ -89,18 +89,37 @@ def test_decision_list_learns_a_conjunction():
 
 def test_encoding_equals_the_public_encoder(spark, docs):
     sentencepiece = pytest.importorskip("sentencepiece")
-    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_trie.MODEL_FILE)
-    vocabulary = sentencepiece_trie.read_vocabulary()
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.VOCABULARY_FILE)
+    vocabulary = sentencepiece_trie.read_vocabulary(queries.VOCABULARY_FILE)
     odd = [(8, "Hello  world\n x ﬁ ① 1234 ▁ <s> </s> 日本語 \t  ", "a", 1, "x", "y"), (9, "   ", "a", 1, "x", "y")]
     frame = docs.unionByName(spark.createDataFrame(odd, SCHEMA)).select("doc_id", "text")
     frame = frame.unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
     rows = sentencepiece_trie.decode(sentencepiece_trie.encode(frame, vocabulary), vocabulary).collect()
     assert len(rows) == frame.count()
+    assert sorted(map(str, sentencepiece_trie.encode_and_decode(frame, vocabulary).collect())) == sorted(map(str, rows))
     for row in rows:
         assert row["ids"] == model.encode(row["text"] or "")
         assert row["decoded"] == model.decode(row["ids"]) == (row["text"] or "").replace("▁", " ")
 
 
+def test_pieces_equal_the_public_encoder_over_whole_tables(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.VOCABULARY_FILE)
+    encoder = sentencepiece_trie.Encoder(sentencepiece_trie.read_vocabulary(queries.VOCABULARY_FILE))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    texts += ["", " ", "\n", "\n\n a", "▁", "a▁", " \n ", "é", "a\nb c", None, "\n"]
+    for lo in range(0, len(texts), 100):
+        ids, at = encoder.encode(pa.array(texts[lo : lo + 100]))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [model.encode(t or "") for t in texts[lo : lo + 100]]
+
+
+def test_bytes_that_form_no_text_become_replacement_characters():
+    surface = [" a".encode(), b"b", b"\xc3", b"\xa9", b" "]
+    ids, at = np.array([0, 1, 2, 3, 2, 1, 0, 4], np.int32), np.array([0, 2, 4, 4, 6, 6, 8])
+    assert sentencepiece_trie._decoded(ids[:4], at[:3], surface).to_pylist() == ["ab", "é"]
+    assert sentencepiece_trie._decoded(ids, at, surface).to_pylist() == ["ab", "é", "", "\ufffdb", "", "a "]
+
+
 def test_trie_sums_to_one_and_equals_brute_force():
     order = 3
     _, _, buf, offsets = next(words.blocks(pa.array(["abracadabra abra", "banana band", "héllo", "", "abab"])))
@@ -424,7 +443,7 @@ def test_urls(spark):
 
 
 def test_empty_tables(none):
-    vocabulary = sentencepiece_trie.read_vocabulary()
+    vocabulary = sentencepiece_trie.read_vocabulary(queries.VOCABULARY_FILE)
     assert quality_rules.judge(none, []).count() == 0
     assert sentencepiece_trie.encode(none, vocabulary).count() == 0
     assert ppm.score_texts(none).count() == 0
