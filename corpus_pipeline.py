@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tanyalah.llm import bagminhash, line_dedup, mixing, quality_rules, sentencepiece_trie
 from tanyalah.llm.components import written
-from tanyalah.llm.queries import table
+from tanyalah.llm.queries import VOCABULARY_FILE, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, with whether they decode to it (a mark in a text becomes a space)."""
-    vocabulary = sentencepiece_trie.read_vocabulary()
-    rows = sentencepiece_trie.decode(sentencepiece_trie.encode(docs, vocabulary, ["doc_id", "lang", "source"]), vocabulary)
+    vocabulary = sentencepiece_trie.read_vocabulary(VOCABULARY_FILE)
+    rows = sentencepiece_trie.encode_and_decode(docs, vocabulary, ["doc_id", "lang", "source"])
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepiece_trie.MARK, " ")
     return rows.select("row.*", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
 
