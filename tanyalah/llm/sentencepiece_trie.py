@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tanyalah.llm.words import text_buffer
 
 MARK = "▁"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 BLOCK_CHARS = 1 << 22
 UNKNOWN = " ⁇ "
 
@@ -132,7 +132,7 @@ class Encoder:
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.words) + len(distinct) > CACHE_WORDS:
-            self.words.clear()
+            self.words = {w: self.words[w] for w in distinct if w in self.words}
         self.learn(sorted(w for w in distinct if w not in self.words))
         raw = [self.words[w] for w in distinct]
         ends = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
