@@ -10,15 +10,17 @@ Jaccard similarity. Points come in order of time, so those after the time at
 which all registers are filled are never made.
 
 Equal texts are one class. Classes that share a band meet in a bucket. A bucket
-never lists its pairs: a few leaders are held against all members, and a bucket
-of one component is finished, as large groups of copies are after the first
-wave. From the others those texts go of which less than the needed share of
+never lists its pairs: in the first wave one text of each, the one that meets
+most others in all its buckets, is held against the rest, which joins a group
+of copies to its source. A bucket of one component is finished, and so is one
+in which all but one text have led. From the others those texts go of which less than the needed share of
 shingles is in any other text left, as nothing can be similar to them; that
 clears buckets of texts that share a passage or a heavily edited source. Then
 the number of leaders grows from wave to wave, first the text with the most
-links, until every text left has led once and so each pair of different
-components has been compared, so no link between components is lost. A pair is compared by signatures first: at a
-similarity of 0.8 fewer than 55 % of 120 registers agree once in 10^10 pairs.
+links, and each is held against those that have not led, until every text left
+has led once. So each pair of different
+components has been compared, and no link between components is lost. A pair is compared by signatures first: at a
+similarity of 0.8 fewer than 60 % of 180 registers agree once in 10^10 pairs.
 What is left is checked exactly.
 """
 
@@ -36,8 +38,8 @@ from tanyalah.llm.components import components, written
 from tanyalah.llm.words import blocks, mix, shingles_of, words_of
 
 SIMILARITY = 0.8
-MARGIN = 0.25
-BANDS, ROWS = 24, 5
+MARGIN = 0.2
+BANDS, ROWS = 30, 6
 LEADERS = 4
 NO_ID = 1 << 62
 _TIME, _PLACE, _DOC = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xA24BAED4963EE407)
@@ -174,50 +176,63 @@ def _id(digest):
     return F.coalesce("doc_id", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") + F.lit(NO_ID))
 
 
-def _mixed(state: DataFrame) -> DataFrame:
-    """The buckets of more than one component, with their least text and that of the most links."""
-    heads = state.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi"), F.min("_rep").alias("_least"), F.max_by("_rep", "_links").alias("_hub"))
-    return written(state.join(heads.where("_lo < _hi").select("_key", "_least", "_hub"), "_key"), "mixed")
+def _open(state: DataFrame) -> DataFrame:
+    """The buckets in which two texts of different components have not been compared, with the text of the most links that has not led."""
+    heads = state.groupBy("_key").agg(
+        F.min("_comp").alias("_lo"),
+        F.max("_comp").alias("_hi"),
+        F.count_if(~F.col("_led")).alias("_to_lead"),
+        F.count("*").alias("_n"),
+        F.max_by("_rep", F.struct(~F.col("_led"), "_links", "_rep")).alias("_hub"),
+    )
+    return state.drop("_n").join(heads.where("_lo < _hi and _to_lead > 1").select("_key", "_n", "_hub"), "_key")
+
+
+def _meetings(members: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the members and the leaders of each bucket that can overlap enough."""
+    # No more than what both share with others can overlap.
+    most = F.least("_shared", "_most")
+    fits = most >= similarity * (F.col("_size") + F.col("_long") - most)
+    met = members.join(leaders, "_key").where((F.col("_comp") != F.col("_other")) & fits)
+    return met.select(F.least("_rep", "_head").alias("a"), F.greatest("_rep", "_head").alias("b")).distinct()
+
+
+def _as_leaders(rows: DataFrame) -> DataFrame:
+    return rows.select("_key", F.col("_rep").alias("_head"), F.col("_comp").alias("_other"), F.col("_size").alias("_long"), F.col("_shared").alias("_most"))
 
 
 def _waves(bucket: DataFrame, signed: DataFrame, sets: DataFrame, similarity: float, leaders: int) -> DataFrame:
-    """Components of the texts in buckets (_key, _rep, _n, _size): node, component."""
-    labels = edges = None
-    wave = float(leaders)
-    # A bucket shrinks, so what a text's luck is held against changes: whether it has led is kept by row.
-    bucket = bucket.withColumn("_led", F.lit(False))
+    """Components of the texts in buckets (_key, _rep, _size, _first): node, component.
+
+    _first marks the text that leads in the first wave.
+    """
+    state = bucket.select("_key", "_rep", "_size", F.col("_first").alias("_led"))
+    alone = state.select("*", F.col("_rep").alias("_comp"), F.col("_size").alias("_shared"))
+    pairs = _meetings(alone.where("not _led"), _as_leaders(alone.where("_led")), similarity)
+    edges = written(_linked(pairs, signed, sets, similarity), "links")
+    wave = leaders
     while True:
-        if labels is None:
-            state = bucket.select("*", F.col("_rep").alias("_comp"), F.lit(0).cast("long").alias("_links"), F.col("_size").alias("_shared"))
-        else:
-            links = edges.select(F.explode(F.array("a", "b")).alias("_rep")).groupBy("_rep").agg(F.count("*").alias("_links"))
-            known = labels.select(F.col("node").alias("_rep"), F.col("component").alias("_comp"))
-            state = bucket.join(known, "_rep", "left").join(links, "_rep", "left")
-            state = state.select("_key", "_rep", "_n", "_size", "_led", F.coalesce("_comp", "_rep").alias("_comp"), F.coalesce("_links", F.lit(0)).alias("_links"))
-        mixed = _mixed(state)
-        if labels is not None:
-            able = written(_able(mixed.select("_rep", "_comp").distinct(), sets, similarity), "able")
-            mixed = mixed.select(*state.columns).drop("_shared").join(able, "_rep")
-            size = mixed.groupBy("_key").agg(F.count("*").alias("_n"))
-            mixed = _mixed(mixed.drop("_n").join(size, "_key"))
-        biggest = mixed.agg(F.max("_n")).first()[0]
+        labels = components(edges)
+        links = edges.select(F.explode(F.array("a", "b")).alias("_rep")).groupBy("_rep").agg(F.count("*").alias("_links"))
+        known = labels.select(F.col("node").alias("_rep"), F.col("component").alias("_comp"))
+        named = state.join(known, "_rep", "left").join(links, "_rep", "left")
+        named = named.select("_key", "_rep", "_size", "_led", F.coalesce("_comp", "_rep").alias("_comp"), F.coalesce("_links", F.lit(0)).alias("_links"))
+        left = written(_open(named), "open")
+        able = _able(left.select("_rep", "_comp").distinct(), sets, similarity)
+        left = written(_open(left.drop("_n", "_hub").join(able, "_rep")), "able")
+        biggest = left.agg(F.max("_n")).first()[0]
         if biggest is None:
-            break
+            return labels
+        # A bucket shrinks, so what a text's luck is held against changes: whether it has led is kept by row.
         luck = F.pmod(F.xxhash64("_rep"), F.lit(1 << 52)) / float(1 << 52) * F.col("_n")
-        leads = (luck < wave) | (F.col("_rep") == F.col("_least")) | (F.col("_rep") == F.col("_hub"))
-        lead = mixed.where(leads & ~F.col("_led")).select("_key", F.col("_rep").alias("_head"), F.col("_comp").alias("_other"), F.col("_size").alias("_long"), F.col("_shared").alias("_most"))
-        # No more than what both share with others can overlap.
-        most = F.least("_shared", "_most")
-        fits = most >= similarity * (F.col("_size") + F.col("_long") - most)
-        pairs = mixed.join(lead, "_key").where((F.col("_comp") != F.col("_other")) & fits).select(F.least("_rep", "_head").alias("a"), F.greatest("_rep", "_head").alias("b")).distinct()
-        found = written(_linked(pairs, signed, sets, similarity), "links")
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
+        leads = (luck < wave) | (F.col("_rep") == F.col("_hub"))
+        waiting = left.where("not _led")
+        pairs = _meetings(waiting, _as_leaders(waiting.where(leads)), similarity)
+        edges = edges.union(written(_linked(pairs, signed, sets, similarity), "links"))
+        state = left.select("_key", "_rep", "_size", (F.col("_led") | leads).alias("_led"))
         if wave >= biggest:
-            break
+            return components(edges)
         wave = 4 * wave
-        bucket = mixed.select("_key", "_rep", "_n", "_size", (F.col("_led") | leads).alias("_led"))
-    return labels if labels is not None else bucket.select(F.col("_rep").alias("node"), F.col("_rep").alias("component")).limit(0)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, leaders: int = LEADERS) -> DataFrame:
@@ -230,8 +245,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     Rows of one doc_id are one document, so its texts are linked; rows with a
     null doc_id are documents by their text and come after all others, their
     ids stay null. Repeated rows are copies. An empty table gives an empty
-    result; other columns are ignored. 24 bands of 5 registers miss 1 of
-    10,000 pairs at 0.8.
+    result; other columns are ignored. 30 bands of 6 registers miss 1 of
+    9,000 pairs at 0.8.
     """
     classes = _classified(docs, similarity, bands, rows, leaders)
     names = {"_doc": "doc_id", "_rep": "text_class", "_class": "class_id"}
@@ -239,28 +254,45 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` with the document of the least doc_id of every class, one row of it; same columns."""
+    """`docs` with the document of the least doc_id of every class, one row of it; same columns.
+
+    Of rows of one doc_id with different texts that of the least text hash
+    stays, of rows that differ in other columns only the first in their order.
+    A null doc_id is as in `near_duplicates`. Columns of any name are carried;
+    an empty table stays empty.
+    """
     classes = _classified(docs, similarity, BANDS, ROWS, LEADERS)
-    keep = classes.where("_doc = _class").select("_doc").distinct()
-    named = docs.withColumn("_doc", _id(F.md5(F.coalesce("text", F.lit("")))))
-    return named.join(keep, "_doc", "left_semi").dropDuplicates(["_doc"]).select(*docs.columns)
+    keep = classes.where("_doc = _class").groupBy("_doc").agg(F.min("_digest").alias("_digest"))
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    # The caller's columns travel in one struct, so their names cannot clash.
+    named = docs.select(_id(digest).alias("_doc"), digest.alias("_digest"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    others = F.xxhash64(F.to_json(F.struct(*[F.col("_row")[c] for c in docs.columns if c != "text"])))
+    first = named.join(keep, ["_doc", "_digest"], "left_semi").groupBy("_doc", "_digest").agg(F.min_by("_row", others).alias("_row"))
+    return first.select("_row.*")
 
 
 def _classified(docs: DataFrame, similarity: float, bands: int, rows: int, leaders: int) -> DataFrame:
-    """_doc, _rep (least of the same text), _class (least of the component), _copies for each row."""
+    """_doc, _digest, _rep (least of the same text), _class (least of the component), _copies for each row."""
     text = F.coalesce("text", F.lit(""))
     plain = docs.select(_id(F.md5(text)).alias("_doc"), text.alias("_text"), F.md5(text).alias("_digest"))
     sketch = written(plain.select("_doc", "_text", "_digest").mapInArrow(_sketch(bands, rows), "_doc long, _digest string, _bands array<long>, _sig array<short>, _size long"), "sketch")
     classes = written(sketch.groupBy("_digest").agg(F.min("_doc").alias("_rep"), F.count("*").alias("_copies")), "classes")
     least = classes.select(F.col("_rep").alias("_doc"), "_digest")
-    member = sketch.join(least, ["_doc", "_digest"], "left_semi").select(F.col("_doc").alias("_rep"), "_size", F.explode("_bands").alias("_key")).distinct()
+    # One row per text: repeated rows have equal bands.
+    texts = sketch.select("_doc", "_digest", "_size", "_bands").join(least, ["_doc", "_digest"], "left_semi").groupBy("_doc", "_digest").agg(F.first("_size").alias("_size"), F.first("_bands").alias("_bands"))
+    member = texts.select(F.col("_doc").alias("_rep"), "_size", F.explode("_bands").alias("_key"))
     size = member.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
-    bucket = written(member.join(size, "_key").select("_key", "_rep", "_n", "_size"), "buckets")
-    involved = bucket.select(F.col("_rep").alias("_doc")).distinct()
-    texts = plain.join(least, ["_doc", "_digest"], "left_semi").join(involved, "_doc", "left_semi").select("_doc", "_text")
-    sets = written(texts.mapInArrow(_occurrences, "_rep long, _set array<long>"), "sets")
-    signed = sketch.select("_doc", "_sig").join(involved, "_doc", "left_semi").select(F.col("_doc").alias("_rep"), "_sig")
-    labels = _waves(bucket, written(signed, "signed"), sets, similarity, leaders)
+    shared = written(member.join(size, "_key").select("_key", "_rep", "_n", "_size"), "buckets")
+    # The text that meets most others leads first: the source of edited copies is nearer to them than they to each other.
+    meets = shared.groupBy("_rep").agg(F.sum("_n").alias("_meets"))
+    heads = shared.join(meets, "_rep").groupBy("_key").agg(F.max_by("_rep", F.struct("_meets", -F.col("_rep"))).alias("_head"))
+    bucket = shared.join(heads, "_key").select("_key", "_rep", "_size", (F.col("_rep") == F.col("_head")).alias("_first"))
+    involved = written(least.join(shared.select(F.col("_rep").alias("_doc")).distinct(), "_doc", "left_semi"), "involved")
+    # The texts are shuffled once: the join's partitioning serves the grouping too.
+    texts = plain.join(involved, ["_doc", "_digest"], "left_semi").groupBy("_doc", "_digest").agg(F.min("_text").alias("_text"))
+    sets = written(texts.select("_doc", "_text").mapInArrow(_occurrences, "_rep long, _set array<long>"), "sets")
+    signed = sketch.select("_doc", "_digest", "_sig").join(involved, ["_doc", "_digest"], "left_semi").groupBy("_doc", "_digest").agg(F.first("_sig").alias("_sig")).select(F.col("_doc").alias("_rep"), "_sig")
+    labels = _waves(written(bucket, "bucket"), written(signed, "signed"), sets, similarity, leaders)
     of_text = classes.join(labels.select(F.col("node").alias("_rep"), "component"), "_rep", "left")
     of_text = of_text.select("_digest", "_rep", F.coalesce("component", "_rep").alias("_class"), "_copies")
     return sketch.select("_doc", "_digest").join(of_text, "_digest")

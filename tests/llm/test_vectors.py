@@ -261,14 +261,3 @@ def test_samples_are_bounded_and_repeat(spark):
     frame = spark.range(20_000).selectExpr("id", "id % 7 as other")
     first = sorted(r.id for r in bounded_sample(frame, ["id"], 500, 20_000).collect())
     assert len(first) == 500 and first == sorted(r.id for r in bounded_sample(frame.repartition(13), ["id"], 500, 20_000).collect())
-
-
-@pytest.mark.parametrize("name", ["op11_embedding_near_dup", "op12_hard_negatives"])
-def test_queries_equal_their_sql(spark, name):
-    import duckdb
-
-    db = duckdb.connect()
-    db.sql(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
-    expected = db.sql(queries.LLM_ORACLES[name])
-    found = queries.LLM_QUERIES[name](spark, SF).select(*expected.columns)
-    assert sorted(map(tuple, found.collect())) == sorted(expected.fetchall())
