@@ -10,16 +10,18 @@ Jaccard similarity. Points come in order of time, so those after the time at
 which all registers are filled are never made.
 
 Equal texts are one class. Classes that share a band meet in a bucket. A bucket
-never lists its pairs: in the first wave one text of each, the one that meets
-most others in all its buckets, is held against the rest, which joins a group
-of copies to its source. A bucket of one component is finished, and so is one
-in which all but one text have led. From the others those texts go of which less than the needed share of
-shingles is in any other text left, as nothing can be similar to them; that
-clears buckets of texts that share a passage or a heavily edited source. Then
+never lists its pairs: one text of each, the one that meets most others in all
+its buckets, is held against the rest, which joins a group of copies to its
+source. A bucket of one component is finished, and so is one of two texts.
+The texts of the others meet anew, by their rarest shingles: two texts that
+are similar enough share one of the first shingles of both, in the order of
+rarity among those texts, at a place that leaves enough for both behind it.
+So texts that share a passage, or heavy edits of one source, hardly meet. There
 the number of leaders grows from wave to wave, first the text with the most
-links, and each is held against those that have not led, until every text left
-has led once. So each pair of different
-components has been compared, and no link between components is lost. A pair is compared by signatures first: at a
+links, and each is held against those of other components that have not led,
+until every text left has led once. So each pair of different components
+that can be similar has been compared, and no link between components is lost.
+A pair is compared by signatures first: at a
 similarity of 0.8 fewer than 60 % of 180 registers agree once in 10^10 pairs.
 What is left is checked exactly.
 """
@@ -42,6 +44,7 @@ MARGIN = 0.2
 BANDS, ROWS = 30, 6
 LEADERS = 4
 NO_ID = 1 << 62
+BITS = 1 << 26
 _TIME, _PLACE, _DOC = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xA24BAED4963EE407)
 
 
@@ -132,22 +135,43 @@ def _sketch(bands: int, rows: int):
     return run
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles as sets: the k-th occurrence of a shingle is an element of its own."""
-    for batch in batches:
-        for lo, hi, buf, offsets in blocks(batch.column(1)):
-            words = words_of(buf, offsets)
-            hashes, at = shingles_of(words)
-            doc = words.doc[at]
-            order = np.lexsort((hashes, doc))
-            hashes, doc = hashes[order], doc[order]
-            new = np.ones(len(hashes), bool)
-            new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-            begins = np.flatnonzero(new)
-            turn = np.arange(len(hashes)) - begins[np.cumsum(new) - 1] if len(hashes) else np.zeros(0, np.int64)
-            values = mix(hashes + turn.astype(np.uint64) * _TIME).view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=hi - lo))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["_rep", "_set"])
+def _bits(documents: DataFrame) -> np.ndarray:
+    """A table of BITS bits with those of the given ids set, 8 MB whatever their number.
+
+    It spares most texts of other ids the way to the next join; where ids fill
+    it, more texts take that way, and the join decides all the same.
+    """
+    place = F.pmod(F.xxhash64("_doc"), F.lit(BITS))
+    marked = documents.select(place.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    table = np.zeros((BITS // 32768 + 1, 4096), np.uint8)
+    for bucket, bits in marked.collect():
+        table[bucket] = np.frombuffer(bits, np.uint8)
+    return table
+
+
+def _occurrences(box):
+    """Shingles as sets, of the texts whose bit is set: the k-th occurrence of a shingle is an element of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = box.value
+        for batch in batches:
+            bucket, bit = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            batch = batch.filter(pa.array((table[bucket, bit >> 3] >> (bit & 7) & 1).astype(bool)))
+            for lo, hi, buf, offsets in blocks(batch.column(1)):
+                words = words_of(buf, offsets)
+                hashes, at = shingles_of(words)
+                doc = words.doc[at]
+                order = np.lexsort((hashes, doc))
+                hashes, doc = hashes[order], doc[order]
+                new = np.ones(len(hashes), bool)
+                new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+                begins = np.flatnonzero(new)
+                turn = np.arange(len(hashes)) - begins[np.cumsum(new) - 1] if len(hashes) else np.zeros(0, np.int64)
+                values = mix(hashes + turn.astype(np.uint64) * _TIME).view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=hi - lo))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["_doc", "_digest", "_set"])
+
+    return run
 
 
 def _linked(pairs: DataFrame, signed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -163,12 +187,23 @@ def _linked(pairs: DataFrame, signed: DataFrame, sets: DataFrame, similarity: fl
     return near.join(left, "a").join(right, "b").where(close).select("a", "b")
 
 
-def _able(reps: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the texts (_rep, _comp) that share enough shingles with other components of them to be similar to any, and how many."""
-    one = sets.join(reps, "_rep").select("_rep", "_comp", F.size("_set").alias("_all"), F.explode("_set").alias("_shingle"))
-    shared = one.groupBy("_shingle").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_shingle")
-    able = one.join(shared, "_shingle", "left_semi").groupBy("_rep").agg(F.count("*").alias("_both"), F.first("_all").alias("_all"))
-    return able.where(F.col("_both") >= similarity * F.col("_all")).select("_rep", F.col("_both").alias("_shared"))
+def _prefixes(reps: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Buckets by the rarest shingles of the texts (_rep, _size): _key, _rep, _size, _shared.
+
+    Any text similar enough to another one shares a shingle with it that stands so early in both, sorted by how
+    many of the texts hold it, that what follows can still overlap enough: _shared is the number from there on.
+    Shingles of one text alone come first and are no key.
+    """
+    held = sets.join(reps, "_rep").select("_rep", "_size", F.explode("_set").alias("_key"))
+    common = held.groupBy("_key").agg(F.count("*").alias("_df")).where("_df > 1")
+    listed = held.join(common, "_key").groupBy("_rep", "_size").agg(F.sort_array(F.collect_list(F.struct("_df", "_key"))).alias("_of"))
+    each = listed.select("_rep", "_size", F.size("_of").alias("_most"), F.posexplode("_of").alias("_at", "_it"))
+    shared = (F.col("_most") - F.col("_at")).cast("long")
+    early = written(each.select(F.col("_it._key").alias("_key"), "_rep", "_size", shared.alias("_shared")).where(F.col("_shared") >= similarity * F.col("_size") - 1e-6), "early")
+    # The shortest partner that a bucket has to offer asks for the least.
+    least = early.groupBy("_key").agg(F.min("_size").alias("_short"), F.count("*").alias("_texts")).where("_texts > 1")
+    partner = F.greatest(F.col("_short"), similarity * F.col("_size"))
+    return early.join(least, "_key").where(F.col("_shared") >= similarity / (1 + similarity) * (F.col("_size") + partner) - 1e-6).select(*early.columns)
 
 
 def _id(digest):
@@ -185,12 +220,12 @@ def _open(state: DataFrame) -> DataFrame:
         F.count("*").alias("_n"),
         F.max_by("_rep", F.struct(~F.col("_led"), "_links", "_rep")).alias("_hub"),
     )
-    return state.drop("_n").join(heads.where("_lo < _hi and _to_lead > 1").select("_key", "_n", "_hub"), "_key")
+    return state.join(heads.where("_lo < _hi and _to_lead > 1").select("_key", "_n", "_hub"), "_key")
 
 
 def _meetings(members: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of the members and the leaders of each bucket that can overlap enough."""
-    # No more than what both share with others can overlap.
+    # No more than what both have left from the shared key on can overlap.
     most = F.least("_shared", "_most")
     fits = most >= similarity * (F.col("_size") + F.col("_long") - most)
     met = members.join(leaders, "_key").where((F.col("_comp") != F.col("_other")) & fits)
@@ -206,35 +241,38 @@ def _waves(bucket: DataFrame, signed: DataFrame, sets: DataFrame, similarity: fl
 
     _first marks the text that leads in the first wave.
     """
-    state = bucket.select("_key", "_rep", "_size", F.col("_first").alias("_led"))
-    alone = state.select("*", F.col("_rep").alias("_comp"), F.col("_size").alias("_shared"))
-    pairs = _meetings(alone.where("not _led"), _as_leaders(alone.where("_led")), similarity)
+    first = bucket.select("_key", "_rep", "_size", F.col("_size").alias("_shared"), F.col("_rep").alias("_comp"), F.col("_first").alias("_led"))
+    pairs = _meetings(first.where("not _led"), _as_leaders(first.where("_led")), similarity)
     edges = written(_linked(pairs, signed, sets, similarity), "links")
+    left = _open(_with_components(first, edges, components(edges)))
+    state = written(_prefixes(left.select("_rep", "_size").distinct(), sets, similarity), "prefixes").withColumn("_led", F.lit(False))
     wave = leaders
     while True:
         labels = components(edges)
-        links = edges.select(F.explode(F.array("a", "b")).alias("_rep")).groupBy("_rep").agg(F.count("*").alias("_links"))
-        known = labels.select(F.col("node").alias("_rep"), F.col("component").alias("_comp"))
-        named = state.join(known, "_rep", "left").join(links, "_rep", "left")
-        named = named.select("_key", "_rep", "_size", "_led", F.coalesce("_comp", "_rep").alias("_comp"), F.coalesce("_links", F.lit(0)).alias("_links"))
-        left = written(_open(named), "open")
-        able = _able(left.select("_rep", "_comp").distinct(), sets, similarity)
-        left = written(_open(left.drop("_n", "_hub").join(able, "_rep")), "able")
+        left = written(_open(_with_components(state, edges, labels)), "open")
         biggest = left.agg(F.max("_n")).first()[0]
         if biggest is None:
             return labels
-        # A bucket shrinks, so what a text's luck is held against changes: whether it has led is kept by row.
         luck = F.pmod(F.xxhash64("_rep"), F.lit(1 << 52)) / float(1 << 52) * F.col("_n")
         leads = (luck < wave) | (F.col("_rep") == F.col("_hub"))
         waiting = left.where("not _led")
         pairs = _meetings(waiting, _as_leaders(waiting.where(leads)), similarity)
         edges = edges.union(written(_linked(pairs, signed, sets, similarity), "links"))
-        state = left.select("_key", "_rep", "_size", (F.col("_led") | leads).alias("_led"))
         if wave >= biggest:
             return components(edges)
+        # A bucket is the same in all waves, but fewer are left; whether a text has led is kept by row.
+        state = left.select("_key", "_rep", "_size", "_shared", (F.col("_led") | leads).alias("_led"))
         wave = 4 * wave
 
 
+def _with_components(state: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets with the component and the number of links of their texts."""
+    links = edges.select(F.explode(F.array("a", "b")).alias("_rep")).groupBy("_rep").agg(F.count("*").alias("_links"))
+    known = labels.select(F.col("node").alias("_rep"), F.col("component").alias("_of"))
+    named = state.join(known, "_rep", "left").join(links, "_rep", "left")
+    return named.select("_key", "_rep", "_size", "_shared", "_led", F.coalesce("_of", "_rep").alias("_comp"), F.coalesce("_links", F.lit(0)).alias("_links"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, leaders: int = LEADERS) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, text_class, class_id, n_copies.
 
@@ -288,9 +326,11 @@ def _classified(docs: DataFrame, similarity: float, bands: int, rows: int, leade
     heads = shared.join(meets, "_rep").groupBy("_key").agg(F.max_by("_rep", F.struct("_meets", -F.col("_rep"))).alias("_head"))
     bucket = shared.join(heads, "_key").select("_key", "_rep", "_size", (F.col("_rep") == F.col("_head")).alias("_first"))
     involved = written(least.join(shared.select(F.col("_rep").alias("_doc")).distinct(), "_doc", "left_semi"), "involved")
-    # The texts are shuffled once: the join's partitioning serves the grouping too.
-    texts = plain.join(involved, ["_doc", "_digest"], "left_semi").groupBy("_doc", "_digest").agg(F.min("_text").alias("_text"))
-    sets = written(texts.select("_doc", "_text").mapInArrow(_occurrences, "_rep long, _set array<long>"), "sets")
+    place = F.pmod(F.xxhash64("_doc"), F.lit(BITS))
+    box = docs.sparkSession.sparkContext.broadcast(_bits(involved))
+    hashed = plain.select("_doc", "_text", "_digest", F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit")).mapInArrow(_occurrences(box), "_doc long, _digest string, _set array<long>")
+    sets = hashed.join(involved, ["_doc", "_digest"], "left_semi").groupBy("_doc", "_digest").agg(F.first("_set").alias("_set"))
+    sets = written(sets.select(F.col("_doc").alias("_rep"), "_set"), "sets")
     signed = sketch.select("_doc", "_digest", "_sig").join(involved, ["_doc", "_digest"], "left_semi").groupBy("_doc", "_digest").agg(F.first("_sig").alias("_sig")).select(F.col("_doc").alias("_rep"), "_sig")
     labels = _waves(written(bucket, "bucket"), written(signed, "signed"), sets, similarity, leaders)
     of_text = classes.join(labels.select(F.col("node").alias("_rep"), "component"), "_rep", "left")
