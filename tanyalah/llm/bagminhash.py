@@ -45,6 +45,8 @@ BANDS, ROWS = 30, 6
 LEADERS = 4
 NO_ID = 1 << 62
 BITS = 1 << 26
+# Bytes of text hashed at a time; what a worker holds is about 60 times that.
+BLOCK = 1 << 19
 _TIME, _PLACE, _DOC = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xA24BAED4963EE407)
 
 
@@ -120,7 +122,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sketch(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in blocks(batch.column(1)):
+            for lo, hi, buf, offsets in blocks(batch.column(1), BLOCK):
                 doc, element, count = counted(words_of(buf, offsets))
                 n = hi - lo
                 signature = signatures(doc, element, count, n, bands * rows)
@@ -157,7 +159,7 @@ def _occurrences(box):
         for batch in batches:
             bucket, bit = batch.column(3).to_numpy(), batch.column(4).to_numpy()
             batch = batch.filter(pa.array((table[bucket, bit >> 3] >> (bit & 7) & 1).astype(bool)))
-            for lo, hi, buf, offsets in blocks(batch.column(1)):
+            for lo, hi, buf, offsets in blocks(batch.column(1), BLOCK):
                 words = words_of(buf, offsets)
                 hashes, at = shingles_of(words)
                 doc = words.doc[at]
