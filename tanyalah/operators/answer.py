@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions.columns import person_columns
 from ..functions.vocab import DEFAULT_VOCABULARY, Vocabulary
 from .classify import classify_one
+from .learned import Model
 
 SCALAR_OPERATIONS = ("MAX", "MIN", "SUM", "MEAN", "COUNT")
 _UNORDERED = (T.MapType, T.VariantType)
@@ -231,10 +232,11 @@ def understand(
     question: str,
     columns: Sequence[str] | None = None,
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
+    model: Model | None = None,
 ) -> Intent:
     """Classify a single question with the same expressions as a whole table."""
     names = list(columns or df.columns)
-    row = classify_one(df.sparkSession, question, names, vocabulary)
+    row = classify_one(df.sparkSession, question, names, vocabulary, model)
     return Intent(
         row["operation"], row["confidence"], row["by_rule"], row["detected_column"],
         row["wants_row"], row["wants_row_count"],
@@ -249,15 +251,16 @@ def ask(
     tie: Sequence[str] | str | None = None,
     columns: Sequence[str] | None = None,
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
+    model: Model | None = None,
 ) -> DataFrame:
     """Answer one question on a table, lazily.
 
     ``value`` is needed for FILTER, ``func`` for GROUP. ``columns`` replaces
     the column names offered to the question; a blank name among them stands
-    for the whole table.
+    for the whole table. A ``model`` decides where no rule applies.
     """
     names = list(columns) if columns else df.columns
-    intent = understand(df, question, names, vocabulary)
+    intent = understand(df, question, names, vocabulary, model)
     operation, column = intent.operation, intent.column
     if operation == "COUNT" and intent.wants_row_count:
         return row_count(df)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.vocab import DEFAULT_VOCABULARY, Vocabulary
 from .answer import SCALAR_OPERATIONS, aggregate_expr, supports
 from .classify import classify_column
+from .learned import Model
 
 ROWS = "*"
 _ANSWER = (
@@ -22,6 +23,7 @@ def answer_many(
     df: DataFrame,
     text: str = "query",
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
+    model: Model | None = None,
 ) -> DataFrame:
     """Add operation, detected_column, answer_double, answer_exact, answer_string and status.
 
@@ -37,7 +39,7 @@ def answer_many(
     whole numbers and decimals, which a double may round, in answer_exact too,
     as text; everything else is in answer_string.
     """
-    asked = classify_column(questions, df.columns, text, vocabulary).withColumn(
+    asked = classify_column(questions, df.columns, text, vocabulary, model).withColumn(
         "answer_key",
         F.when((F.col("operation") == "COUNT") & F.col("wants_row_count"), ROWS).otherwise(
             F.col("detected_column")

@@ -19,6 +19,7 @@ from ..functions.vocab import (
     OPERATIONS,
     Vocabulary,
 )
+from .learned import VERSION, Model, decide
 
 LOWERED = "__lowered"
 RULE = "__rule"
@@ -26,7 +27,7 @@ COLUMNS = "columns_used"
 # A table that is classified again gets these anew.
 RESULTS = (
     "operation", "confidence", "by_rule", "detected_column",
-    "wants_row", "wants_row_count", "generated_code",
+    "wants_row", "wants_row_count", "generated_code", VERSION,
 )
 
 
@@ -34,9 +35,13 @@ def classify_operation(
     questions: DataFrame,
     text: str = "query",
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
+    model: Model | None = None,
 ) -> DataFrame:
     """Add ``operation``, ``confidence`` and ``by_rule``.
 
+    Rules come first; a ``model`` decides where none applies, and adds
+    ``model_version``.
+
     One pass that lower-cases and matches every text once, whatever is done
     with the result. No shuffle, no Python.
     """
@@ -44,7 +49,8 @@ def classify_operation(
     lowered = questions.selectExpr("*", f"lower({ident(text)}) AS {LOWERED}")
     rule = intent.rule_number(LOWERED, vocabulary)
     matched = lowered.selectExpr("*", once(**{RULE: rule}))
-    return _named(matched, vocabulary).drop(LOWERED, RULE)
+    ruled = _named(matched, vocabulary).drop(LOWERED, RULE)
+    return decide(ruled, model, text) if model else ruled
 
 
 def classify_column(
@@ -52,6 +58,7 @@ def classify_column(
     columns: ColumnList | None = None,
     text: str = "query",
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
+    model: Model | None = None,
 ) -> DataFrame:
     """As ``classify_operation``, with the column and kind of answer wanted.
 
@@ -65,7 +72,8 @@ def classify_column(
         .selectExpr("*", once(**{RULE: intent.rule_number(LOWERED, vocabulary)}))
         .selectExpr("*", once(**_wanted(columns, vocabulary)))
     )
-    return _named(matched, vocabulary).drop(LOWERED, RULE)
+    ruled = _named(matched, vocabulary).drop(LOWERED, RULE)
+    return decide(ruled, model, text) if model else ruled
 
 
 def classify_one(
@@ -73,16 +81,19 @@ def classify_one(
     question: str,
     columns: Sequence[str],
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
+    model: Model | None = None,
 ) -> Row:
     """``classify_column`` for a single question, which Spark's optimizer
-    evaluates by itself, without a job."""
+    evaluates by itself, without a job. A model takes one where no rule applies."""
     asked = spark.sql(
         f"SELECT *, lower(query) AS {LOWERED} FROM VALUES (:question) AS asked(query)",
         args={"question": question},
     )
     parts = {RULE: intent.rule_number(LOWERED, vocabulary), **_wanted(columns, vocabulary)}
     matched = asked.selectExpr("*", *[f"{e} AS {name}" for name, e in parts.items()])
-    return _named(matched, vocabulary).first()
+    ruled = _named(matched, vocabulary)
+    row = ruled.first()
+    return row if row["by_rule"] or not model else decide(ruled, model, "query").first()
 
 
 def _wanted(columns: ColumnList | None, vocabulary: Vocabulary) -> dict[str, str]:
@@ -108,10 +119,11 @@ def classify(
     text: str = "query",
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
     view: str = "t",
+    model: Model | None = None,
 ) -> DataFrame:
     """The whole result record: ``classify_column`` and the generated_code."""
     code = plan_text(_sql_columns(columns), view)
-    return classify_column(questions, columns, text, vocabulary).selectExpr(
+    return classify_column(questions, columns, text, vocabulary, model).selectExpr(
         "*", f"{code} AS generated_code"
     )
 

@@ -74,3 +74,45 @@ def replay(
         F.lit(None).cast("string").alias("comments"),
     )
     return log_rows(judged, text=text), events
+
+
+
+def replay_report(
+    labelled: DataFrame,
+    columns: Sequence[str],
+    text: str = "query",
+    expected: str = "expected",
+) -> DataFrame:
+    """Replay labelled questions and count in one pass: confusions, classes, sessions and all.
+
+    Rows (level, expected, predicted_operation, session_id, questions, correct,
+    accuracy, mean_confidence); ``level`` says what a row is about: confusion,
+    class, session or all. Every grouping set is reduced per task before the
+    one shuffle, so the hot class or session is no heavier than another.
+    """
+    asked = classify(labelled, columns, text).select(
+        F.col(expected).alias("expected"),
+        F.col("operation").alias("predicted_operation"),
+        session_name(F.col("id")).alias("session_id"),
+        "confidence",
+        (F.col("operation") == F.col(expected)).alias("__hit"),
+    )
+    by = ["expected", "predicted_operation", "session_id"]
+    sets = [by[:2], by[:1], by[2:], []]
+    counted = asked.groupingSets([[F.col(c) for c in s] for s in sets], *by).agg(
+        F.grouping_id().alias("__set"),
+        F.count(F.lit(1)).alias("questions"),
+        F.count_if("__hit").alias("correct"),
+        F.avg("confidence").alias("__mean"),
+    )
+    # Bits of the columns that a set leaves out, the first column highest.
+    level = {1: "confusion", 3: "class", 6: "session", 7: "all"}
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in level.items() for x in pair]), F.col("__set").cast("int"))
+    return counted.select(
+        named.alias("level"),
+        *by,
+        "questions",
+        "correct",
+        F.round(F.col("correct") / F.col("questions"), 4).alias("accuracy"),
+        F.round("__mean", 4).alias("mean_confidence"),
+    )

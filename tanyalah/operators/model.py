@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.intent import operation_name
 from ..functions.vocab import DEFAULT_VOCABULARY, OPERATIONS, Vocabulary
 from ..sources.corpus import seed_corpus
 from .classify import classify_operation
+from .learned import TEXT, VERSION, Model
 
-TEXT = "__model_text"
 DEFAULT_EPOCHS = 10
 FEATURES = 1 << 13
 
@@ -62,28 +60,9 @@ def load_model(path: str) -> PipelineModel:
 
 def classify_with_model(
     questions: DataFrame,
-    model: PipelineModel,
+    model: Model,
     text: str = "query",
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
 ) -> DataFrame:
-    """Rules first; the model decides only where no rule applies.
-
-    The model gets an empty text where a rule applied, which costs it next to
-    nothing. So one pass over the questions is enough: no cache, and no second
-    scan to split off the rest.
-    """
-    ruled = classify_operation(questions, text, vocabulary)
-    scored = model.transform(
-        ruled.withColumn(
-            TEXT, F.when(~F.col("by_rule"), F.col(text)).otherwise("")
-        ).withColumn(TEXT, F.coalesce(TEXT, F.lit("")))
-    )
-    chosen = {
-        "operation": F.when(F.col("by_rule"), F.col("operation")).otherwise(
-            operation_name(F.col("__prediction"))
-        ),
-        "confidence": F.when(F.col("by_rule"), F.col("confidence")).otherwise(
-            F.array_max(vector_to_array("__probability"))
-        ),
-    }
-    return scored.withColumns(chosen).select(*ruled.columns)
+    """``classify_operation`` with a model, without its version."""
+    return classify_operation(questions, text, vocabulary, model).drop(VERSION)

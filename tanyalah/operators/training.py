@@ -14,6 +14,7 @@ from ..functions.vocab import (
     TRAINING_SOURCE,
 )
 from ..sources import schemas
+from ..sources.training_table import append_training, read_training_table
 from .feedback import feedback_accepted, feedback_state
 from .model import DEFAULT_EPOCHS, FEATURES, fit_model
 
@@ -142,8 +143,8 @@ def retrain(
 ) -> DataFrame:
     """Export the training data and fit and save a model, if there is enough.
 
-    The training rows are written once, below ``folder``; the export, the
-    count and the fit start from there.
+    What the stored training table below ``folder`` lacks is appended to it; the
+    export, the count and the fit start from there.
 
     Returns one row as in ``RETRAIN_REPORT``; its status is insufficient or
     completed.
@@ -153,8 +154,8 @@ def retrain(
     exported = 0
     if samples >= needed:
         stored = f"{folder}/training"
-        training_set(log, events).write.mode("overwrite").parquet(stored)
-        training = spark.read.schema(schemas.TRAINING_DATA).parquet(stored)
+        append_training(training_set(log, events), stored)
+        training = read_training_table(spark, stored)
         export_path = export_training(training, f"{folder}/training_csv")
         data = training.filter("verified")
         exported = data.count()

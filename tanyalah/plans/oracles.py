@@ -285,6 +285,20 @@ ORACLES = {
     "classify_full": f"""WITH {CLASSIFIED}, {planned('classified', ITEM_COLUMNS, 'lineitem')}
       SELECT id, query, operation, confidence, detected_column, wants_row,
              wants_row_count, generated_code FROM planned""",
+    "classify_with_model": f"""WITH {CLASSIFIED}, modelled AS (
+        SELECT * REPLACE (CASE WHEN by_rule THEN operation ELSE expected END AS operation)
+        FROM classified), {planned('modelled', ITEM_COLUMNS, 'lineitem')}
+      SELECT id, by_rule, operation, generated_code,
+             CASE WHEN NOT by_rule THEN 'first' END AS model_version, true AS confident
+      FROM planned""",
+    "run_plan_text": f"""WITH {CLASSIFIED}, {_answers()}, asked AS (
+        SELECT *, {detected(ITEM_COLUMNS)} AS detected_column FROM classified)
+      SELECT id, asked.operation, detected_column,
+             round(number, 4) AS answer_double, string AS answer_string
+      FROM asked LEFT JOIN answers ON answers.operation = asked.operation
+       AND key = CASE WHEN asked.operation = 'COUNT' AND contains(lower(query), 'baris')
+                      THEN '*' ELSE detected_column END
+       AND NOT (asked.operation IN ('MAX', 'MIN') AND {any_of('lower(query)', ROW_WORDS)})""",
     "ask_max": "SELECT max(p_retailprice) AS p_retailprice FROM part",
     "ask_max_all": "SELECT "
     + _aggregates("max", ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
@@ -348,6 +362,24 @@ ORACLES = {
       SELECT verified_samples, min_samples, verified_samples >= min_samples AS should_retrain,
              greatest(min_samples - verified_samples, 0) AS samples_needed
       FROM stats, (VALUES (5), (10), (20), (50), (1000000000)) AS v(min_samples)""",
+    "training_append": f"""WITH {TRAINING} SELECT id, query, operation_id, operation_name, source,
+      verified, created_at FROM training""",
+    "log_row_ids": """SELECT count(*) AS questions, count(*) AS ids, 1 AS least,
+      count(*) AS greatest FROM conversations""",
+    "retrain_insufficient": f"""WITH {STATS} SELECT 'insufficient' AS status,
+      1000000000 AS min_samples, verified_samples AS training_samples,
+      0 AS samples_exported, CASE WHEN verified_samples >= {RETRAIN_ONLINE}
+      THEN {text(SUGGESTION)} END AS suggestion FROM stats""",
+    "retrain_versions": f"""WITH {QUESTIONS}, folds AS (
+        SELECT expected, CAST('0x' || substr(md5(query), 1, 8) AS BIGINT) % 5 = 0 AS held
+        FROM questions), counts AS (
+        SELECT count(*) FILTER (WHERE held) AS held_out,
+               count(*) FILTER (WHERE NOT held) AS taught,
+               count(*) FILTER (WHERE NOT held AND expected = 'MAX') AS taught_max FROM folds)
+      SELECT version, status, CASE version WHEN 2 THEN taught_max ELSE taught END AS training_rows,
+             held_out, version <> 2 AS all_right, serving
+      FROM counts, (VALUES (1, 'first', 1), (2, 'refused', 1), (3, 'accepted', 3))
+        AS v(version, status, serving)""",
     "retrain_status": f"""WITH {STATS}
       SELECT CASE WHEN verified_samples >= 10 THEN 'completed' ELSE 'insufficient' END AS status,
              10 AS min_samples, verified_samples AS training_samples,
@@ -366,6 +398,16 @@ ORACLES = {
     "eval_feedback": f"WITH {JUDGED} SELECT id, expected, operation, feedback FROM judged",
     "eval_accuracy": _accuracy("expected"),
     "eval_by_session": _accuracy("session_id"),
+    "eval_replay": f"""WITH {JUDGED}, counted AS (
+        SELECT grouping_id(expected, operation, session_id) AS level, expected, operation,
+               session_id, count(*) AS questions,
+               count(*) FILTER (WHERE feedback = 'correct') AS correct, avg(confidence) AS mean
+        FROM judged
+        GROUP BY GROUPING SETS ((expected, operation), (expected), (session_id), ()))
+      SELECT CASE level WHEN 1 THEN 'confusion' WHEN 3 THEN 'class' WHEN 6 THEN 'session'
+             ELSE 'all' END AS level, expected, operation AS predicted_operation, session_id,
+             questions, correct, round(correct / questions, 4) AS accuracy,
+             round(mean, 4) AS mean_confidence FROM counted""",
     "stream_stats": f"""WITH {CLASSIFIED} SELECT operation, count(*) AS questions,
       round(avg(confidence), 4) AS mean_confidence FROM classified GROUP BY operation""",
     "vector_topk": f"""WITH parts AS (

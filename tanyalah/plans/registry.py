@@ -9,11 +9,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import answer, classify, evaluate, feedback, model, stats, training
+from ..functions.intent import operation_id
+from ..operators import answer, classify, evaluate, feedback, model, stats, training, typed_plan, versions
 from ..operators.answer_many import answer_many as answer_questions
+from ..operators.learned import Served
 from ..operators.similarity import top_k_similar
 from ..sources import query_log
 from ..sources.scratch import fresh_folder
+from ..sources.training_table import append_training, read_training_table
 from ..streaming import questions as streaming
 from . import derived
 from .derived import LINEITEM_COLUMNS, table
@@ -83,9 +86,35 @@ def classify_full(spark, sf_dir):
 
 @query
 def classify_with_model(spark, sf_dir):
-    learned = model.fit_model(_training(spark, sf_dir))
-    asked = model.classify_with_model(derived.questions(spark, sf_dir), learned)
-    return asked.select("id", "operation", "confidence", "by_rule")
+    """The whole record, with a model that learned what each phrase is meant to be."""
+    asked = derived.questions(spark, sf_dir)
+    learned = Served(model.fit_model(_labelled(asked)), "first")
+    record = classify.classify(asked, LINEITEM_COLUMNS, view="lineitem", model=learned)
+    return record.select(
+        "id", "by_rule", "operation", "generated_code", "model_version",
+        (F.col("confidence") > 0.5).alias("confident"),
+    )
+
+
+def _labelled(asked):
+    return asked.select(
+        "query", operation_id(F.col("expected")).alias("operation_id"),
+        F.col("expected").alias("operation_name"),
+    )
+
+
+@query
+def run_plan_text(spark, sf_dir):
+    """The typed text of every question about lineitem, run."""
+    items = table(spark, sf_dir, "lineitem")
+    asked = classify.classify_column(derived.questions(spark, sf_dir), LINEITEM_COLUMNS)
+    planned = typed_plan.with_typed_plan(asked, items, LINEITEM_COLUMNS, "planned_items")
+    number = typed_plan.answer_number()
+    return typed_plan.run_plans(planned, items, "planned_items").select(
+        "id", "operation", "detected_column",
+        F.round(number, 4).alias("answer_double"),
+        F.when(number.isNull(), F.col("plan_answer")).alias("answer_string"),
+    )
 
 
 # Answers -------------------------------------------------------------------
@@ -348,6 +377,56 @@ def retrain_status(spark, sf_dir):
     return done.drop("export_path", "model_path")
 
 
+@query
+def retrain_insufficient(spark, sf_dir):
+    """Too few verified rows: nothing is exported or fitted."""
+    done = training.retrain(
+        spark, derived.questions(spark, sf_dir), derived.feedback(spark, sf_dir),
+        fresh_folder(spark, "retrain"), needed=1_000_000_000,
+    )
+    return done.drop("export_path", "model_path")
+
+
+@query
+def retrain_versions(spark, sf_dir):
+    """Three retrainings: a good one, one that knows a single class, and the good one again."""
+    folder = fresh_folder(spark, "versions")
+    rows = _labelled(derived.questions(spark, sf_dir))
+    for taught in (rows, rows.where("operation_name = 'MAX'"), rows):
+        versions.retrain_version(taught, folder, held=rows)
+    return versions.decisions(spark, folder).select(
+        "version", "status", "training_rows", "held_out",
+        (F.col("hits") == F.col("held_out")).alias("all_right"), "serving",
+    )
+
+
+@query
+def training_append(spark, sf_dir):
+    """Two appends with events in common, read back."""
+    path = fresh_folder(spark, "training_table")
+    asked = derived.questions(spark, sf_dir).select("id", "query")
+    for part in ("seq % 3 <> 2", "seq % 3 <> 0"):
+        events = derived.feedback(spark, sf_dir).where(part)
+        append_training(training.training_set(asked, events), path)
+    return read_training_table(spark, path)
+
+
+@query
+def log_row_ids(spark, sf_dir):
+    """Turns of conversations, without ids of their own, in two appends to a log."""
+    path = fresh_folder(spark, "numbered_log")
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("text").alias("query"), "turn", F.lit("2024-01-01").cast("timestamp_ntz").alias("ts")
+    )
+    for part in (0, 1):
+        asked = classify.classify(turns.where(F.col("turn") % 2 == part))
+        query_log.append_log(query_log.log_rows(asked, id_column=None), path)
+    return query_log.read_log(spark, path).agg(
+        F.count("id").alias("questions"), F.countDistinct("id").alias("ids"),
+        F.min("id").alias("least"), F.max("id").alias("greatest"),
+    )
+
+
 @query
 def feedback_reply(spark, sf_dir):
     events = derived.feedback(spark, sf_dir)
@@ -398,6 +477,12 @@ def eval_by_session(spark, sf_dir):
     return evaluate.accuracy(judged, "session_id")
 
 
+@query
+def eval_replay(spark, sf_dir):
+    asked = derived.questions(spark, sf_dir).withColumn("id", F.col("id") + 1)
+    return evaluate.replay_report(asked, LINEITEM_COLUMNS)
+
+
 # Streams: run to the end of the available input, then read back ------------
 
 

@@ -8,7 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sqltext import values
 from . import schemas
+from .scratch import unique
 
 
 def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -43,11 +45,14 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
 
 def log_rows(
     classified: DataFrame,
-    id_column: str = "id",
+    id_column: str | None = "id",
     ts_column: str = "ts",
     text: str = "query",
 ) -> DataFrame:
-    """Bring classified questions into the layout of the log."""
+    """Bring classified questions into the layout of the log.
+
+    Without an id column the log numbers the rows as they are appended.
+    """
     have = set(classified.columns)
 
     def optional(name: str, kind: str):
@@ -56,7 +61,7 @@ def log_rows(
 
     columns_used = optional("columns_used", "array<string>")
     return classified.select(
-        F.col(id_column).cast("bigint").alias("id"),
+        *([F.col(id_column).cast("bigint").alias("id")] if id_column else []),
         F.col(ts_column).cast("timestamp_ntz").alias("timestamp"),
         F.col(text).alias("query"),
         F.col("operation").alias("predicted_operation"),
@@ -65,6 +70,7 @@ def log_rows(
         F.coalesce(columns_used, F.array().cast("array<string>")).alias("columns_used"),
         optional("session_id", "string"),
         optional("user_id", "string"),
+        optional("model_version", "string"),
         F.to_date(ts_column).alias("log_date"),
     )
 
@@ -75,7 +81,10 @@ def append_log(rows: DataFrame, path: str) -> None:
     The rebalance hint gives each day files of the advised size: adaptive
     execution splits a day with many rows over several tasks and joins small
     ones, so neither one task writes a hot day nor each task a file per day.
+    Rows without an id get the numbers after the log's last.
     """
+    if "id" not in rows.columns:
+        rows = _with_reserved_ids(rows, path).select(*schemas.field_names(schemas.QUERY_LOG))
     (
         rows.hint("rebalance", "log_date")
         .write.mode("append")
@@ -97,6 +106,11 @@ def with_row_ids(df: DataFrame, start: int = 1, name: str = "id") -> DataFrame:
     no row moves. The input is read twice and has to give the same partitions
     both times: read it from files, or write a computed table first.
     """
+    return _numbered(df, start, name)[0]
+
+
+def _numbered(df: DataFrame, start: int, name: str) -> tuple[DataFrame, int]:
+    """The numbered rows, and how many they are."""
     mark = F.monotonically_increasing_id()
     numbered = df.withColumn("__mark", mark).withColumns(
         {
@@ -112,11 +126,44 @@ def with_row_ids(df: DataFrame, start: int = 1, name: str = "id") -> DataFrame:
         pa.table({"__part": counted.column("__part"), "__first": firsts})
     )
     # No broadcast hint: Spark knows the size of the offsets and decides by it.
-    return (
+    rows = (
         numbered.join(offsets, "__part")
         .withColumn(name, F.col("__first") + F.col("__place"))
         .select(name, *df.columns)
     )
+    return rows, pc.sum(counted.column("rows")).as_py() or 0
+
+
+# Ids that appends have taken: one row each, written before the rows themselves.
+IDS = "first bigint, last bigint"
+
+
+def last_id(spark: SparkSession, path: str) -> int:
+    """The highest id that the log has given or reserved, 0 if none.
+
+    Rows that brought their own ids count too.
+    """
+    reserved = read_table(spark, f"{path}/ids", IDS).agg(F.max("last")).first()[0]
+    if reserved is not None:
+        return reserved
+    return read_log(spark, path).agg(F.max("id")).first()[0] or 0
+
+
+def _with_reserved_ids(rows: DataFrame, path: str) -> DataFrame:
+    """The rows with the ids after the last one.
+
+    They are written once, so that numbering sees the same partitions in both
+    passes. Their range is put down before they reach the log: an append that
+    fails half-way leaves a gap and never gives an id twice.
+    """
+    spark = rows.sparkSession
+    staged = f"{path}/staged/{unique()}"
+    rows.write.parquet(staged)
+    start = last_id(spark, path) + 1
+    numbered, count = _numbered(spark.read.schema(rows.schema).parquet(staged), start, "id")
+    reserved = spark.sql(values([(start, start + count - 1)], IDS))
+    reserved.coalesce(1).write.mode("append").parquet(f"{path}/ids")
+    return numbered
 
 
 def as_text_log(log: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@
 QUERY_LOG = (
     "id bigint, timestamp timestamp_ntz, query string, predicted_operation string, "
     "confidence double, generated_code string, columns_used array<string>, "
-    "session_id string, user_id string, log_date date"
+    "session_id string, user_id string, model_version string, log_date date"
 )
 
 # One row per feedback event. (ts, seq) orders the events of one question.

@@ -26,4 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{label}-{unique()}"
+
+
+def unique() -> str:
+    """A name that no other run gives."""
+    return uuid.uuid4().hex

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from ..functions.columns import ColumnList
 from ..functions.vocab import DEFAULT_VOCABULARY, Vocabulary
 from ..operators.classify import classify, classify_operation
+from ..operators.learned import Model
 from ..sources import schemas
 from ..sources.query_log import STREAM, log_rows
 
@@ -60,13 +61,14 @@ def stream_to_log(
     text: str = "query",
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
     all_available: bool = True,
+    model: Model | None = None,
 ) -> StreamingQuery:
     """Classify questions as they arrive and append them to the log.
 
     ``questions`` has id, ts and the question, as for ``log_rows``. The file
     sink with its checkpoint writes every question exactly once.
     """
-    rows = log_rows(classify(questions, columns, text, vocabulary), text=text)
+    rows = log_rows(classify(questions, columns, text, vocabulary, model=model), text=text)
     writer = rows.writeStream.format("parquet").partitionBy("log_date")
     return _start(writer.outputMode("append"), f"{path}/{STREAM}", checkpoint, all_available)
 

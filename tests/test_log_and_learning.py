@@ -217,7 +217,7 @@ def test_stats_of_an_empty_log(spark):
 
 def test_smoke_log(spark):
     """One logged question with one accepted feedback event."""
-    rows = [(1, NOW, "berapa harga tertinggi?", "MAX", 0.85, "x", ["harga"], "s", None, NOW.date())]
+    rows = [(1, NOW, "berapa harga tertinggi?", "MAX", 0.85, "x", ["harga"], "s", None, None, NOW.date())]
     one = spark.createDataFrame(rows, schemas.QUERY_LOG)
     row = stats.log_stats(one, make_events(spark, [(1, "correct", "MAX")])).first()
     assert tuple(row) == (1, 1, 0.85, 1, False, {"MAX": 1})

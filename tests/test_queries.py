@@ -48,16 +48,16 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 def test_queries_without_sql():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(QUERIES) - set(contract.oracle_sql()) == {"classify_with_model"}
+    assert set(QUERIES) <= set(contract.oracle_sql())
 
 
 def test_model_query_keeps_every_question(spark, sf_dir):
     got = contract.queries()["classify_with_model"](spark, sf_dir)
     assert got.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
     rules = contract.queries()["classify_intent"](spark, sf_dir)
-    ruled = got.filter("by_rule").select("id", "operation", "confidence")
+    ruled = got.filter("by_rule").select("id", "operation")
     assert ruled.exceptAll(rules.filter("by_rule").select(*ruled.columns)).count() == 0
-    assert got.filter("NOT by_rule AND (confidence <= 0 OR confidence > 1)").count() == 0
+    assert got.filter("NOT by_rule").count() > 0
 
 
 def test_entry(spark):
