@@ -346,6 +346,8 @@ ORACLES = {
     "stream_classify": _log_query,
     "feedback_latest": _latest,
     "stream_feedback": _latest,
+    "stream_latest_feedback": _latest,
+    "log_compact": _log_query,
     "log_with_feedback": f"""WITH {SHORT_LOG}, {FEEDBACK}
       SELECT id, query, predicted_operation, user_feedback, correct_operation
       FROM log LEFT JOIN latest ON id = query_id""",

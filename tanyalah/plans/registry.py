@@ -506,6 +506,35 @@ def stream_classify(spark, sf_dir):
     return stored.select(*_LOG_COLUMNS, F.col("log_date").cast("string").alias("log_date"))
 
 
+@query
+def log_compact(spark, sf_dir):
+    """Streams of two halves of the questions into one log, whose closed days are then compacted."""
+    folder = fresh_folder(spark, "log_compact")
+    for half in (0, 1):
+        events = _event_stream(spark, sf_dir).where(F.col("event_id") % 2 == half)
+        asked = derived.as_questions(events).withColumn(
+            "session_id", evaluate.session_name(F.col("id") + 1)
+        )
+        streaming.stream_to_log(
+            asked, LINEITEM_COLUMNS, f"{folder}/log", f"{folder}/checkpoint-{half}"
+        ).awaitTermination()
+    days = table(spark, sf_dir, "events").agg(F.max(F.to_date("ts"))).first()[0]
+    query_log.compact_log(spark, f"{folder}/log", days)
+    stored = query_log.as_text_log(query_log.read_log(spark, f"{folder}/log"))
+    return stored.select(*_LOG_COLUMNS, F.col("log_date").cast("string").alias("log_date"))
+
+
+@query
+def stream_latest_feedback(spark, sf_dir):
+    """The current feedback as stream state."""
+    folder = fresh_folder(spark, "latest_feedback")
+    streaming.stream_latest_feedback(
+        derived.as_feedback(_event_stream(spark, sf_dir)),
+        f"{folder}/changes", f"{folder}/checkpoint",
+    ).awaitTermination()
+    return streaming.read_latest_feedback(spark, f"{folder}/changes")
+
+
 @query
 def stream_feedback(spark, sf_dir):
     """Feedback arrives as a stream; its current state is a batch view."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import date
+from functools import reduce
+from operator import or_
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
@@ -34,8 +38,70 @@ def _read_parts(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of a log, whether batches or streams wrote them."""
-    return _read_parts(spark, path, schemas.QUERY_LOG)
+    """All rows of a log: those of batches, of streams, and of streams after compaction."""
+    names = schemas.field_names(schemas.QUERY_LOG)
+    parts = [read_table(spark, f"{path}/{BATCH}", schemas.QUERY_LOG), _open_rows(spark, path)]
+    folders = [r["folder"] for r in _runs(spark, path).select("folder").distinct().collect()]
+    parts += [read_table(spark, f"{path}/{COMPACT}/{folder}", schemas.QUERY_LOG) for folder in folders]
+    return reduce(DataFrame.unionByName, [part.select(*names) for part in parts])
+
+
+# A micro-batch is one folder, named by its stream and number: a batch that is
+# run again after a failure overwrites itself.
+WRITER, NUMBER = "writer", "micro_batch"
+_STREAMED = f"{schemas.QUERY_LOG}, {WRITER} string, {NUMBER} bigint"
+# What a compaction holds: of each stream, the batches up to a number, before a day.
+COMPACT = "compact"
+RUNS = f"folder string, {WRITER} string, last_batch bigint, before date"
+
+
+def append_micro_batch(rows: DataFrame, path: str, writer: str, number: int) -> None:
+    """Write one micro-batch of a stream, a file of the advised size per day."""
+    (
+        rows.hint("rebalance", "log_date")
+        .write.mode("overwrite")
+        .partitionBy("log_date")
+        .parquet(f"{path}/{STREAM}/{WRITER}={writer}/{NUMBER}={number}")
+    )
+
+
+def _runs(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, f"{path}/{COMPACT}d", RUNS)
+
+
+def _open_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of streams that no compaction holds; the folders of all others are not opened."""
+    rows = read_table(spark, f"{path}/{STREAM}", _STREAMED)
+    for run in _runs(spark, path).collect():
+        held = (
+            (F.col(WRITER) == run[WRITER])
+            & (F.col(NUMBER) <= run["last_batch"])
+            & (F.col("log_date") < F.lit(run["before"]))
+        )
+        # A row without a day is in no closed one.
+        rows = rows.filter(~F.coalesce(held, F.lit(False)))
+    return rows
+
+
+def compact_log(spark: SparkSession, path: str, before: date) -> int:
+    """Put the streamed rows of the days before `before` into few files; gives the rows moved.
+
+    The new folder counts once the table of runs names it, together with what
+    it holds of each stream. So a run that fails half-way changes nothing, and
+    rows of a closed day that arrive later stay where the stream put them, until the next
+    run. The old folders are left for readers that have begun.
+    """
+    closed = _open_rows(spark, path).filter(F.col("log_date") < F.lit(before))
+    holds = closed.groupBy(WRITER).agg(F.max(NUMBER).alias("last_batch"), F.count("*").alias("rows")).collect()
+    if not holds:
+        return 0
+    folder = unique()
+    below = reduce(or_, [(F.col(WRITER) == h[WRITER]) & (F.col(NUMBER) <= h["last_batch"]) for h in holds])
+    rows = closed.filter(below).select(*schemas.field_names(schemas.QUERY_LOG))
+    rows.hint("rebalance", "log_date").write.partitionBy("log_date").parquet(f"{path}/{COMPACT}/{folder}")
+    entry = spark.sql(values([(folder, h[WRITER], h["last_batch"], str(before)) for h in holds], RUNS))
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/{COMPACT}d")
+    return sum(h["rows"] for h in holds)
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
