@@ -325,6 +325,8 @@ ORACLES = {
     "ask_filter_gt": "SELECT * FROM orders WHERE o_totalprice > 200000",
     "ask_sort": "SELECT * FROM orders ORDER BY o_orderdate, o_orderkey",
     "ask_group_agg": f"SELECT {_group_aggregates()} FROM lineitem GROUP BY l_returnflag",
+    "group_fold": """SELECT l_returnflag, round(exp(avg(ln(l_quantity))), 6) AS geometric_mean
+      FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag""",
     "ask_group_size": f"WITH {READINGS} SELECT jenis, count(*) AS size FROM readings "
     "WHERE jenis IS NOT NULL GROUP BY jenis",
     "ask_sort_project": "SELECT p_name, p_retailprice FROM part ORDER BY p_retailprice",
@@ -423,6 +425,8 @@ ORACLES = {
         SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id)::INTEGER AS rank
         FROM scored)
       SELECT label, vec_id, similarity, rank FROM ranked WHERE rank <= {registry.TOP_K}""",
+    "vector_topk_index": f"""SELECT count(*) AS queries, count(*) * {registry.TOP_K} AS pairs,
+      true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0""",
     "vector_topk_blocks": f"""WITH scored AS (
         SELECT q.vec_id AS query_id, c.vec_id,
                round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6)

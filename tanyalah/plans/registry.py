@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.intent import operation_id
-from ..operators import answer, classify, evaluate, feedback, model, stats, training, typed_plan, versions
+from ..operators import answer, classify, evaluate, feedback, model, stats, training, typed_plan, vector_index, versions
 from ..operators.answer_many import answer_many as answer_questions
+from ..operators.fold import Fold, fold_groups
 from ..operators.learned import Served
 from ..operators.similarity import top_k_similar
 from ..sources import query_log
@@ -233,6 +235,27 @@ def ask_group_agg(spark, sf_dir):
     return _rounded(groups, keep=["l_returnflag"])
 
 
+def _geometric_mean():
+    """Not built in: a sum of logarithms and a count are its partial state."""
+
+    def update(state, rows):
+        values = rows.column("l_quantity").to_numpy().astype("float64")
+        return state[0] + float(np.log(values).sum()), state[1] + len(values)
+
+    return Fold(
+        lambda: (0.0, 0), update, lambda a, b: (a[0] + b[0], a[1] + b[1]),
+        lambda state: float(np.exp(state[0] / state[1])),
+    )
+
+
+@query
+def group_fold(spark, sf_dir):
+    """An aggregate of the user's own per flag."""
+    items = table(spark, sf_dir, "lineitem")
+    means = fold_groups(items, "l_returnflag", _geometric_mean(), ["l_quantity"], "double")
+    return means.select("l_returnflag", F.round("value", 6).alias("geometric_mean"))
+
+
 @query
 def ask_group_size(spark, sf_dir):
     return answer.group_size(derived.readings(spark, sf_dir), "jenis")
@@ -579,6 +602,23 @@ def vector_topk_blocks(spark, sf_dir):
     return top_k_similar(asked, vectors, TOP_K)
 
 
+@query
+def vector_topk_index(spark, sf_dir):
+    """The same questions through inverted lists, held against the exact answers."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.filter(F.col("vec_id") % 50 == 0).select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")
+    )
+    index = vector_index.build_index(vectors, k=TOP_K)
+    found = vector_index.top_k_indexed(asked, index, TOP_K)
+    exact = top_k_similar(asked, vectors, TOP_K).select("query_id", "vec_id", F.lit(1).alias("in_exact"))
+    held = found.join(exact, ["query_id", "vec_id"], "left").agg(
+        F.countDistinct("query_id").alias("queries"), F.count("*").alias("pairs"),
+        F.coalesce(F.sum("in_exact"), F.lit(0)).alias("hits"),
+    )
+    return held.select("queries", "pairs", (F.col("hits") >= 0.9 * F.col("pairs")).alias("recall_reached"))
+
+
 def _rounded(df: DataFrame, digits: int = 4, keep: list[str] | None = None) -> DataFrame:
     """Numbers as doubles of few digits: sums of doubles depend on the order."""
     kept = keep or []
