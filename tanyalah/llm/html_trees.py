@@ -29,6 +29,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tanyalah.llm.vectors import least_hashes
+
 TRAINING_TEXTS = 500
 TREES, DEPTH = 20, 5
 MIXED_COST = 1.0
@@ -49,7 +51,9 @@ ABOVE = ("article main", "nav", "aside", "header", "footer", "form", "li", "tabl
 _GROUP = {tag: k for k, tags in enumerate(GROUPS) for tag in tags.split()}
 _ABOVE = {tag: k for k, tags in enumerate(ABOVE) for tag in tags.split()}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*>|<[/!?a-zA-Z][^<>]*\Z""", re.S)
+# A tag up to its end, or up to the next tag where it has none; quotes count after an equals sign only.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)(>?)""", re.S)
+MARKUP = re.compile(r"<[a-zA-Z!?/]")
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|data-main|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACES = re.compile(r"\s+")
@@ -85,8 +89,23 @@ def _attributes(raw: str) -> tuple[tuple[str, ...], bool]:
     return tuple(tokens), main
 
 
+def _mark(page: str, at: int) -> int:
+    """The next place from `at` where markup begins, or the end; a sign before anything but a name is text."""
+    found = MARKUP.search(page, at)
+    return found.start() if found else len(page)
+
+
+def _behind(page: str, end: str, at: int) -> int:
+    """The place behind the next `end`, or the page's end."""
+    found = page.find(end, at)
+    return len(page) if found < 0 else found + len(end)
+
+
 def parse(page: str) -> list[Node]:
-    """Block nodes of a page in page order; texts stay with the nearest block, with their place among all pieces."""
+    """Block nodes of a page in page order; texts stay with the nearest block, with their place among all pieces.
+
+    Every place of the page is read a bounded number of times, whatever is left open.
+    """
     root = Node("body", None)
     nodes, stack, links = [root], [root], 0
     at, place, n = 0, 0, len(page)
@@ -101,18 +120,26 @@ def parse(page: str) -> list[Node]:
                 node.linked += len(piece.strip())
 
     def close(to: int) -> None:
+        for node in stack[to:]:
+            open_[node.tag] -= 1
         del stack[to:]
 
+    open_: Counter[str] = Counter()
+    headless = False
     while at < n:
-        found = TOKEN.search(page, at)
-        if not found:
-            text(page[at:])
+        start = _mark(page, at)
+        text(page[at:start])
+        if start == n:
             break
-        text(page[at : found.start()])
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:
+        found = TAG.match(page, start)
+        if not found:
+            at = _behind(page, "-->", start + 4) if page.startswith("<!--", start) else _behind(page, ">", start)
             continue
+        at = found.end()
+        if at == n and not found[4]:
+            # A tag that the page's end cuts off.
+            break
+        tag = found[2].lower()
         if found[1]:
             if tag == "a":
                 links = 0
@@ -120,7 +147,7 @@ def parse(page: str) -> list[Node]:
                 pass
             elif tag == "br":
                 text(" ")
-            else:
+            elif open_[tag]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
                         close(k)
@@ -129,10 +156,14 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in RAW:
             if not found[3].rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                if tag == "head" and headless:
+                    continue
+                stop = re.compile(rf"</{re.escape(tag)}(?![^\s/>])", re.I).search(page, at)
                 if stop:
-                    at = stop.end()
+                    at = _behind(page, ">", stop.end())
                 elif tag == "head":
+                    # Looked for once, else a page of such tags would be read once for each.
+                    headless = True
                     body = re.compile(r"<body\b", re.I).search(page, at)
                     at = body.start() if body else at
                 else:
@@ -152,7 +183,7 @@ def parse(page: str) -> list[Node]:
         if tag in ("html", "body"):
             root.tokens += _attributes(found[3])[0]
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     close(k)
@@ -170,6 +201,7 @@ def parse(page: str) -> list[Node]:
         node = Node(tag, stack[-1], tokens, main)
         nodes.append(node)
         stack.append(node)
+        open_[tag] += 1
         links = 0
     return nodes
 
@@ -403,8 +435,16 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_pages(texts: DataFrame, rows: int = TRAINING_TEXTS) -> DataFrame:
-    """Pages (html, main blocks marked) composed from at most `rows` of the texts (doc_id, text), those with the least hash."""
-    some = texts.where("length(text) between 40 and 20000").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    """Pages (html, main blocks marked) composed from at most `rows` of the texts (doc_id, text), those with the least hash.
+
+    Texts of 40 to 20,000 characters serve, as a shorter one is no article and
+    a longer one would be most of all training nodes. Ids are picked first, so
+    that no task sorts texts.
+    """
+    able = texts.where("length(text) between 40 and 20000 and doc_id is not null")
+    ids = able.select("doc_id")
+    picked = least_hashes(ids, "doc_id", rows, ids.count())
+    some = able.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     # Ten texts at a time: one is the article, the others fill the rest of the page.
     groups = some.withColumn("_g", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(max(1, rows // 10)))).groupBy("_g")
     groups = groups.agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).getField("text").alias("texts")).select("texts", "_g")

@@ -73,28 +73,41 @@ def drop_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, chunks: int =
     return dense.select("_doc", "_text", F.col("_all._bits").alias("bits"))
 
 
-def with_kept_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """`docs` with _bits (null: every line stays), _kept (text without the lines that go), _n_lines, _n_dropped.
+def kept_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Per row of `docs`: row (a struct of its columns), bits (null: every line stays), kept (text without the lines that go), n_lines, n_dropped.
 
     A line goes if its key of at least `least_chars` code points is found in
     two or more documents and this is not the smallest doc_id that holds it.
     Rows of one doc_id are one document; a null doc_id comes last. A null or
-    empty text is one empty line. Equal rows lose the same lines. Columns of
-    other names pass through. An empty table stays empty.
+    empty text is one empty line. Equal rows lose the same lines. Other columns
+    are carried, whatever their names. An empty table stays empty.
     """
-    bitmaps = drop_bitmaps(docs, least_chars).withColumnsRenamed({"_doc": "_b_doc", "_text": "_b_text", "bits": "_bits"})
-    left = docs.select("*", *_identity(docs))
-    joined = left.join(bitmaps, (left["_doc"] == bitmaps["_b_doc"]) & (left["_text"] == bitmaps["_b_text"]), "left")
-    kept = F.expr("array_join(filter(_split, (line, i) -> (shiftright(_bits[cast(i / 64 as int)], i % 64) & 1L) = 0L), '\n')")
-    joined = joined.withColumn("_split", lines_of(F.col("text")))
-    joined = joined.withColumn("_kept", F.when(F.col("_bits").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept))
-    dropped = F.coalesce(F.expr("aggregate(_bits, 0L, (a, b) -> a + bit_count(b))"), F.lit(0).cast("long"))
-    return joined.withColumn("_n_lines", F.size("_split").cast("long")).withColumn("_n_dropped", dropped).drop("_doc", "_text", "_b_doc", "_b_text", "_split")
+    bitmaps = drop_bitmaps(docs, least_chars)
+    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_identity(docs))
+    joined = left.join(bitmaps, ["_doc", "_text"], "left").select("row", "bits", lines_of(F.col("row.text")).alias("split"))
+    stay = F.expr("array_join(filter(split, (line, i) -> (shiftright(bits[cast(i / 64 as int)], i % 64) & 1L) = 0L), '\n')")
+    dropped = F.coalesce(F.expr("aggregate(bits, 0L, (a, b) -> a + bit_count(b))"), F.lit(0).cast("long"))
+    return joined.select(
+        "row",
+        "bits",
+        F.when(F.col("bits").isNull(), F.coalesce("row.text", F.lit(""))).otherwise(stay).alias("kept"),
+        F.size("split").cast("long").alias("n_lines"),
+        dropped.alias("n_dropped"),
+    )
+
+
+def with_kept_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """`docs` with _bits, _kept, _n_lines and _n_dropped, as `kept_lines` gives them; for columns of other names."""
+    names = {"bits": "_bits", "kept": "_kept", "n_lines": "_n_lines", "n_dropped": "_n_dropped"}
+    return kept_lines(docs, least_chars).select("row.*", *[F.col(c).alias(name) for c, name in names.items()])
 
 
 def deduplicated(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """`docs` with the same columns and without the lines that go; a null text stays null, n_chars follows."""
-    out = with_kept_lines(docs, least_chars)
-    text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.col("_kept"))
-    columns = [text.alias(c) if c == "text" else F.char_length(text).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    """`docs` with the same columns and without the lines that go; a null text stays null, n_chars follows.
+
+    Columns of any name are carried; all else is as in `kept_lines`.
+    """
+    text = F.when(F.col("row.text").isNull(), F.lit(None).cast("string")).otherwise(F.col("kept"))
+    changed = {"text": text, "n_chars": F.char_length(text)}
+    columns = [changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns]
+    return kept_lines(docs, least_chars).select(*columns)

@@ -55,6 +55,17 @@ def bounded_sample(rows: DataFrame, by: Sequence[str], size: int, total: int) ->
     return few.orderBy(place, *by).limit(size)
 
 
+def least_hashes(rows: DataFrame, by: str, size: int, total: int) -> DataFrame:
+    """At most `size` of `total` rows, those of the least hash of the column `by`, sorted by it.
+
+    Only about twice as many pass a threshold on the hash, so no task sorts or
+    receives more than that.
+    """
+    share = min(1.0, 2 * size / max(total, 1))
+    most = (1 << 63) - 1 if share == 1 else int(-(1 << 63) + share * (1 << 64))
+    return rows.where(F.xxhash64(by) <= F.lit(most)).orderBy(F.xxhash64(by), by).limit(size)
+
+
 def unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows scaled to length 1, and which rows are not zero."""
     most = np.abs(rows).max(axis=1, initial=0.0, keepdims=True)
