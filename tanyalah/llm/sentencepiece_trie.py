@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tanyalah.llm.words import text_buffer
 
 MARK = "▁"
-CACHE_WORDS = 400_000
-BLOCK_CHARS = 1 << 22
+CACHE_WORDS = 200_000
+BLOCK_CHARS = 1 << 20
 UNKNOWN = " ⁇ "
 
 
@@ -193,6 +193,7 @@ def _encoder(box) -> Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch, p
             part = batch.slice(lo, hi - lo)
             ids, at = encoder.encode(part.column("text"))
             yield part, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
+            pa.default_memory_pool().release_unused()
 
     return run
 
