@@ -31,6 +31,7 @@ def sf_dir():
 @pytest.fixture(scope="session")
 def staff(spark):
     """The small employee table of the fixtures."""
+    # Golden input, whose answers are known.
     rows = [
         ("Budi", 25, 5000000, "IT", "2020-01-15"),
         ("Sari", 30, 7500000, "HR", "2019-03-20"),

@@ -13,6 +13,7 @@ from tanyalah.sources.scratch import fresh_folder
 
 NOW = dt.datetime(2024, 5, 1, 12, 30, 15, 250)
 
+# Golden questions, their labels and columns, whose figures are known.
 SCENARIOS = [
     ("berapa harga tertinggi dari produk?", "MAX"),
     ("nilai minimum gaji karyawan", "MIN"),
