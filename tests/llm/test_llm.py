@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tanyalah.llm import bagminhash, html_trees, imatch, line_dedup, mixing, ppm, quality_rules, queries, sentencepiece_trie, toxicity, url_filter, words
 from tanyalah.llm.components import components
@@ -231,8 +232,8 @@ def test_likeness_equals_brute_force_with_a_large_family(spark):
 
     def filled(text):
         own = {w for w in terms(text) if 2 <= df[w] <= most}
-        if len(own) < imatch.FEW:
-            own |= set(sorted((w for w in terms(text) if df[w] > most), key=lambda w: (df[w], hashes[w]))[: imatch.RAREST])
+        above = sorted((w for w in terms(text) if df[w] > most), key=lambda w: (int(df[w] / most).bit_length(), hashes[w]))
+        own |= set(above[: max(0, imatch.FILL - len(own))])
         out = defaultdict(set)
         for h in (hashes[w] & (2**64 - 1) for w in own):
             for scale in range(imatch.SCALES):
@@ -253,6 +254,24 @@ def test_likeness_equals_brute_force_with_a_large_family(spark):
     assert np.mean(near[1]) > 0.5 and np.mean(near[2]) > 0.9
 
 
+def test_buckets_of_the_next_document(spark, monkeypatch):
+    """A third of null ids and one id of a third are split over buckets, and every row still finds the next."""
+    monkeypatch.setattr(imatch, "BUCKET_BYTES", 40)
+    rows = [(None, f"none {k}") for k in range(100)] + [(7, f"hot {k}") for k in range(100)] + [(k * k, f"other {k}") for k in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = frame.select(F.coalesce("doc_id", F.lit(imatch.NO_ID)).alias("_id"), F.xxhash64("text").alias("_tie"))
+    size = sum(len(t) for _, t in rows)
+    for quantiles in (1, 4, 8):
+        found = keyed.withColumn("_bucket", imatch._bucket(keyed, size, quantiles)).collect()
+        numbers = [r["_bucket"] for r in sorted(found, key=lambda r: (r["_id"], r["_tie"]))]
+        assert numbers == sorted(numbers)
+        assert quantiles == 1 or max(Counter(numbers).values()) < 60
+    ordered = [t for _, _, t in sorted((imatch.NO_ID if i is None else i, h, t) for i, t, h in frame.select("doc_id", "text", F.xxhash64("text")).collect())]
+    want = dict(zip(ordered, [*ordered[1:], ordered[0]]))
+    got = imatch.with_next(frame, imatch.lexicon(frame), 8).select("text", "next.text").collect()
+    assert {r[0]: r[1] for r in got} == want and len(got) == len(rows)
+
+
 def test_half_of_a_long_text_is_like_it(spark):
     """Texts of 3,000 terms in the band, each shared with one text far from it."""
     half = [" ".join(f"t{k}x{x}" for x in range(3000)) for k in range(15)]
