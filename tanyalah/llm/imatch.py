@@ -34,6 +34,7 @@ FILL = 64
 CELLS, SCALES = 8, 8
 BUCKET_BYTES = 64 << 20
 QUANTILES = 1000
+MOST_LISTED = 100_000
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NO_ID = (1 << 63) - 1
 
@@ -70,8 +71,10 @@ def lexicon(docs: DataFrame, most_share: float = MOST_SHARE) -> Lexicon:
     """Terms of all texts of `docs`; above the band are those in more than `most_share` of the distinct texts.
 
     Copies of a text count once. Only terms of that many rows can be above, so
-    only theirs are counted again over distinct texts. What reaches the driver
-    are the terms above the band: at most a text's mean number of terms over
+    only theirs are counted again over distinct texts: as a list in the plan,
+    which keeps the shuffle to one row a text, or, if copies make more than
+    `MOST_LISTED` of them, by a join. What reaches the driver otherwise are the
+    terms above the band: at most a text's mean number of terms over
     `most_share`.
     """
     text = F.coalesce("text", F.lit(""))
@@ -83,7 +86,13 @@ def lexicon(docs: DataFrame, most_share: float = MOST_SHARE) -> Lexicon:
     most = max(LEAST_MOST, int(most_share * texts))
     often = terms.where(F.col("_rows") > most).select("_term", F.col("_rows").alias("_n"))
     if rows > texts:
-        often = pairs.join(written(often.select("_term"), "often"), "_term").distinct().groupBy("_term").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+        maybe = often.select("_term").limit(MOST_LISTED + 1).collect()
+        if len(maybe) > MOST_LISTED:
+            once = pairs.join(often.select("_term"), "_term").distinct()
+        else:
+            hits = F.expr(f"filter(_terms, h -> h in ({_numbers([row['_term'] for row in maybe] or [0])}))")
+            once = each.select("_text", hits.alias("_hits")).groupBy("_text").agg(F.any_value("_hits").alias("_hits")).select(F.explode("_hits").alias("_term"))
+        often = once.groupBy("_term").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
     doublings = lambda row: int(row["_n"] / most).bit_length()
     found = sorted(often.collect(), key=lambda row: (doublings(row), row["_term"]))
     return Lexicon(terms, [[row["_term"] for row in tier] for _, tier in groupby(found, doublings)], size)
@@ -118,6 +127,19 @@ def filled(own: Column, rarest: Column) -> Column:
     return F.when(F.size(own) < FILL, F.concat(own, F.slice(rarest, F.lit(1), FILL - F.size(own)))).otherwise(own)
 
 
+def sharing(terms: Column, others: Column) -> Column:
+    """The terms that are in one cell with any of the others."""
+
+    def meet(h: Column, other: Column, scale: int) -> Column:
+        same = F.shiftrightunsigned(h.bitwiseXOR(other), 3 * scale).bitwiseAND(F.lit(CELLS - 1)) == 0
+        if scale == SCALES - 1:
+            return same
+        both_thinner = F.shiftrightunsigned(h.bitwiseOR(other), 48 + 2 * scale).bitwiseAND(F.lit(3)) == 0
+        return same | (both_thinner & meet(h, other, scale + 1))
+
+    return F.filter(terms, lambda h: F.exists(others, lambda other: meet(h, other, 0)))
+
+
 def whole(terms: Column) -> Column:
     return F.xxhash64(F.sort_array(terms))
 
@@ -230,7 +252,10 @@ def fingerprint_and_edit(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_below", known.below("_e"))
     rows = rows.withColumn("_new", F.array_except("_below", F.concat("_terms", F.col("next._terms"))))
     rows = rows.withColumn("_own", F.array_except("_below", F.concat(F.coalesce("_once", none), F.coalesce("next._once", none), "_new")))
-    # Of the new terms it is not yet known which are in the band.
+    # Of the new terms it is not yet known which are in the band. Until then the cells are those without any, beside
+    # the terms of the cells that may change: all of a text that is filled up.
+    short = F.size("_own") < FILL
+    rows = rows.withColumn("_rarest", F.when(short, F.slice(known.rarest("_e"), F.lit(1), FILL - F.size("_own"))).otherwise(none))
     rows = rows.select(
         "doc_id",
         F.col("_n").alias("n_chars"),
@@ -238,16 +263,19 @@ def fingerprint_and_edit(docs: DataFrame) -> DataFrame:
         "_cells",
         likeness(F.col("_cells"), F.col("next._cells")).alias("near_next"),
         "_new",
-        "_own",
-        F.when(F.size("_own") < FILL, known.rarest("_e")).otherwise(none).alias("_rarest"),
+        cells(F.concat("_own", "_rarest")).alias("_sure"),
+        F.when(short, F.col("_own")).otherwise(sharing(F.col("_own"), F.col("_new"))).alias("_own"),
+        "_rarest",
         whole(F.col("_e")).alias("_whole"),
     )
     rows = written(rows, "edits")
     asked = rows.select("edited_sha256", F.explode("_new").alias("_term")).distinct()
     there = asked.join(known.terms.where("_lo < _hi").select("_term"), "_term").groupBy("edited_sha256").agg(F.collect_list("_term").alias("_there"))
     rows = rows.drop("_new").join(there, "edited_sha256", "left")
-    rows = rows.withColumn("_own", F.concat("_own", F.coalesce("_there", none)))
-    rows = rows.withColumn("_edited_cells", closed(cells(filled(F.col("_own"), F.col("_rarest"))), F.col("_whole")))
+    again = cells(filled(F.concat("_own", "_there"), F.col("_rarest")))
+    changed = F.transform(F.arrays_zip("_sure", again.alias("again"), cells(F.col("_there")).alias("there")), lambda c: F.when(c["there"] == 0, c["_sure"]).otherwise(c["again"]))
+    edited_cells = F.when(F.col("_there").isNull(), F.col("_sure")).when(F.size("_rarest") > 0, again).otherwise(changed)
+    rows = rows.withColumn("_edited_cells", closed(edited_cells, F.col("_whole")))
     return rows.select(
         "doc_id",
         "n_chars",

@@ -272,6 +272,15 @@ def test_buckets_of_the_next_document(spark, monkeypatch):
     assert {r[0]: r[1] for r in got} == want and len(got) == len(rows)
 
 
+def test_common_terms_by_list_and_by_join(spark, monkeypatch):
+    frame = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    frame = frame.unionByName(frame)
+    listed = imatch.lexicon(frame)
+    monkeypatch.setattr(imatch, "MOST_LISTED", 1)
+    joined = imatch.lexicon(frame)
+    assert listed.above == joined.above and listed.bytes == joined.bytes and sum(map(len, listed.above)) > 1
+
+
 def test_half_of_a_long_text_is_like_it(spark):
     """Texts of 3,000 terms in the band, each shared with one text far from it."""
     half = [" ".join(f"t{k}x{x}" for x in range(3000)) for k in range(15)]
