@@ -3,8 +3,10 @@
 All rows of a source have the same expected number of copies, its target over
 its size, so the prefix sum of a row is that ratio times its rank. Ranks are
 found without gathering a source in one task: rows are cut into blocks of
-(source, size class, salt); a block's rows are ranked in a window, and the
-counts of the blocks before it are added. Ordering by size spreads long and
+(source, size class, salt), the salt a hash of id and text whose length follows
+from the number of rows; a block's rows are ranked in a window, and the counts
+of the blocks before it are added. So null ids and an id held by many rows
+spread; only rows equal in id and text share a block. Ordering by size spreads long and
 short texts evenly over the copies.
 """
 
@@ -23,6 +25,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = "mix"
+BLOCK_ROWS = 1 << 18
 
 
 def word_count(text):
@@ -35,6 +38,14 @@ def _hex(column, n: int):
     return F.conv(F.substring(F.md5(column), 1, n), 16, 10).cast("long")
 
 
+def salt_digits(rows: int) -> int:
+    """Hexadecimal digits of the salt: two, and more where a source of all rows would have blocks above BLOCK_ROWS."""
+    digits = 2
+    while BLOCK_ROWS * 16**digits < rows:
+        digits += 1
+    return digits
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """Targets of sources from a table (source, source_size): one row per source.
 
@@ -82,13 +93,13 @@ def mix_sources(
     Equal (size, doc_id, text) ranks in any order, as such rows give the same.
     Runs agree. An empty table gives an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, nothing = docs.sparkSession, F.lit("")
     narrow = docs.select(
         "doc_id",
         "source",
         word_count(docs["text"]).alias("size"),
         F.xxhash64("text").alias("_text"),
-        F.coalesce(_hex(docs["doc_id"].cast("string"), 2), F.lit(0)).alias("_salt"),
+        _hex(F.concat(F.coalesce(docs["doc_id"].cast("string"), nothing), F.lit("/"), F.coalesce(docs["text"], nothing)), salt_digits(docs.count())).alias("_salt"),
         F.coalesce(docs["source"], F.lit("")).alias("_name"),
         docs["source"].isNull().alias("_none"),
         *([F.struct(*[docs[c] for c in carry]).alias("row")] if carry else []),

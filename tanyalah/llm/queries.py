@@ -137,8 +137,8 @@ MIXING_SQL = r"""
 with sized as (
   select doc_id, source, coalesce(source, '') as name, source is null as none, text,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
-         coalesce(cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 2) as bigint), 0) as salt
-  from documents
+         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || '/' || coalesce(text, '')), 1, digits) as bigint) as salt
+  from documents, (select cast(greatest(2, ceil(log(16, greatest(count(*), 1) / 262144))) as int) as digits from documents)
 ), sources as (
   select source, name, none, cast(sum(size) as bigint) as source_size from sized group by all
 ), weighted as (
