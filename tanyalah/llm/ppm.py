@@ -39,6 +39,7 @@ ORDER = 5
 SHARED = 2
 FOLDS, HELD_OUT = 7, 2
 WORD, GRAM = 0, 1
+SCAN_CORES = "spark.sql.leafNodeDefaultParallelism"
 BUCKET_KEYS, CELL_KEYS = 200_000, 4_000_000
 SPREAD = 1_000_003
 FLUSH = 500_000
@@ -402,10 +403,15 @@ def score_texts(docs: DataFrame, order: int = ORDER, shared: int = SHARED) -> Da
     as they are there. Without training rows every byte is as likely, and
     every word unknown. An empty table gives an empty result; other columns
     are ignored. Blocks are cut twice, so `docs` must give its rows in the same
-    order each time, as tables in files do; if not, the sums fail. Log
-    probabilities of bytes travel as 32-bit numbers.
+    order each time, as tables in files do; if not, the sums fail. So that
+    executors may come and go in between, the session's
+    `spark.sql.leafNodeDefaultParallelism`, by which scans are split, is set to
+    the present number of cores where it is unset. Log probabilities of bytes
+    travel as 32-bit numbers.
     """
     spark = docs.sparkSession
+    if spark.conf.get(SCAN_CORES, None) is None:
+        spark.conf.set(SCAN_CORES, spark.sparkContext.defaultParallelism)
     marked = docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     training = marked.where("not held_out")
     counts = gather(training, order)
