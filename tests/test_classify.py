@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,16 +205,34 @@ def test_own_words(spark):
         Vocabulary().with_words("MAX", "")
 
 
-def test_many_words_and_columns(spark):
-    """Beyond the size for unrolled code the results stay the same."""
-    words = [f"kata{i}z" for i in range(100)]
-    large = Vocabulary().with_words("SUM", *words)
-    columns = [f"kolom{i}z" for i in range(100)] + ["harga"]
-    questions = ["nilai kata99z kolom42z", "harga tertinggi", "apa", "HARGA kata7z"]
-    rows = ask_all(spark, questions, columns, vocabulary=large)
-    assert [(r["operation"], r["detected_column"]) for r in rows] == [
-        ("SUM", "kolom42z"), ("MAX", "harga"), ("FILTER", "kolom0z"), ("SUM", "harga"),
-    ]
+@pytest.mark.parametrize("n_words", [60, 79, 80, 81, 5000])
+def test_vocabularies_of_any_size(spark, n_words):
+    """Random questions against a plain search, with that many trigger words and a hundred columns."""
+    rng = random.Random(n_words)
+    taken = sum(map(len, TRIGGER_WORDS.values()))
+    vocabulary = Vocabulary()
+    words = [f"kata{i}z'" for i in range(n_words - taken)]
+    for place, operation in enumerate(vocabulary.priority):
+        vocabulary = vocabulary.with_words(operation, *words[place::8])
+    assert sum(map(len, vocabulary.trigger_words.values())) == n_words
+    columns = [f"kolom{i}z" for i in range(100)] + ["harga", "Nama"]
+    said = [*words, *columns, *vocabulary.synonyms, *(w for ws in TRIGGER_WORDS.values() for w in ws), "kata", "apa", "Z"]
+    questions = [" ".join(rng.choices(said, k=rng.randrange(4))) for _ in range(300)] + ["", None]
+
+    def operation(text):
+        lowered = (text or "").lower()
+        return next((o for o, ws in vocabulary.trigger_words.items() if any(w in lowered for w in ws)), "FILTER")
+
+    def column(text):
+        lowered = (text or "").lower()
+        named = [c for c in columns if text is not None and c.lower() in lowered]
+        for term, parts in vocabulary.synonyms.items():
+            if text is not None and term in lowered:
+                named += [c for c in columns if any(p in c.lower() for p in parts)][:1]
+        return (named or columns)[0]
+
+    rows = ask_all(spark, questions, columns, vocabulary=vocabulary)
+    assert Counter((r["query"], r["operation"], r["detected_column"]) for r in rows) == Counter((q, operation(q), column(q)) for q in questions)
 
 
 def test_catalog(spark):
