@@ -78,6 +78,20 @@ def grams(stream: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     return key[keep]
 
 
+def _first_of_each(ordered: np.ndarray) -> np.ndarray:
+    """Whether a cell of a sorted array differs from the one before it."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return new
+
+
+def distinct_keys(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct keys of all parts, sorted. One sort in place; `np.unique` hashes first, which takes longer."""
+    ordered = np.concatenate([np.zeros(0, np.uint64), *parts])
+    ordered.sort()
+    return ordered[_first_of_each(ordered)]
+
+
 class _Sums:
     """Counts by key that are merged now and then."""
 
@@ -94,8 +108,12 @@ class _Sums:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, place = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = np.bincount(place, weights=np.concatenate(self.counts), minlength=len(keys)).astype(np.int64)
+        # Each part is sorted; a stable sort merges such runs.
+        keys = np.concatenate(self.keys)
+        turn = np.argsort(keys, kind="stable")
+        keys = keys[turn]
+        first = np.flatnonzero(_first_of_each(keys))
+        keys, counts = keys[first], np.add.reduceat(np.concatenate(self.counts)[turn], first) if len(first) else np.zeros(0, np.int64)
         self.keys, self.counts, self.pending = [keys], [counts], 0
         return keys, counts
 
@@ -251,9 +269,12 @@ class _Index:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         at = self._home(keys)
-        out = np.where(self.slot_key[at] == keys, self.slot_place[at], -1)
-        left = np.flatnonzero((out < 0) & (self.slot_place[at] >= 0))
+        same = self.slot_key.take(at) == keys
+        out = np.where(same, self.slot_place.take(at), -1)
+        left = np.flatnonzero(~same)
         at = at[left]
+        go = self.slot_place[at] >= 0
+        left, at = left[go], at[go]
         while len(left):
             at = (at + 1) & self.mask
             same = self.slot_key[at] == keys[left]
@@ -275,25 +296,23 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
 
 
 def _block_keys(kind: int, buf: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """A key for each word, or for each byte and end, of a block, and its text."""
+    """A key for each word, or for each byte and end, of a block, and how many each text has."""
     if kind == WORD:
         words = words_of(LOWER[buf], offsets)
-        return words.hash, words.doc
-    return grams(*padded(buf, offsets, order), order), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) + 1)
+        return words.hash, np.bincount(words.doc, minlength=len(offsets) - 1)
+    return grams(*padded(buf, offsets, order), order), np.diff(offsets) + 1
 
 
-def _parts_keys(kind: int, buf: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and their texts of a block, some texts at a time."""
-    lo, n = 0, len(offsets) - 1
+def _parts_keys(kind: int, buf: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Keys of a block, some texts at a time, and how many each of these texts has."""
+    lo, n, keys, counts = 0, len(offsets) - 1, [], []
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + PART_BYTES, side="right")) - 1)
-        keys, doc = _block_keys(kind, buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], order)
-        yield keys, doc + lo
+        part, count = _block_keys(kind, buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], order)
+        keys.append(part)
+        counts.append(count)
         lo = hi
-
-
-def _distinct(kind: int, buf: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
-    return np.unique(np.concatenate([np.unique(keys) for keys, _ in _parts_keys(kind, buf, offsets, order)]))
+    return keys, counts
 
 
 def _dealt(kind: int, keys: np.ndarray, buckets: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +345,7 @@ def _ask(order: int, shared: int, buckets: tuple[int, int]):
         for block, _, buf, offsets in _numbered(batches):
             rows = []
             for kind in (WORD, GRAM):
-                keys = _distinct(kind, buf, offsets, order)
+                keys = distinct_keys(_parts_keys(kind, buf, offsets, order)[0])
                 turn, cuts = _dealt(kind, keys, buckets[kind], shared)
                 keys = keys[turn]
                 rows += [(kind, int(b), int(cuts[b + 1] - cuts[b]), _packed(keys[cuts[b] : cuts[b + 1]])) for b in np.flatnonzero(np.diff(cuts))]
@@ -373,13 +392,16 @@ def _join(id_kind: str, order: int, shared: int, buckets: tuple[int, int], log_s
         buf, n = _unpacked(text, np.uint8), len(ids)
 
         def values(kind: int, number: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            unique = _distinct(kind, buf, offsets, order)
+            parts, counts = _parts_keys(kind, buf, offsets, order)
+            unique = distinct_keys(parts)
             turn, _ = _dealt(kind, unique, buckets[kind], shared)
-            found = np.empty(len(unique))
+            found, index = np.empty(len(unique)), _Index(unique)
             answers = [_unpacked(d, number) for d in rows[rows["kind"] == kind].sort_values("bucket")["data"]]
             found[turn] = np.concatenate([np.zeros(0, number), *answers])
-            for keys, doc in _parts_keys(kind, buf, offsets, order):
-                yield found[np.searchsorted(unique, keys)], doc
+            lo = 0
+            for keys, count in zip(parts, counts):
+                yield found.take(index.find(keys)), np.repeat(np.arange(lo, lo + len(count)), count)
+                lo += len(count)
 
         known, tokens = np.full(n, int(end > 0)), np.ones(n, np.int64)
         base, score = np.full(n, math.log10(end + 1.0) - log_size), np.zeros(n)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +195,50 @@ def test_scores_equal_brute_force(spark, docs, small, monkeypatch):
         assert tuple(r)[1:6] in want[r["doc_id"]] and r["score"] in scores[r["doc_id"]] and r["score"] < 0
 
 
+def test_answers_are_joined_with_keys_cut_once(monkeypatch):
+    """No Spark: a block asks, gets its own keys back as answers, and sums them per text."""
+    made = []
+    block_keys = ppm._block_keys
+    monkeypatch.setattr(ppm, "PART_BYTES", 64)
+    monkeypatch.setattr(ppm, "_block_keys", lambda kind, *a: made.append(kind) or block_keys(kind, *a))
+    texts = ["", "a b a", "\u00e9t\u00e9 " * 9, None, "a b c d e f g h", "x" * 200, " \n", "Last A"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts)], names=["doc_id", "held_out", "text"])
+    buckets, facts = (3, 5), (ppm.ORDER, ppm.SHARED)
+    rows = next(iter(ppm._texts(iter([batch])))).to_pandas()
+    asked = next(iter(ppm._ask(*facts, buckets)(iter([batch])))).to_pandas()
+    value = {ppm.WORD: lambda k: (k % np.uint64(7)).astype(np.int64), ppm.GRAM: lambda k: (k % np.uint64(11)).astype(np.float32)}
+    asked["data"] = [ppm._packed(value[kind](ppm._unpacked(data, np.uint64))) for kind, data in zip(asked["kind"], asked["data"])]
+    parts = len(made)
+    made.clear()
+    got = ppm._join("bigint", *facts, buckets, 2.0, 1)(pd.concat([rows, asked])).set_index("doc_id")
+    assert parts > 4 and len(made) == parts  # before: twice as many
+    for i, text in enumerate(texts):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        at = np.array([0, len(data)])
+        counts = value[ppm.WORD](words.words_of(ppm.LOWER[data], at).hash)
+        assert got["n_tokens"][i] == len(counts) + 1 and got["n_known"][i] == (counts > 0).sum() + 1
+        assert got["base_score"][i] == pytest.approx((np.log10(np.append(counts, 1) + 1) - 2).sum())
+        assert got["score"][i] == value[ppm.GRAM](ppm.grams(*ppm.padded(data, at, ppm.ORDER), ppm.ORDER)).sum()
+
+
+def test_places_of_keys_that_share_a_slot():
+    rng = np.random.default_rng(3)
+    most = np.uint64(2**64 - 1)
+    for n in (0, 1, 2, 5000):
+        keys = rng.integers(0, 1 << 64, n, dtype=np.uint64) >> np.uint64(n % 3 * 8)
+        unique = ppm.distinct_keys([keys, keys[::2], np.append(keys, most)])
+        assert (unique == np.unique(np.append(keys, most))).all()
+        index, other = ppm._Index(unique), rng.integers(0, 1 << 64, 5000, dtype=np.uint64)
+        assert (index.find(unique) == np.arange(len(unique))).all()
+        assert (index.find(other) == [np.flatnonzero(unique == k)[0] if k in unique else -1 for k in other]).all()
+        assert ppm._Index(keys[:0]).find(np.append(other, most)).max() == -1
+        sums = ppm._Sums()
+        for part in (keys, keys[:1], keys):
+            sums.add(part)
+        want = Counter([*keys.tolist(), *keys[:1].tolist(), *keys.tolist()])
+        assert dict(zip(*(x.tolist() for x in sums.merge()))) == want
+
+
 def test_fingerprints(spark, docs, none):
     rows = imatch.fingerprint_and_edit(docs).collect()
     assert len(rows) == len(ROWS) and imatch.fingerprint_and_edit(none).count() == 0
